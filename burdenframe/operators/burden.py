@@ -54,15 +54,9 @@ def burden_by_impact(entries: DataFrame, by: Sequence[str] = (), bins: Bins = AF
 
 def to_long(by_impact: DataFrame, by: Sequence[str] = (), bins: Bins = AF_BINS) -> DataFrame:
     """Long form ``by, gene, bin, ac`` of ``burden_by_impact``."""
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.concat_ws(".", "impact", F.lit(b)).alias("bin"), F.col(b).alias("ac"))
-                for b in bins
-            ]
-        )
-    )
-    return by_impact.select(*by, "gene", pairs.alias("_b")).select(*by, "gene", "_b.bin", "_b.ac")
+    pairs = [c for b in bins for c in (F.lit(b), F.col(b))]
+    stacked = by_impact.select(*by, "gene", "impact", F.stack(F.lit(len(bins)), *pairs).alias("_b", "ac"))
+    return stacked.select(*by, "gene", F.concat_ws(".", "impact", "_b").alias("bin"), "ac")
 
 
 def frequency_table(
@@ -71,13 +65,16 @@ def frequency_table(
     impacts: Sequence[str] = IMPACTS,
     bins: Bins = AF_BINS,
 ) -> DataFrame:
-    """Wide gene table with a column ``IMPACT.bin`` for each pair, in one aggregation."""
+    """Wide gene table with a column ``IMPACT.bin`` for each pair.
+
+    Entries are summed by gene and impact first; the wide step only sees those few rows.
+    """
     cells = [
-        allele_sum((F.col("impact") == i) & in_bin(bounds)).alias(f"{i}.{b}")
+        F.coalesce(F.sum(F.when(F.col("impact") == i, F.col(b))), F.lit(0)).alias(f"{i}.{b}")
         for i in impacts
-        for b, bounds in bins.items()
+        for b in bins
     ]
-    return entries.groupBy(*by, "gene").agg(*cells)
+    return burden_by_impact(entries, by, bins).groupBy(*by, "gene").agg(*cells)
 
 
 def pivot_long(

@@ -58,9 +58,5 @@ def density_curves(values: DataFrame, n_grid: int = GRID) -> DataFrame:
 
 def ratio_densities(log_ratios: DataFrame, n_grid: int = GRID) -> DataFrame:
     """Curves of the phenotype and null log ratios of every bin."""
-    sides = F.array(
-        F.struct(F.lit("pheno").alias("side"), F.col("log2_pheno").alias("v")),
-        F.struct(F.lit("null").alias("side"), F.col("log2_null").alias("v")),
-    )
-    long = log_ratios.select("bin", F.explode(sides).alias("_s")).select("bin", "_s.*")
-    return density_curves(long, n_grid)
+    sides = F.stack(F.lit(2), F.lit("pheno"), F.col("log2_pheno"), F.lit("null"), F.col("log2_null"))
+    return density_curves(log_ratios.select("bin", sides.alias("side", "v")), n_grid)

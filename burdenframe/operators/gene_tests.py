@@ -30,9 +30,9 @@ def cohort_sizes(labelled: DataFrame) -> DataFrame:
 
 
 def sizes_of(labelled: DataFrame) -> dict[str, Column]:
-    """Cohort sizes as scalar subqueries."""
-    one_row = cohort_sizes(labelled)
-    return {c: one_row.select(c).scalar() for c in COHORTS}
+    """Cohort sizes, all from one scalar subquery."""
+    row = cohort_sizes(labelled).select(F.struct(*COHORTS)).scalar()
+    return {c: row[c] for c in COHORTS}
 
 
 def with_alleles(long: DataFrame, sizes: Sizes) -> DataFrame:

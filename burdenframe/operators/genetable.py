@@ -13,7 +13,7 @@ from operator import add, and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burdenframe.operators.burden import AF_BINS, IMPACTS, Bins, allele_sum, bin_names, in_bin
+from burdenframe.operators.burden import AF_BINS, IMPACTS, Bins, bin_names, in_bin
 
 COHORTS = ("case_pheno", "control_pheno", "case_null", "control_null")
 COUNTS = tuple(f"ac_{c}" for c in COHORTS)
@@ -71,8 +71,8 @@ def fill_counts(table: DataFrame) -> DataFrame:
 
 def unpivot_table(table: DataFrame, out: str = "ac") -> DataFrame:
     """Long ``gene, bin, ac`` form of a wide gene table."""
-    pairs = [F.struct(F.lit(b).alias("bin"), q(b).alias(out)) for b in bin_columns(table)]
-    return table.select("gene", F.explode(F.array(*pairs)).alias("_p")).select("gene", "_p.*")
+    pairs = [c for b in bin_columns(table) for c in (F.lit(b), q(b))]
+    return table.select("gene", F.stack(F.lit(len(pairs) // 2), *pairs).alias("bin", out))
 
 
 def common_genes(tables: Sequence[DataFrame]) -> DataFrame:
@@ -106,21 +106,33 @@ def align_tables(tables: Mapping[str, DataFrame], genes: DataFrame | None = None
 
 def wide_to_long(wide: DataFrame, bins: Sequence[str], cohorts: Sequence[str] = COHORTS) -> DataFrame:
     """Turn columns ``{cohort}_{i}`` into one row per bin with a count column per cohort."""
-    rows = [
-        F.struct(F.lit(b).alias("bin"), *[F.col(f"{c}_{i}").alias(f"ac_{c}") for c in cohorts])
-        for i, b in enumerate(bins)
-    ]
-    return wide.select("gene", F.explode(F.array(*rows)).alias("_r")).select("gene", "_r.*")
+    rows = [c for i, b in enumerate(bins) for c in (F.lit(b), *[F.col(f"{k}_{i}") for k in cohorts])]
+    return wide.select("gene", F.stack(F.lit(len(bins)), *rows).alias("bin", *[f"ac_{c}" for c in cohorts]))
+
+
+def bin_index(impacts: Sequence[str], bins: Bins = AF_BINS) -> Column:
+    """Position of an entry's bin in ``bin_names(impacts, bins)``, NULL outside of all bins."""
+    af = reduce(lambda c, ib: c.when(in_bin(ib[1]), F.lit(ib[0])), enumerate(bins.values()), F)
+    impact = reduce(lambda c, ii: c.when(F.col("impact") == ii[1], F.lit(ii[0])), enumerate(impacts), F)
+    return impact * len(bins) + af
 
 
 def four_cohort_wide(entries: DataFrame, bins: Bins = AF_BINS, keep_modifier: bool = False) -> DataFrame:
-    """Aligned counts straight from labelled entries, in one aggregation by gene.
+    """Aligned counts straight from labelled entries, in one pass over them.
 
-    ``entries`` carries ``is_case`` and ``is_null_case``. Columns are ``{cohort}_{i}`` with ``i``
-    counting the tested bins and the total last. A gene stays when each cohort has a non-zero bin,
-    or, with ``keep_modifier``, any entry.
+    ``entries`` carries ``is_case`` and ``is_null_case``. They are first summed by gene, bin and label,
+    at most four rows per gene and bin, and those rows are then spread into the columns
+    ``{cohort}_{i}`` with ``i`` counting the tested bins and the total last. A gene stays when each
+    cohort has a non-zero bin, or, with ``keep_modifier``, any entry.
     """
     impacts = [i for i in IMPACTS if keep_modifier or i != "MODIFIER"]
+    n_bins = len(impacts) * len(bins)
+    summed = (
+        drop_null_genes(entries)
+        .withColumn("_bin", bin_index(impacts, bins))
+        .groupBy("gene", "_bin", "is_case", "is_null_case")
+        .agg(F.sum("AC").alias("ac"))
+    )
     sides = {
         "case_pheno": F.col("is_case"),
         "control_pheno": ~F.col("is_case"),
@@ -129,18 +141,16 @@ def four_cohort_wide(entries: DataFrame, bins: Bins = AF_BINS, keep_modifier: bo
     }
     cells, marks = [], []
     for c, here in sides.items():
-        pairs = [(i, b) for i in impacts for b in bins.values()]
         cells += [
-            allele_sum(here & (F.col("impact") == i) & in_bin(b)).alias(f"{c}_{n}")
-            for n, (i, b) in enumerate(pairs)
+            F.coalesce(F.sum(F.when(here & (F.col("_bin") == n), F.col("ac"))), F.lit(0)).alias(f"{c}_{n}")
+            for n in range(n_bins)
         ]
-        marks.append(F.count_if(here).alias(f"_n_{c}"))
-    n_bins = len(impacts) * len(bins)
-    wide = drop_null_genes(entries).groupBy("gene").agg(*cells, *marks)
-    totals = {f"{c}_{n_bins}": reduce(add, [F.col(f"{c}_{n}") for n in range(n_bins)]) for c in sides}
-    wide = wide.withColumns(totals)
-    shown = [F.col(f"_n_{c}" if keep_modifier else f"{c}_{n_bins}") > 0 for c in sides]
-    return wide.filter(reduce(and_, shown)).drop(*[f"_n_{c}" for c in sides])
+        in_any = here & F.col("_bin").isNotNull()
+        cells.append(F.coalesce(F.sum(F.when(in_any, F.col("ac"))), F.lit(0)).alias(f"{c}_{n_bins}"))
+        marks.append(F.max(here).alias(f"_has_{c}"))
+    wide = summed.groupBy("gene").agg(*cells, *marks)
+    shown = [F.col(f"_has_{c}") if keep_modifier else F.col(f"{c}_{n_bins}") > 0 for c in sides]
+    return wide.filter(reduce(and_, shown)).drop(*[f"_has_{c}" for c in sides])
 
 
 def four_cohort_long(entries: DataFrame, keep_modifier: bool = False) -> DataFrame:

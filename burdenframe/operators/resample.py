@@ -70,14 +70,12 @@ def burden_ratios(
     A ratio is valid when both of its sums exceed ``min_burden``.
     """
     rows = [
-        F.struct(
-            F.lit(b).alias("bin"),
-            *[F.col(f"{c}_{i}").alias(f"ac_{c}") for c in COHORTS],
-            *[F.col(f"n_{c}_{i}").alias(f"n_{c}") for c in COHORTS],
-        )
+        c
         for i, b in enumerate(bins)
+        for c in (F.lit(b), *[F.col(f"{k}_{i}") for k in COHORTS], *[F.col(f"n_{k}_{i}") for k in COHORTS])
     ]
-    long = sums.select("iter", "k", F.explode(F.array(*rows)).alias("_r")).select("iter", "k", "_r.*")
+    names = ["bin", *[f"ac_{c}" for c in COHORTS], *[f"n_{c}" for c in COHORTS]]
+    long = sums.select("iter", "k", F.stack(F.lit(len(bins)), *rows).alias(*names))
     long = long.withColumns({f"sum_{c}": F.col(f"ac_{c}") + F.col("k") * epsilon for c in COHORTS})
     fields = {}
     for side in ("pheno", "null"):
@@ -157,17 +155,8 @@ def contributions(
 
     ``min_appearances`` keeps genes seen at least that often.
     """
-    burdens = genes.select(
-        "gene_idx", "gene",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(b).alias("bin"), F.col(f"case_pheno_{i}").alias("ac"))
-                    for i, b in enumerate(bins)
-                ]
-            )
-        ).alias("_b"),
-    ).select("gene_idx", "gene", "_b.*")
+    pairs = [c for i, b in enumerate(bins) for c in (F.lit(b), F.col(f"case_pheno_{i}"))]
+    burdens = genes.select("gene_idx", "gene", F.stack(F.lit(len(bins)), *pairs).alias("bin", "ac"))
     members = top.select("iter", "bin", "log2_pheno").join(sets.select("iter", "gene_idx"), "iter")
     seen = members.groupBy("bin", "gene_idx").agg(
         F.count(F.lit(1)).alias("appearance_in_top_sets"),
@@ -270,10 +259,9 @@ def standardise(ratios: DataFrame, value: str = "x") -> DataFrame:
 
 def labelled_ratios(ratios: DataFrame) -> DataFrame:
     """Valid ratios of both splits stacked: ``bin, y, x`` with ``y`` 1 for the phenotype, 0 for null."""
-    sides = F.array(
-        F.struct(F.lit(1).alias("y"), F.when(F.col("valid_pheno"), F.col("ratio_pheno")).alias("x")),
-        F.struct(F.lit(0).alias("y"), F.when(F.col("valid_null"), F.col("ratio_null")).alias("x")),
-    )
-    return (
-        ratios.select("bin", F.explode(sides).alias("_s")).select("bin", "_s.*").filter(F.col("x").isNotNull())
+    sides = F.stack(
+        F.lit(2),
+        F.lit(1), F.when(F.col("valid_pheno"), F.col("ratio_pheno")),
+        F.lit(0), F.when(F.col("valid_null"), F.col("ratio_null")),
     )
+    return ratios.select("bin", sides.alias("y", "x")).filter(F.col("x").isNotNull())

@@ -4,22 +4,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="burdenframe-")
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder of the session.
 
     Without the setting, a temporary folder serves a local session; on a cluster this is an error,
     since other machines would not see it.
     """
-    shared = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    shared = spark.conf.get(SETTING, None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
-        shared = tempfile.mkdtemp(prefix="burdenframe-")
-        spark.conf.set(SETTING, shared)
+        shared = _local_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
+
+    Cuts the lineage: the small tables behind the tests are computed once instead of once per use,
+    and a lost executor costs a re-read, not a re-run.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -102,18 +102,21 @@ def read_pca(spark: SparkSession, pca_path: str, locations_path: str) -> tuple[D
     return first_two, spark.read.option("header", True).option("sep", "\t").csv(locations_path)
 
 
+def pca_scores_long(scores: DataFrame, locations: DataFrame) -> DataFrame:
+    """``genotype_id, PC1, PC2`` with sample locations, from ``genotype_id, component, score`` rows."""
+    wide = scores.groupBy("genotype_id").agg(
+        *[F.max(F.when(F.col("component") == i, F.col("score").cast("double"))).alias(f"PC{i}") for i in (1, 2)]
+    )
+    return wide.join(locations, "genotype_id")
+
+
 def pca_scores(components: DataFrame, locations: DataFrame) -> DataFrame:
-    """``genotype_id, PC1, PC2`` joined with the sample locations.
+    """Turn a component-by-sample file, one column per sample, and join the sample locations.
 
-    The two component rows are turned by ``unpivot`` and an aggregate, not by gathering the matrix.
+    The first component row is the one ``read_pca`` gives first.
     """
     names = [r["SampleID"] for r in components.select("SampleID").collect()]  # two rows
+    number = F.when(F.col("SampleID") == names[0], 1).otherwise(2)
     samples = [c for c in components.columns if c != "SampleID"]
-    long = components.unpivot("SampleID", samples, "genotype_id", "score")
-    wide = long.groupBy("genotype_id").agg(
-        *[
-            F.max(F.when(F.col("SampleID") == n, F.col("score").cast("double"))).alias(f"PC{i}")
-            for i, n in enumerate(names, start=1)
-        ]
-    )
-    return wide.join(locations, "genotype_id")
+    long = components.unpivot("SampleID", samples, "genotype_id", "score").withColumn("component", number)
+    return pca_scores_long(long, locations)
