@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,11 +19,22 @@ ERFC_FIT = (
 TINY = 4.9e-324
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it.
+
+    Filters on a column computed by a long formula are pushed below it, formula included; without
+    the binding its repeated parts would multiply at every nesting.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def erfc_nonneg(x: Column) -> Column:
     """Complementary error function for ``x >= 0``."""
-    t = 1.0 / (1.0 + 0.5 * x)
-    poly = reduce(lambda acc, c: F.lit(c) + t * acc, reversed(ERFC_FIT[:-1]), F.lit(ERFC_FIT[-1]))
-    return t * F.exp(poly - x * x)
+
+    def fit(t: Column) -> Column:
+        return reduce(lambda acc, c: F.lit(c) + t * acc, reversed(ERFC_FIT[:-1]), F.lit(ERFC_FIT[-1]))
+
+    return let(x, lambda v: let(1.0 / (1.0 + 0.5 * v), lambda t: t * F.exp(fit(t) - v * v)))
 
 
 def two_sided_p(z: Column) -> Column:
