@@ -452,7 +452,7 @@ def variant_id(spark, d):
     )
 
 
-@query("F10_array_utilities", "SELECT vec_id, len(embedding) AS n, list_sum(list_transform(range(len(embedding)), i -> i * 2)) AS total, len(list_concat(embedding, embedding)) AS doubled FROM embeddings")
+@query("F10_array_utilities", "SELECT vec_id, len(embedding) AS n, CAST(len(embedding) * (len(embedding) - 1) AS BIGINT) AS total, len(list_concat(embedding, embedding)) AS doubled FROM embeddings")
 def array_utilities(spark, d):
     e = F.col("embedding")
     steps = F.transform(F.sequence(F.lit(0), F.size(e) - 1), lambda i: i * 2)

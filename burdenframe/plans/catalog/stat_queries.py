@@ -226,11 +226,6 @@ def two_proportion_z(spark, d):
     return rounded(two_proportion(spark, d))
 
 
-@query("O03_top_by_gene", extended("four_long sizes", TWO_PROP, f"SELECT * FROM ({T02_OUT}) WHERE significant_bonferroni ORDER BY gene DESC, bin DESC LIMIT 20"))
-def top_by_gene(spark, d):
-    return rounded(gene_tests.top_significant_by_gene(two_proportion(spark, d)))
-
-
 BONFERRONI = "corrected AS (SELECT *, count(*) OVER () AS m FROM tested)"
 BONF_OUT = f"""{sr('least(p_val * m, 1.0)')} AS pval_bonferroni, (p_val <= 0.05::DOUBLE / m) AS significant_bonferroni,
     {sr(neg_log10('least(p_val * m, 1.0)'))} AS neg_log10_adjusted"""
@@ -289,23 +284,6 @@ def counts_beside_tests(spark, d):
     return rounded(z.join(long, ["gene", "bin"], "left"))
 
 
-@query("P28_significant", extended("four_long sizes", LOG_ODDS, f"SELECT * FROM ({T04_OUT}) WHERE significant_bonferroni"))
-def significant(spark, d):
-    return rounded(log_odds(spark, d).filter("significant_bonferroni"))
-
-
-@query("O02_top_significant", extended("four_long sizes", TWO_PROP, f"SELECT * FROM ({T02_OUT}) WHERE significant_bonferroni ORDER BY neg_log10_adjusted DESC, abs(effect_size) DESC, gene, bin LIMIT 20"))
-def top_significant(spark, d):
-    return gene_tests.top_significant(rounded(two_proportion(spark, d)), "effect_size")
-
-
-@query("W04_numbered_hits", extended("four_long sizes", TWO_PROP, f"SELECT gene, bin, CAST(row_number() OVER (ORDER BY neg_log10_adjusted DESC, abs(effect_size) DESC, gene, bin) AS INTEGER) AS hit FROM ({T02_OUT}) WHERE significant_bonferroni ORDER BY hit LIMIT 20"))
-def numbered_hits(spark, d):
-    top = gene_tests.top_significant(rounded(two_proportion(spark, d)), "effect_size")
-    order = [F.col("neg_log10_adjusted").desc(), F.abs("effect_size").desc(), "gene", "bin"]
-    return top.withColumn("hit", F.row_number().over(Window.orderBy(*order))).select("gene", "bin", "hit")
-
-
 DISCOVERY = f"""SELECT t.gene, t.bin, {sr('t.p_val')} AS p_val, {sr('f.log2_fold_change')} AS log2_fold_change,
     {sr(neg_log10('t.p_val'))} AS neg_log10_raw_pval FROM tested t JOIN fold f ON t.gene = f.gene AND t.bin = f.bin"""
 
@@ -367,6 +345,51 @@ def thresholds(spark, d):
     return rounded(multitest.thresholds(p_values(spark, d)))
 
 
+# --- significant hits among read-depth outliers per variant and line, a table with many rejections -------------------
+
+
+def depth_tests(spark, d):
+    """Mean quantity per part and line against its expectation, with a deliberately tight deviation."""
+    groups = star.table(spark, d, "lineitem").groupBy("l_partkey", "l_linenumber").agg(
+        (F.avg("l_quantity") - 25.5).alias("effect"), F.count(F.lit(1)).alias("n")
+    )
+    tested = groups.select(
+        F.col("l_partkey").cast("string").alias("gene"), F.col("l_linenumber").cast("string").alias("bin"), "effect",
+        N.two_sided_p(F.col("effect") * F.sqrt("n") / 5.0).alias("p_val"),
+    )
+    return multitest.fdr_two_stage(tested)
+
+
+DEPTH = f"""WITH tested AS (
+        SELECT CAST(l_partkey AS VARCHAR) AS gene, CAST(l_linenumber AS VARCHAR) AS bin, avg(l_quantity) - 25.5 AS effect,
+               {two_sided_p('(avg(l_quantity) - 25.5) * sqrt(count(*)) / 5.0::DOUBLE')} AS p_val
+        FROM lineitem GROUP BY l_partkey, l_linenumber), {FDR},
+    hits AS (SELECT gene, bin, {sr('effect')} AS effect, {sr('p_val')} AS p_val, {FDR_OUT} FROM corrected)"""
+DEPTH_ORDER = "ORDER BY neg_log10_adjusted DESC, abs(effect) DESC, gene, bin"
+
+
+@query("P28_significant", f"{DEPTH} SELECT * FROM hits WHERE significant_bonferroni")
+def significant(spark, d):
+    return rounded(depth_tests(spark, d).filter("significant_bonferroni"))
+
+
+@query("O02_top_significant", f"{DEPTH} SELECT * FROM hits WHERE significant_bonferroni {DEPTH_ORDER} LIMIT 20")
+def top_significant(spark, d):
+    return gene_tests.top_significant(rounded(depth_tests(spark, d)), "effect")
+
+
+@query("O03_top_by_gene", f"{DEPTH} SELECT * FROM hits WHERE significant_bonferroni ORDER BY gene DESC, bin DESC LIMIT 20")
+def top_by_gene(spark, d):
+    return gene_tests.top_significant_by_gene(rounded(depth_tests(spark, d)))
+
+
+@query("W04_numbered_hits", f"{DEPTH} SELECT gene, bin, CAST(row_number() OVER ({DEPTH_ORDER}) AS INTEGER) AS hit FROM hits WHERE significant_bonferroni ORDER BY hit LIMIT 20")
+def numbered_hits(spark, d):
+    top = gene_tests.top_significant(rounded(depth_tests(spark, d)), "effect")
+    order = Window.orderBy(F.col("neg_log10_adjusted").desc(), F.abs("effect").desc(), "gene", "bin")
+    return top.withColumn("hit", F.row_number().over(order)).select("gene", "bin", "hit")
+
+
 @query("A12_exact_quantile", f"SELECT l_returnflag, {sr('quantile_cont(ln(l_extendedprice), 0.99)')} AS q99, count(*) AS n_values FROM lineitem GROUP BY l_returnflag")
 def quantile(spark, d):
     prices = star.table(spark, d, "lineitem").select("l_returnflag", F.log("l_extendedprice").alias("v"))
