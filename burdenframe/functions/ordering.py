@@ -71,10 +71,9 @@ def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
     return numbered.withColumn(out, (F.col(out) - 1).cast("int"))
 
 
-def value_counts(df: DataFrame, value: str, groups: Sequence[str], bucket: Column) -> DataFrame:
-    """Distinct values with ``n`` occurrences and ``cum`` values up to and including each."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    return running_total(counts, F.col("n"), bucket, [F.col(value)], "cum", groups)
+def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Distinct values per group with ``n`` occurrences; NULL is left out."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def exact_quantile(
@@ -84,23 +83,20 @@ def exact_quantile(
 
     Only distinct values within one bucket ever meet in one window; no group is gathered whole.
     """
+    groups = list(groups)
     bucket = log_value_bucket(F.col(value)) if bucket is None else bucket
-    counted = value_counts(df, value, groups, bucket)
-    total = df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("n_values"))
+    counts = value_counts(df, value, groups)
+    total = counts.groupBy(*groups).agg(F.sum("n").alias("n_values"))
+    running = running_total(counts, F.col("n"), bucket, [F.col(value)], "cum", groups)
+    sized = running.join(total, groups) if groups else running.withColumn(
+        "n_values", total.select("n_values").scalar()
+    )
     at = (F.col("n_values") - 1) * F.lit(float(q))
     low = F.min(F.when(F.col("cum") > F.floor(at), F.col(value)))
     high = F.min(F.when(F.col("cum") > F.ceil(at), F.col(value)))
-    joined = counted.join(total, list(groups)) if groups else counted.withColumn(
-        "n_values", total.select("n_values").scalar()
-    )
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))
     return (
-        joined.groupBy(*groups)
+        sized.groupBy(*groups)
         .agg(low.alias("_low"), high.alias("_high"), F.max("n_values").alias("n_values"))
-        .select(
-            *groups,
-            (
-                F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))
-            ).alias(out),
-            "n_values",
-        )
+        .select(*groups, between.alias(out), "n_values")
     )

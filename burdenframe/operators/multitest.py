@@ -1,7 +1,7 @@
 """Multiple-testing corrections over a table of p-values.
 
-The number of tests enters as a scalar subquery. Ranks come from ``ordering.value_counts``: equal
-p-values are folded first and only p-values of one bucket meet in a window.
+The number of tests enters as a scalar subquery. For ranks, equal p-values are folded first and only
+p-values of one bucket meet in a window.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from burdenframe.functions.numeric import neg_log10
-from burdenframe.functions.ordering import p_value_bucket, value_counts
+from burdenframe.functions.ordering import p_value_bucket, running_total, value_counts
 
 ALPHA = 0.05
 
@@ -51,7 +51,9 @@ def benjamini_hochberg(df: DataFrame, p: str = "p_val") -> DataFrame:
     The suffix minimum is taken inside each bucket and joined with the minimum of all later buckets.
     """
     bucket = p_value_bucket(F.col(p))
-    ranked = value_counts(df, p, [], bucket).withColumns({"_bucket": bucket, "_m": n_tests(df, p)})
+    counts = value_counts(df, p)
+    m = counts.select(F.sum("n").cast("double")).scalar()
+    ranked = running_total(counts, F.col("n"), bucket, [F.col(p)], "cum").withColumns({"_bucket": bucket, "_m": m})
     raw = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("cum"))
     per_bucket = raw.groupBy("_bucket").agg(F.min("_raw").alias("_low"))
     after = Window.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)

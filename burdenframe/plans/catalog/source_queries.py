@@ -140,12 +140,10 @@ def save_cohort(spark, d):
     )
 
 
-def _stored_frequency_table(spark: SparkSession, d: str, sep: str = ",") -> str:
+def _stored_frequency_table(spark: SparkSession, d: str) -> str:
+    table = burden.frequency_table(star.kept_entries(spark, d))
     folder = work_folder(spark, "freq")
-    n = "frequency_table_639"
-    return tables.write_frequency_table(
-        burden.frequency_table(star.kept_entries(spark, d)), folder, n, "BUILDING", overwrite=True
-    )
+    return tables.write_frequency_table(table, folder, "frequency_table", star.PHENOTYPE, overwrite=True)
 
 
 @query("S06_write_frequency_table", with_("kept", f"SELECT gene, {WIDE_CELLS} FROM kept GROUP BY gene"))
@@ -313,10 +311,7 @@ def find_file(spark, d):
     return inv.find_file(document_files(spark, d), "src7_7.vcf")
 
 
-ANNOTATION_COLUMNS = "s, contig, pos, gene, impact, hgnc_id, max_af"
-
-
-@query("S19_annotate_from_table", """
+@query("S19_J10_annotate_from_table", """
     SELECT o_custkey AS s, CAST(l_partkey AS INTEGER) AS pos, l_linenumber % 3 AS ac,
            CASE WHEN hit THEN p_brand || '.' || p_type END AS gene,
            CASE WHEN hit THEN CAST(p_partkey AS INTEGER) END AS hgnc_id
