@@ -73,7 +73,8 @@ def fdr_two_stage(
     """Two-stage Benjamini-Hochberg (``fdr_tsbh``).
 
     Stage one rejects ``r1`` tests at ``alpha``. Unless that is none or all of them, adjusted values
-    shrink by the share of tests left and rejection is repeated at ``alpha * m / (m - r1)``.
+    shrink by the share of tests left and rejection is repeated at ``alpha * m / (m - r1)``. The input is
+    read more than once; store it first when its p-values are costly.
     """
     bh = benjamini_hochberg(df, p)
     r1 = bh.agg(F.coalesce(F.sum(F.when(F.col("bh") <= alpha, F.col("n"))), F.lit(0)).cast("double")).scalar()

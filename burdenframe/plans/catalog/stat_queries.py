@@ -12,6 +12,7 @@ from burdenframe.plans import star_cohort as star
 from burdenframe.plans.catalog.registry import query, r, rounded
 from burdenframe.plans.catalog.sql import WIDE_CELLS, extended, neg_log10, sum_if, two_sided_p, with_
 from burdenframe.plans.catalog.sql import r as sr
+from burdenframe.plans.workspace import stored
 
 COUNTS = ", ".join(genetable.COUNTS)
 SLIM = [n for n in burden.bin_names() if not n.startswith("MODIFIER")]
@@ -337,7 +338,7 @@ def bonferroni_joint(spark, d):
 
 @query("W03c_fdr_two_stage", f"WITH tested AS ({P_SQL}), {FDR} SELECT l_orderkey, l_partkey, l_linenumber, {sr('p_val')} AS p_val, {FDR_OUT} FROM corrected")
 def fdr_two_stage(spark, d):
-    return rounded(multitest.fdr_two_stage(p_values(spark, d)))
+    return rounded(multitest.fdr_two_stage(stored(p_values(spark, d), "pvalues")))
 
 
 @query("W03d_W03e_thresholds", f"SELECT count(*) AS n_tests, {sr('0.05::DOUBLE / count(*)')} AS alpha_bonferroni, {sr('1 - pow(0.95::DOUBLE, 1.0::DOUBLE / count(*))')} AS alpha_sidak, {sr('-log10(0.05::DOUBLE)')} AS neg_log10_alpha, {sr('-log10(0.05::DOUBLE / count(*))')} AS neg_log10_alpha_bonferroni FROM ({P_SQL})")
@@ -357,7 +358,7 @@ def depth_tests(spark, d):
         F.col("l_partkey").cast("string").alias("gene"), F.col("l_linenumber").cast("string").alias("bin"), "effect",
         N.two_sided_p(F.col("effect") * F.sqrt("n") / 5.0).alias("p_val"),
     )
-    return multitest.fdr_two_stage(tested)
+    return multitest.fdr_two_stage(stored(tested, "pvalues"))
 
 
 DEPTH = f"""WITH tested AS (

@@ -174,3 +174,46 @@ def test_incremental_ingest_is_idempotent(spark, cohort_dir):
     assert ("G1", "HIGH.gnomad_001", 3) in totals()
     ingest.append_batch(spark.createDataFrame([("E3", "G1", "HIGH.gnomad_001", 1)], "s string, gene string, bin string, ac long"), store, 1)
     assert ("G1", "HIGH.gnomad_001", 3) in totals()
+
+
+def test_commands_over_a_cohort(spark, cohort_dir):
+    root = str(cohort_dir / "a")
+    meta = metadata.read_metadata(spark, str(cohort_dir / "meta.tsv"))
+    entries = commands.read_entries(spark, root)
+    side = {r["gene"]: r.asDict() for r in commands.case_control_counts(entries, meta, "LIHAS").collect()}
+    assert side["G1"]["HIGH.gnomad_001_case"] == 1 and side["G1"]["HIGH.gnomad_001_control"] == 1
+    assert side["G1"]["HIGH.gnomad_01_1_control"] == 0
+    null = commands.label(entries, meta, "*LIHAS").entries
+    assert {(r["s"], r["cohort"]) for r in null.select("s", "cohort").distinct().collect()} == {
+        ("E1", "negative"), ("E2", "positive"),
+    }
+    legacy = {r["gene"]: r for r in commands.legacy_gene_table(entries, meta, "LIHAS.*").collect()}
+    assert (legacy["G1"]["high"]["gnomad_1_5"], legacy["G1"]["high"]["gnomad_5_100"]) == (0, 0)
+    assert legacy["G2"]["low"]["gnomad_1"] == 2
+    assert commands.legacy_gene_table(entries, min_dp=44).filter("gene = 'G2'").first()["low"]["gnomad_1"] == 4
+    with pytest.raises(Exception, match="no sample matches"):
+        commands.legacy_gene_table(entries, meta, "none").collect()
+    stored = str(cohort_dir / "stored")
+    tables.save_cohort(filters.select_core(entries), stored)
+    again = commands.burden_tables_from(spark, stored, meta, "LIHAS")["positive"]
+    direct = commands.burden_tables(spark, root, str(cohort_dir / "meta.tsv"), "LIHAS")["positive"]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, direct.collect()))
+    long, vector = commands.genotype_matrix(filters.burden_filters(entries), spark.createDataFrame(
+        [("E1", True), ("E2", False)], "s string, is_case boolean"))
+    assert long.count() == 9 and {tuple(r) for r in vector.collect()} == {("E1", 1), ("E2", 0)}
+    with pytest.raises(ValueError, match="metadata"):
+        commands.label(entries, None, "LIHAS")
+
+
+def test_table_writers(spark, tmp_path):
+    table = spark.createDataFrame([("G1", 1, 0), (None, 2, 3)], "gene string, `HIGH.a` long, `LOW.a` long")
+    target = tables.write_frequency_table(table, str(tmp_path), "frequency_table_2", "L_positive", stamp=False)
+    assert target.endswith("frequency_table_2_L_positive.csv")
+    tables.write_frequency_table(table.limit(1), str(tmp_path), "frequency_table_2", "L_positive", stamp=False)
+    got = tables.read_frequency_table(spark, target)
+    assert {tuple(r) for r in got.collect()} == {("G1", 1, 0), (None, 2, 3)}
+    assert tables.timestamped("/a.b/t.csv", tables.datetime(2024, 1, 2, 3, 4, 5)) == "/a.b/t-20240102-030405.csv"
+    run = spark.createDataFrame([("G1", 1.0)], "gene string, x double")
+    for k in (10, 10, 5):
+        tables.write_run(run, str(tmp_path / "runs"), 100, k, 6, 9)
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
