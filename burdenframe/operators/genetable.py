@@ -162,14 +162,14 @@ def infinite_ratio_genes(
     long: DataFrame, case: str = "ac_case_pheno", control: str = "ac_control_pheno",
     keyword: str = "all", min_case: int = 3,
 ) -> DataFrame:
-    """Gene-bins with no control allele and at least ``min_case`` case alleles."""
+    """Gene-bins with no control allele and at least ``min_case`` case alleles, last gene first."""
     hit = (F.col(control) == 0) & (F.col(case) >= min_case)
     if keyword != "all":
         hit = hit & F.upper("bin").contains(keyword.upper())
     return long.filter(hit).select(
         "gene", "bin", F.col(case).alias("case_burden"), F.col(control).alias("control_burden"),
         F.lit("inf").alias("ratio_status"),
-    )
+    ).orderBy(F.col("gene").desc(), F.col("bin").desc())
 
 
 def gene_lookup(df: DataFrame, gene: str) -> DataFrame:

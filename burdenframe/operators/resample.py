@@ -182,12 +182,10 @@ def rank_contributors(contrib: DataFrame, n: int = 10) -> DataFrame:
     ).limit(n)
 
 
-def gene_pairs(
-    top: DataFrame, sets: DataFrame, genes: DataFrame, focus: DataFrame, set_size: int = SET_SIZE
-) -> DataFrame:
+def gene_pairs(top: DataFrame, sets: DataFrame, genes: DataFrame, focus: DataFrame) -> DataFrame:
     """How often two of the ``focus`` genes share a top set, pairs in alphabetical order.
 
-    A set holds at most ``set_size`` genes, so its pairs are taken inside the row of the set.
+    A set holds as many genes as were drawn for it, so its pairs are taken inside the row of the set.
     """
     named = genes.select("gene_idx", "gene").join(focus.select("gene"), "gene", "left_semi")
     members = (
@@ -196,7 +194,7 @@ def gene_pairs(
         .join(named, "gene_idx")
         .groupBy("iter")
         .agg(F.array_sort(F.collect_list("gene")).alias("g"))
-        .filter(F.size("g").between(2, set_size))
+        .filter(F.size("g") >= 2)
     )
     pairs = F.flatten(
         F.transform(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,10 +62,14 @@ def burden_summary(long: DataFrame, side: str, n_case: int | Column, n_control:
 
 
 def compare_summaries(
-    pheno: DataFrame, null: DataFrame, log2_delta: bool = True, digits: int = 4
+    pheno: DataFrame,
+    null: DataFrame,
+    log2_delta: bool = True,
+    digits: int = 4,
+    metrics: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``Metric, Phenotype, Null, Delta`` over the shared metrics, values rounded first."""
-    shared = [c for c in pheno.columns if c in null.columns]
+    """``Metric, Phenotype, Null, Delta`` over the shared or named metrics, values rounded first."""
+    shared = [c for c in pheno.columns if c in null.columns] if metrics is None else list(metrics)
 
     def tall(df: DataFrame, name: str) -> DataFrame:
         rounded = df.select(*[F.round(c, digits).alias(c) for c in shared])

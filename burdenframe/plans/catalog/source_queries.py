@@ -270,6 +270,11 @@ def first_per_prefix(spark, d):
     return inv.file_list(document_files(spark, d), "/(EN|FR)/")
 
 
+@query("A22_inventory_counts", f"SELECT count(*) AS n_files, count(*) FILTER (WHERE status = 'unique') AS n_unique, count(*) FILTER (WHERE status = 'duplicate') AS n_duplicates, count(*) FILTER (WHERE status = 'rejected') AS n_regexed_out FROM ({FILE_LIST_SQL})")
+def inventory_counts(spark, d):
+    return inv.inventory_counts(inv.file_list(document_files(spark, d), "/(EN|FR)/"))
+
+
 @query("S15_file_list", f"""
     SELECT prefix || chr(9) || path AS line, 'main' AS list FROM ({FILE_LIST_SQL}) WHERE status = 'unique'
     UNION ALL SELECT prefix || chr(9) || name || chr(9) || path, 'duplicates' FROM ({FILE_LIST_SQL})

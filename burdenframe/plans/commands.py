@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burdenframe.operators import burden, cohort, filters, genotypes, kinship
+from burdenframe.plans.workspace import stored
 from burdenframe.sources import inventory as inv
 from burdenframe.sources import metadata as meta
-from burdenframe.sources import tables
-from burdenframe.sources import vcf
+from burdenframe.sources import tables, vcf
 
 
 @dataclass(frozen=True)
@@ -23,10 +23,13 @@ class Cohort:
     phenotype: str | None
 
     def frequency_tables(self) -> dict[str, DataFrame]:
-        """Wide gene table per cohort; without a phenotype there is one cohort."""
+        """Wide gene table per cohort; without a phenotype there is one cohort.
+
+        Both cohorts come from one pass over the entries, whose small result is stored.
+        """
         if self.phenotype is None:
             return {"all": burden.frequency_table(self.entries)}
-        both = burden.frequency_table(self.entries, ["cohort"])
+        both = stored(burden.frequency_table(self.entries, ["cohort"]), "frequency")
         return {c: both.filter(F.col("cohort") == c).drop("cohort") for c in ("positive", "negative")}
 
     def counts(self) -> DataFrame:
