@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from burdenframe.functions.numeric import let
+
 HASH_DIGITS = 15  # hexadecimal digits of md5 kept, so that the value fits a signed 64-bit integer
 
 
@@ -39,5 +41,9 @@ def distinct_draws(seed: int | str, counter: Column, n: Column, k: Column, overs
         ),
         lambda x: x["i"],
     )
-    enough = (F.size(kept) == k) & (n >= k * 2)
-    return F.when(enough, kept).otherwise(F.slice(shuffled, F.lit(1), k))
+
+    def choose(found: Column) -> Column:
+        enough = (F.size(found) == k) & (n >= k * 2)
+        return F.when(enough, found).otherwise(F.slice(shuffled, F.lit(1), k))
+
+    return let(kept, choose)

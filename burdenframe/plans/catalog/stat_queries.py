@@ -70,10 +70,10 @@ def infinite_ratio(spark, d):
     return genetable.infinite_ratio_genes(star.gene_counts_long(spark, d))
 
 
-@query("P24_infinite_ratio_null_high", four("SELECT gene, bin, ac_case_null AS case_burden, ac_control_null AS control_burden, 'inf' AS ratio_status FROM four_long WHERE ac_control_null = 0 AND ac_case_null >= 3 AND contains(bin, 'HIGH')"))
+@query("P24_infinite_ratio_null_high", four("SELECT gene, bin, ac_case_null AS case_burden, ac_control_null AS control_burden, 'inf' AS ratio_status FROM four_long WHERE ac_control_null = 0 AND ac_case_null >= 1 AND contains(bin, 'HIGH')"))
 def infinite_ratio_high(spark, d):
     return genetable.infinite_ratio_genes(
-        star.gene_counts_long(spark, d), "ac_case_null", "ac_control_null", keyword="high"
+        star.gene_counts_long(spark, d), "ac_case_null", "ac_control_null", keyword="high", min_case=1
     )
 
 
