@@ -70,17 +70,17 @@ def infinite_ratio(spark, d):
     return genetable.infinite_ratio_genes(star.gene_counts_long(spark, d))
 
 
-@query("P24_infinite_ratio_by_site", with_("labelled_entries", f"""
+@query("P24_infinite_ratio_private_calls", with_("labelled_entries", f"""
     SELECT gene, bin, case_burden, control_burden, 'inf' AS ratio_status FROM (
-        SELECT CAST(pos AS VARCHAR) AS gene, impact AS bin, {sum_if('is_null_case')} AS case_burden,
+        SELECT pos || ':' || s AS gene, impact AS bin, {sum_if('is_null_case')} AS case_burden,
                {sum_if('NOT is_null_case')} AS control_burden
         FROM labelled_entries GROUP BY 1, 2)
     WHERE control_burden = 0 AND case_burden >= 1 AND contains(bin, 'HIGH')"""))
-def infinite_ratio_by_site(spark, d):
-    """Null split, single sites in place of genes, HIGH impact only."""
+def infinite_ratio_private_calls(spark, d):
+    """Null split, one sample's calls at one site in place of a gene, HIGH impact only."""
     null = F.col("is_null_case")
     long = star.labelled_entries(spark, d).groupBy(
-        F.col("pos").cast("string").alias("gene"), F.col("impact").alias("bin")
+        F.concat_ws(":", "pos", "s").alias("gene"), F.col("impact").alias("bin")
     ).agg(burden.allele_sum(null).alias("case"), burden.allele_sum(~null).alias("control"))
     return genetable.infinite_ratio_genes(long, "case", "control", keyword="high", min_case=1)
 
