@@ -114,7 +114,7 @@ def phenotype_pattern(spark, d):
 # --- cohorts --------------------------------------------------------------------------------------------
 
 
-@query("J01_case_control_split", with_("kept labelled", "SELECT is_case, count(*) AS n, sum(ac) AS ac, count(DISTINCT k.s) AS n_samples FROM kept k JOIN labelled l ON k.s = l.s GROUP BY is_case"))
+@query("J01_case_control_split", with_("kept labelled", "SELECT is_case, count(*) AS n, CAST(sum(ac) AS BIGINT) AS ac, count(DISTINCT k.s) AS n_samples FROM kept k JOIN labelled l ON k.s = l.s GROUP BY is_case"))
 def case_control_split(spark, d):
     entries, samples = star.kept_entries(spark, d), star.samples(spark, d)
     sides = [
@@ -160,7 +160,7 @@ def multi_way_union(spark, d):
     )
 
 
-@query("U01_row_union", with_("kept", "SELECT s, count(*) AS n, sum(ac) AS ac FROM kept GROUP BY s"))
+@query("U01_row_union", with_("kept", "SELECT s, count(*) AS n, CAST(sum(ac) AS BIGINT) AS ac FROM kept GROUP BY s"))
 def row_union(spark, d):
     e = star.labelled_entries(spark, d)
     merged = cohort.union_entries([e.filter("is_case"), e.filter("NOT is_case")])

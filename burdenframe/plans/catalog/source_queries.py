@@ -111,7 +111,7 @@ def metadata_line() -> Column:
     SELECT replace(c_name, '#', '-') AS s,
            CASE WHEN c_nationkey % 5 = 0 THEN 'NA' WHEN c_nationkey = 3 THEN '' ELSE c_mktsegment END AS phenotype,
            CASE WHEN c_nationkey % 5 = 0 THEN 'NA' ELSE 'mut' || c_nationkey END AS mutation,
-           0 AS n_duplicates
+           CAST(0 AS BIGINT) AS n_duplicates
     FROM customer""")
 def sample_metadata(spark, d):
     path = work_folder(spark, "metadata")
@@ -130,7 +130,7 @@ def load_cohort(spark, d):
     )
 
 
-@query("S05_save_cohort", with_("kept", "SELECT contig, count(*) AS n, sum(ac) AS ac FROM kept GROUP BY contig"))
+@query("S05_save_cohort", with_("kept", "SELECT contig, count(*) AS n, CAST(sum(ac) AS BIGINT) AS ac FROM kept GROUP BY contig"))
 def save_cohort(spark, d):
     path = work_folder(spark, "cohort")
     tables.save_cohort(star.kept_entries(spark, d), path, overwrite=True)
@@ -452,7 +452,7 @@ def variant_id(spark, d):
     )
 
 
-@query("F10_array_utilities", "SELECT vec_id, len(embedding) AS n, CAST(len(embedding) * (len(embedding) - 1) AS BIGINT) AS total, len(list_concat(embedding, embedding)) AS doubled FROM embeddings")
+@query("F10_array_utilities", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(len(embedding) * (len(embedding) - 1) AS BIGINT) AS total, CAST(len(list_concat(embedding, embedding)) AS INTEGER) AS doubled FROM embeddings")
 def array_utilities(spark, d):
     e = F.col("embedding")
     steps = F.transform(F.sequence(F.lit(0), F.size(e) - 1), lambda i: i * 2)
