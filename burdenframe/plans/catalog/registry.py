@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +15,18 @@ ORACLE: dict[str, str] = {}
 DIGITS = 6
 
 
+def undotted(df: DataFrame) -> DataFrame:
+    """Bin columns with an underscore for the dot, so that they can be selected unquoted."""
+    return df.toDF(*[c.replace(".", "_") for c in df.columns])
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: undotted(fn(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = re.sub(r'"(\w+)\.(\w+)"', r'"\1_\2"', sql)
         return fn
 
     return keep
