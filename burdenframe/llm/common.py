@@ -28,6 +28,12 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def once(value: Column) -> Column:
+    """``value`` as a generated column: filters on it stay above, so that the optimizer doesn't copy a long expression
+    into them."""
+    return F.explode(F.array(value))
+
+
 def batches(texts: list[Any], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``most_chars`` characters; a longer text has a range of its own."""
     begin = size = 0

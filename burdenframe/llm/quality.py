@@ -13,7 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burdenframe.llm.common import SPACES, WORD_GAP, bind
+from burdenframe.llm.common import SPACES, WORD_GAP, bind, once
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -105,12 +105,12 @@ def assess(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_
     t = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
     steps = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     total = lambda rows, field: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + x[field])
-    steps = steps.select("doc", line_verdicts(t).alias("lines"))
+    steps = steps.select("doc", once(line_verdicts(t)).alias("lines"))
     steps = steps.select("doc", "lines", F.flatten(F.col("lines.words")).alias("w"))
     windows = F.when(F.size("w") >= 3, F.transform(
         F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     )).otherwise(F.array().cast("array<bigint>"))
-    steps = steps.select("doc", "lines", F.size("w").cast("long").alias("n_words"), windows.alias("h"))
+    steps = steps.select("doc", "lines", F.size("w").cast("long").alias("n_words"), once(windows).alias("h"))
     steps = steps.select(
         "doc", "n_words", total("lines", "chars").alias("word_chars"), total("lines", "symbols").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines.line"))).cast("long").alias("n_dup_lines"),
@@ -127,4 +127,4 @@ def assess(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * max_lost_percent)
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     rest = ("n_lines", "n_lines_removed", "lost_chars", "removed", "clean_text")
-    return steps.select("doc", F.struct(*fields, kept.alias("kept"), *rest).alias("quality"))
+    return steps.select("doc", once(F.struct(*fields, kept.alias("kept"), *rest)).alias("quality"))

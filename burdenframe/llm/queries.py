@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from burdenframe.llm import packing, quality
+from burdenframe.llm import jaccard_join, language, packing, quality, secret_scan
 from burdenframe.llm.common import table
 from burdenframe.llm.oracle import ORACLE
+from burdenframe.plans.workspace import work_folder
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -23,6 +25,33 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc.doc_id", *[f"quality.{f}" for f in fields])
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    predict = language.predictor(spark, language.train(docs.filter(~F.col("held_out"))))
+    found = docs.select("doc_id", "held_out", predict("text").alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+def span_digest(spans: Column, base: tuple[str, ...]) -> dict[str, Column]:
+    """Counts by base kind, the hash of the base spans, and all spans as text."""
+    of_kind = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    own = F.filter(spans, lambda x: x["kind"].isin(*base))
+    return {f"n_{kind}": of_kind(kind) for kind in base} | {
+        "base_sha256": F.sha2(secret_scan.spans_text(own), 256), "spans": secret_scan.spans_text(spans)}
+
+
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.findings(docs, work_folder(spark, "ledger"), doc_id="doc_id")
+    digest = span_digest(F.col("findings"), tuple(secret_scan.BASE_RULES))
+    return found.select("doc_id", *[c.alias(name) for name, c in digest.items()], "blob")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_line_quality)
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_line_quality, op8_ngram_jaccard_join, op9_language_id, op10_secret_ledger)
 }

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenframe.llm import packing, quality
+from burdenframe.llm import jaccard_join, language, packing, quality, secret_scan
 from burdenframe.llm.common import table
-from burdenframe.plans.workspace import stored
+from burdenframe.plans.workspace import stored, work_folder
 
+MIN_LANGUAGE_SCORE = 0.5
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -21,12 +22,48 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the documents at hand; drop those without letters or without a likely language."""
+    model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
+    found = language.predictor(spark, model)("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), found.alias("found"))
+    sure = (F.col("found.lang") != language.UNKNOWN) & (F.col("found.score") >= MIN_LANGUAGE_SCORE)
+    return rows.filter(sure).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, the one with the smallest doc_id; of rows with that doc_id, one.
+
+    Documents without doc_id stay if no document with one is in their component.
+    """
+    near = jaccard_join.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = stored(near.groupBy(F.col("doc_id").alias("keep")).agg(F.count("*").alias("n")), "keep")
+    repeated = F.col("n") > 1
+    kept = docs.join(keep.filter(~repeated | F.col("keep").isNull()), docs["doc_id"].eqNullSafe(F.col("keep")), "left_semi")
+    again = keep.filter(repeated & F.col("keep").isNotNull())
+    if again.isEmpty():
+        return kept
+    return kept.union(docs.join(again, docs["doc_id"] == F.col("keep"), "left_semi").dropDuplicates(["doc_id"]))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are masked."""
+    found = secret_scan.attach(docs, work_folder(spark, "ledger"))
+    clean = secret_scan.masked(F.col("doc.text"), F.col("findings"))
+    hit = F.size("findings") > 0
+    changed = {"text": clean, "n_chars": F.when(hit, F.char_length(clean).cast("long")).otherwise(F.col("doc.n_chars"))}
+    return found.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("secret scans", secret_scans),
     ("best-fit packing", best_fit_packing),
 ]
 
