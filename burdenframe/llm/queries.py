@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenframe.llm import jaccard_join, language, packing, quality, secret_scan
+from burdenframe.llm import (
+    html_text, jaccard_join, language, packing, pii, piece_codec, quality, secret_scan, topk_search, url_filter,
+)
 from burdenframe.llm.common import table
 from burdenframe.llm.oracle import ORACLE
 from burdenframe.plans.workspace import work_folder
@@ -25,6 +27,31 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc.doc_id", *[f"quality.{f}" for f in fields])
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", *[c.alias(name) for name, c in span_digest(F.col("spans"), pii.BASE).items()])
+
+
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text and decode it again: number and checksum of the ids, and whether the text came back."""
+    coded = piece_codec.encode(table(spark, sf_dir, "documents"))
+    back = coded.select("doc_id", "text", "ids", piece_codec.decoder()("ids").alias("decoded"))
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,5 +80,8 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_line_quality, op8_ngram_jaccard_join, op9_language_id, op10_secret_ledger)
+    for f in (
+        op1_best_fit_packing, op2_line_quality, op3_exact_top_k, op4_html_text, op5_url_filter, op6_personal_data,
+        op7_piece_codec, op8_ngram_jaccard_join, op9_language_id, op10_secret_ledger,
+    )
 }
