@@ -132,7 +132,7 @@ def blocks(html: str) -> list[Block]:
             parts += 1
             part = parts
         lost = rejected or name in NOT_TEXT or name == "header" and not part
-        if name not in TEXT | {"html", "body", "p"} and not lost:
+        if name not in TEXT | {"html", "body"} and not lost:
             lost = _marked(attributes)
         if name in BLOCKS or lost != rejected:
             if lost != rejected and name not in BLOCKS:
@@ -143,7 +143,7 @@ def blocks(html: str) -> list[Block]:
 
 
 def first_pass(block: Block) -> int:
-    if block.rejected or block.linked > MAX_LINK_SHARE * len(block.text):
+    if block.linked > MAX_LINK_SHARE * len(block.text):
         return BAD
     if len(block.text) < LONG:
         return OPEN
@@ -153,10 +153,10 @@ def first_pass(block: Block) -> int:
 
 
 def main_text(html: str | None) -> str:
-    """The text of the blocks that are kept, joined by line breaks. Labels don't pass the bounds of an article or main
+    """The text of the blocks that are kept, joined by line breaks. Blocks of rejected elements go first. Labels don't pass the bounds of an article or main
     element; inside one, blocks without any decided neighbour are kept, outside they are dropped. Of two decided neighbours as
     near, the later one counts."""
-    found = blocks(html or "")
+    found = [b for b in blocks(html or "") if not b.rejected]
     labels = [first_pass(b) for b in found]
     before, after = list(labels), list(labels)
     gap_before, gap_after = [0] * len(found), [0] * len(found)
