@@ -20,30 +20,17 @@ def hash_draw(seed: int | str, *parts: Column) -> Column:
     return F.conv(F.substring(hash_hex(seed, *parts), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
-def distinct_draws(seed: int | str, counter: Column, n: Column, k: Column, oversample: int = 3) -> Column:
-    """``k`` distinct indices out of ``0..n-1`` for one counter value.
+def distinct_draws(seed: int | str, counter: Column, n: Column, k: Column) -> Column:
+    """``k`` distinct indices out of ``0..n-1`` for one counter value, ``k`` at most ``n``.
 
-    Indices are drawn ``oversample * k`` times and the first ``k`` distinct ones are kept. A counter
-    that collects too few, or a population below ``2k``, takes the first ``k`` of the population in
-    hash order instead; either way all subsets are equally likely.
+    Floyd's rule: for ``j`` from ``n-k`` to ``n-1`` draw from ``0..j`` and take ``j`` itself if the draw is there already. All
+    subsets are equally likely, whatever ``n``.
     """
-    draws = F.transform(
-        F.sequence(F.lit(0), k * oversample - 1),
-        lambda d: (hash_draw(seed, counter, d) % n).cast("int"),
-    )
-    kept = F.slice(F.array_distinct(draws), F.lit(1), k)
-    shuffled = F.transform(
-        F.array_sort(
-            F.transform(
-                F.sequence(F.lit(0), n.cast("int") - 1),
-                lambda i: F.struct(hash_hex(f"{seed}:all", counter, i).alias("h"), i.alias("i")),
-            )
-        ),
-        lambda x: x["i"],
-    )
-
-    def choose(found: Column) -> Column:
-        enough = (F.size(found) == k) & (n >= k * 2)
-        return F.when(enough, found).otherwise(F.slice(shuffled, F.lit(1), k))
-
-    return let(kept, choose)
+
+    def step(taken: Column, i: Column) -> Column:
+        last = n.cast("int") - k + i
+        draw = (hash_draw(seed, counter, i) % (last + 1)).cast("int")
+        return let(draw, lambda d: F.array_append(taken, F.when(F.array_contains(taken, d), last).otherwise(d)))
+
+    none = F.array().cast("array<int>")
+    return F.when(k > 0, F.aggregate(F.sequence(F.lit(0), k - 1), none, step)).otherwise(none)

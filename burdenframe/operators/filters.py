@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from burdenframe.functions import text as X
 
@@ -17,7 +16,6 @@ MAX_AF = 0.01
 MIN_VF = 0.3
 MIN_DP = 30
 INTERVAL_BIN = 1 << 14
-PREDICATE_LIMIT = 64  # intervals beyond this are joined instead of written as one predicate
 LAST_POSITION = (1 << 31) - 1
 
 CORE_COLUMNS = (
@@ -81,58 +79,47 @@ def parse_interval(text: str) -> tuple[str, int, int]:
     return contig, start, end
 
 
-def interval_predicate(intervals: Sequence[tuple[str, int, int]]) -> Column:
-    def one(contig: str, start: int, end: int) -> Column:
-        here = F.col("contig") == contig
-        return here if end == LAST_POSITION and start == 1 else here & (F.col("pos") >= start) & (F.col("pos") < end)
-
-    return reduce(or_, [one(*i) for i in intervals], F.lit(False))
-
-
 def in_intervals(df: DataFrame, intervals: str | Sequence[str]) -> DataFrame:
-    """Keep sites inside any interval; few intervals become a pushed-down predicate."""
+    """Keep sites inside any interval, written as in ``parse_interval``."""
     texts = [intervals] if isinstance(intervals, str) else list(intervals)
-    parsed = [parse_interval(t) for t in texts]
-    if len(parsed) <= PREDICATE_LIMIT:
-        return df.filter(interval_predicate(parsed))
-    schema = T.StructType(
-        [
-            T.StructField("contig", T.StringType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-        ]
-    )
-    return in_interval_table(df, SparkSession.active().createDataFrame(parsed, schema))
+    table = df.sparkSession.createDataFrame([parse_interval(t) for t in texts], "contig string, start int, end int")
+    return in_interval_table(df, table)
+
+
+def merged_intervals(intervals: DataFrame) -> DataFrame:
+    """Disjoint intervals that cover the same positions; ``whole`` marks those that hold a whole contig."""
+    rows = intervals.filter((F.col("end") > F.col("start")) & F.col("contig").isNotNull()).select(
+        "contig", "start", "end", ((F.col("start") == 1) & (F.col("end") == LAST_POSITION)).alias("whole"))
+    by_start = Window.partitionBy("contig").orderBy("start", "end")
+    reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    first = rows.withColumn("first", F.when(F.col("start") <= reached, 0).otherwise(1))
+    numbered = first.withColumn("island", F.sum("first").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("contig", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("whole").alias("whole")).drop("island")
 
 
 def in_interval_table(df: DataFrame, intervals: DataFrame, bin_size: int = INTERVAL_BIN) -> DataFrame:
     """Keep sites inside any row of ``(contig, start, end)``, end excluded.
 
-    Distinct sites and intervals meet in fixed-width bins, so the range test rides on an equi-join. An
-    interval wider than 64 bins uses bins 64 times as wide, up to three levels, which bounds its
-    copies at 65. The rows themselves are then kept by a semi join on the matched sites.
+    An interval from 1 to ``LAST_POSITION`` is a whole contig: it keeps every row of it, whatever its position, null included. Intervals
+    are merged and cut into fixed-width bins, so each site meets at most one of them in an equi-join on contig and bin; the
+    bounds per contig (one row each on the driver) are filters that reach the scan.
     """
-    width = (F.col("end") - F.col("start")).cast("double") / bin_size
-    level = F.when(width <= 64, 0).when(width <= 64**2, 1).otherwise(2)
-    wide = F.element_at(F.array(*[F.lit(bin_size * 64**i) for i in range(3)]), F.col("level") + 1)
-    binned = (
-        intervals.filter(F.col("end") > F.col("start"))
-        .withColumn("level", level)
-        .withColumn(
-            "bin", F.explode(F.sequence(F.floor(F.col("start") / wide), F.floor((F.col("end") - 1) / wide)))
-        )
-    )
-    sites = df.select("contig", "pos").distinct()
-    keys = F.array(
-        *[
-            F.struct(F.lit(i).alias("level"), F.floor(F.col("pos") / (bin_size * 64**i)).alias("bin"))
-            for i in range(3)
-        ]
-    )
-    candidates = sites.select("contig", "pos", F.explode(keys).alias("k")).select("contig", "pos", "k.*")
-    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
-    matched = candidates.join(binned, ["contig", "level", "bin"]).filter(inside)
-    return df.join(matched.select("contig", "pos").distinct(), ["contig", "pos"], "left_semi")
+    merged = merged_intervals(intervals)
+    bounds = merged.groupBy("contig").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("whole").alias("whole")).collect()
+    whole = F.col("contig").isin([r.contig for r in bounds if r.whole])
+    inside = [(F.col("contig") == r.contig) & (F.col("pos") >= r.start) & (F.col("pos") < r.end) for r in bounds if not r.whole]
+    near = df.filter(reduce(or_, inside, whole))
+    if not inside:
+        return near
+    at = lambda pos: F.floor(pos / F.lit(bin_size))
+    binned = merged.filter("NOT whole").select(
+        F.col("contig").alias("_contig"), F.col("start").alias("_start"), F.col("end").alias("_end"),
+        F.explode(F.sequence(at(F.col("start")), at(F.col("end") - 1))).alias("_bin"))
+    meet = (F.col("contig") == F.col("_contig")) & (at(F.col("pos")) == F.col("_bin")) & (F.col("pos") >= F.col("_start")) & (F.col("pos") < F.col("_end"))
+    if len(inside) == len(bounds):
+        return near.join(binned, meet, "left_semi")
+    return near.join(binned, meet, "left").filter(whole | F.col("_start").isNotNull()).drop("_contig", "_start", "_end", "_bin")
 
 
 def phenotype_matches(df: DataFrame, pattern: str) -> DataFrame:
@@ -140,9 +127,9 @@ def phenotype_matches(df: DataFrame, pattern: str) -> DataFrame:
     return df.filter(X.regex_full(F.col("phenotype"), pattern))
 
 
-def require_rows(df: DataFrame, message: str) -> DataFrame:
-    """Raise ``message`` at run time when ``df`` is empty."""
-    guard = df.limit(1).agg(F.count(F.lit(1)).alias("n")).select(
+def require_rows(df: DataFrame, message: str, of: DataFrame | None = None) -> DataFrame:
+    """``df``; raises ``message`` at run time when ``of``, by default ``df`` itself, is empty."""
+    guard = (df if of is None else of).limit(1).agg(F.count(F.lit(1)).alias("n")).select(
         F.when(F.col("n") > 0, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
     )
     return df.filter(guard.scalar())

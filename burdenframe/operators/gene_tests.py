@@ -193,3 +193,8 @@ def top_significant_by_gene(z: DataFrame, n: int = 20, flag: str = "significant_
 def top_discoveries(discovery: DataFrame, n: int = 25) -> DataFrame:
     """Rows with the smallest raw p."""
     return top_by(discovery, [F.col("neg_log10_raw_pval").desc()], n)
+
+
+def counts_beside(tests: DataFrame, counts: DataFrame) -> DataFrame:
+    """Test results with the raw counts of their gene and bin."""
+    return tests.join(counts, ["gene", "bin"], "left")

@@ -75,6 +75,12 @@ def unpivot_table(table: DataFrame, out: str = "ac") -> DataFrame:
     return table.select("gene", F.stack(F.lit(len(pairs) // 2), *pairs).alias("bin", out))
 
 
+def genes_on_every_side(entries: DataFrame, sides: Sequence[str]) -> DataFrame:
+    """Genes with an entry on every side, each a condition on the entries; one pass over them."""
+    marks = [F.bool_or(F.expr(s)).alias(f"_{i}") for i, s in enumerate(sides)]
+    return entries.groupBy("gene").agg(*marks).filter(" AND ".join(f"_{i}" for i in range(len(sides)))).select("gene")
+
+
 def common_genes(tables: Sequence[DataFrame]) -> DataFrame:
     """Genes that occur in every table."""
     return reduce(lambda a, b: a.intersect(b), [t.select("gene") for t in tables])

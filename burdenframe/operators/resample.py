@@ -40,7 +40,7 @@ def sample_gene_sets(
     too_many = F.raise_error(F.lit("set size is larger than the population")).cast("bigint")
     size = F.least(F.lit(k), F.col("_n")) if shrink else F.when(F.col("_n") < k, too_many).otherwise(F.lit(k))
     sized = counters.select("iter").withColumn("_n", n).withColumn("_k", size.cast("int"))
-    drawn = sized.filter("_n > 0").select(
+    drawn = sized.select(
         "iter", F.posexplode(distinct_draws(seed, F.col("iter"), F.col("_n"), F.col("_k"))).alias("pos", "gene_idx")
     )
     return drawn

@@ -152,9 +152,9 @@ def gene_pairs(spark, d):
     return pairs_of(spark, d)
 
 
-@query("O07_pairs_ranked", extended("listed_top", PAIRS, "SELECT * FROM pairs ORDER BY co_occurrence_count DESC, gene_1, gene_2 LIMIT 20"))
+@query("O07_pairs_ranked", extended("listed_top", PAIRS, "SELECT * FROM pairs"))
 def pairs_ranked(spark, d):
-    return resample.rank_pairs(pairs_of(spark, d), 20)
+    return resample.rank_pairs(pairs_of(spark, d))
 
 
 @query("A16_network_nodes", extended("listed_top", PAIRS, "SELECT gene, count(*) AS degree, count(*) * 500 + 500 AS node_size, gene = 'CAPN3' AS is_hub FROM (SELECT gene_1 AS gene FROM pairs UNION ALL SELECT gene_2 FROM pairs) GROUP BY gene"))

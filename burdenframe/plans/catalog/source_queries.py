@@ -289,12 +289,9 @@ def file_list(spark, d):
     return both[0].unionByName(both[1])
 
 
-@query("O09_files_by_name", f"SELECT name, path, CAST(row_number() OVER (ORDER BY name, path) AS INTEGER) AS at FROM ({FILES_SQL}) ORDER BY name, path LIMIT 50")
+@query("O09_files_by_name", f"SELECT name, path FROM ({FILES_SQL})")
 def files_by_name(spark, d):
-    from pyspark.sql.window import Window
-
-    first = document_files(spark, d).select("name", "path").orderBy("name", "path").limit(50)
-    return first.withColumn("at", F.row_number().over(Window.orderBy("name", "path")))
+    return document_files(spark, d).select("name", "path").orderBy("name", "path")
 
 
 @query("S16_line_count", "SELECT count(*) AS n_lines FROM customer")

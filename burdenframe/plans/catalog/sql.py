@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from burdenframe.functions.numeric import ERFC_FIT
 from burdenframe.operators.burden import AF_BINS
 from burdenframe.operators.genetable import COHORTS, TESTED_BINS
 from burdenframe.plans.star_cohort import FREQUENCIES, IMPACT_BY_SIZE, PHENOTYPE, SET_TYPES
@@ -31,11 +30,13 @@ def r(expr: str) -> str:
 
 
 def erfc(x: str) -> str:
-    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * ({x})))"
-    poly = f"({ERFC_FIT[-1]!r}::DOUBLE)"
-    for c in reversed(ERFC_FIT[:-1]):
-        poly = f"({c!r}::DOUBLE + {t} * {poly})"
-    return f"({t} * exp({poly} - ({x}) * ({x})))"
+    """By another method than the library's: a series of positive terms for small x, a continued fraction beyond."""
+    down = "list_transform(range(0, 100), lambda i: 100.0::DOUBLE - i)"
+    series = f"v * list_reduce(list_prepend(1.0::DOUBLE, {down}), lambda a, k: 1 + a * 2 * v * v / (2 * k + 1))"
+    fraction = f"list_reduce(list_prepend(v, {down}), lambda a, k: v + k / 2 / a)"
+    small = f"1 - 2 / sqrt(pi()) * exp(-v * v) * ({series})"
+    large = f"exp(-v * v) / sqrt(pi()) / ({fraction})"
+    return f"(list_transform([CAST({x} AS DOUBLE)], lambda v: CASE WHEN v < 1.5 THEN {small} WHEN v IS NOT NULL THEN {large} END)[1])"
 
 
 def two_sided_p(z: str) -> str:
@@ -101,26 +102,16 @@ def _sim() -> str:
     return " UNION ALL ".join(parts)
 
 
-def sampled(seed: int, genes: str, k: int = 10, oversample: int = 3) -> str:
-    """SQL of ``sample_gene_sets``: distinct draws, or the population in hash order when it is below ``2k``."""
-    n = f"(SELECT count(*) FROM {genes})"
-    return f"""
-        SELECT iter, pos, gene_idx FROM (
-            SELECT iter, gene_idx, row_number() OVER (PARTITION BY iter ORDER BY d) - 1 AS pos FROM (
-                SELECT iter, gene_idx, min(d) AS d FROM (
-                    SELECT c_custkey AS iter, d,
-                           CAST(('0x' || substr(md5('{seed}:' || c_custkey || ':' || d), 1, 15))::BIGINT
-                                % {n} AS INTEGER) AS gene_idx
-                    FROM customer, (SELECT unnest(range({k * oversample})) AS d)
-                ) GROUP BY iter, gene_idx
-            )
-        ) WHERE pos < {k} AND {n} >= {2 * k}
-        UNION ALL
-        SELECT iter, pos, gene_idx FROM (
-            SELECT c_custkey AS iter, gene_idx,
-                   row_number() OVER (PARTITION BY c_custkey ORDER BY md5('{seed}:all:' || c_custkey || ':' || gene_idx)) - 1 AS pos
-            FROM customer, (SELECT gene_idx FROM {genes})
-        ) WHERE pos < {k} AND {n} < {2 * k}"""
+def sampled(seed: int, genes: str, k: int = 10) -> str:
+    """SQL of ``sample_gene_sets``, one nested step per drawn gene; a population below ``k`` is taken whole."""
+    steps = f"SELECT c_custkey AS iter, (SELECT count(*) FROM {genes}) AS n, []::INTEGER[] AS taken FROM customer"
+    for i in range(k):
+        last = f"(n - least(n, {k}) + {i})"
+        draw = f"CAST(('0x' || substr(md5('{seed}:' || iter || ':{i}'), 1, 15))::BIGINT % ({last} + 1) AS INTEGER)"
+        steps = f"""SELECT iter, n, CASE WHEN {i} >= n THEN taken
+            ELSE list_append(taken, CASE WHEN list_contains(taken, draw) THEN CAST({last} AS INTEGER) ELSE draw END) END AS taken
+            FROM (SELECT *, {draw} AS draw FROM ({steps}))"""
+    return f"""SELECT iter, unnest(range(len(taken))) AS pos, unnest(taken) AS gene_idx FROM ({steps})"""
 
 
 CTES = {
@@ -222,7 +213,7 @@ def with_(names: str, body: str) -> str:
 
     for n in names.split():
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + "\n" + body
 
 
 

@@ -155,7 +155,7 @@ def four_cohorts(spark, d):
 def common_genes(spark, d):
     e = star.labelled_entries(spark, d)
     sides = ("is_case", "NOT is_case", "is_null_case", "NOT is_null_case")
-    return genetable.common_genes([e.filter(s).select("gene") for s in sides])
+    return genetable.genes_on_every_side(e, sides)
 
 
 @query("O05_genes_sorted", with_("four_wide", "SELECT gene, case_pheno_9 AS total_burden FROM four_wide ORDER BY gene"))
@@ -290,7 +290,7 @@ def log_odds_difference_z(spark, d):
 def counts_beside_tests(spark, d):
     long, sizes = counts_and_sizes(spark, d)
     z = gene_tests.log_odds_difference_z(long, sizes).select("gene", "bin", "p_val")
-    return rounded(z.join(long, ["gene", "bin"], "left"))
+    return rounded(gene_tests.counts_beside(z, long))
 
 
 DISCOVERY = f"""SELECT t.gene, t.bin, {sr('t.p_val')} AS p_val, {sr('f.log2_fold_change')} AS log2_fold_change,

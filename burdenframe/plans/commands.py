@@ -74,9 +74,12 @@ def label(entries: DataFrame, metadata: DataFrame | None, phenotype: str | None)
     if phenotype.startswith("*"):
         labelled = cohort.label_null_cohort(metadata, phenotype[1:])
         flags = labelled.select("s", F.col("is_null_case").alias("is_case"))
+        for side in ("is_case", "NOT is_case"):
+            flags = filters.require_rows(flags, f"the null split of {phenotype[1:]} has an empty side", flags.filter(side))
         joined = entries.join(flags, "s")
     else:
         flags = cohort.label_cases(metadata, phenotype).select("s", "is_case")
+        flags = filters.require_rows(flags, f"no sample matches phenotype {phenotype}", flags.filter("is_case"))
         joined = entries.join(flags, "s", "left").withColumn("is_case", F.coalesce("is_case", F.lit(False)))
     cohort_name = F.when(F.col("is_case"), "positive").otherwise("negative")
     return Cohort(joined.withColumn("cohort", cohort_name), phenotype)
@@ -108,8 +111,8 @@ def burden_tables_from(
     return label(entries, metadata, phenotype).frequency_tables()
 
 
-def relatedness(entries: DataFrame, interval: str | None = "2") -> DataFrame:
-    """Kinship of all pairs over one chromosome; pass unfiltered entries."""
+def relatedness(entries: DataFrame, interval: str | None = None) -> DataFrame:
+    """Kinship of all pairs over every contig, or over one interval; pass unfiltered entries."""
     return kinship.kinship(entries, interval)
 
 
