@@ -1,113 +1,96 @@
 """Firth-penalised logistic regression of one predictor, for all bins at once.
 
-Every Newton step is one aggregation: tasks add up the sufficient statistics of all bins and the
-driver receives one row per bin. Step control and the likelihood-ratio test work on those rows.
+Every Newton step is one aggregation: tasks add up the sufficient statistics of all bins, and expressions turn them into
+the next coefficients, one row per bin in a written table. Bins that can't be fitted don't hold up the others.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burdenframe.functions.numeric import chi2_1df_p, expit
 from burdenframe.operators.resample import standardise
+from burdenframe.plans.workspace import stored
 
 MAX_ITER = 100
 TOLERANCE = 1e-8
 MAX_HALVINGS = 25
 MAX_STEP = 5.0
 MIN_PER_SIDE = 5
-MAX_BINS = 10_000  # bins travel to the driver once per step, so their number is checked
-
-
-@dataclass
-class Fit:
-    b0: float = 0.0
-    b1: float = 0.0
-    loglik: float = -math.inf
-    step: tuple[float, float] = (0.0, 0.0)
-    halvings: int = 0
-    done: bool = False
-    stats: dict | None = None
-
-
-def _statistics(data: DataFrame, betas: dict[str, tuple[float, float]]) -> dict[str, dict]:
-    """Sufficient statistics of every open bin at its current coefficients."""
-    spark = data.sparkSession
-    coef = spark.createDataFrame([(b, *v) for b, v in betas.items()], "bin string, b0 double, b1 double")
-    eta = F.col("b0") + F.col("b1") * F.col("z")
-    p = F.col("_p")
+
+
+def _statistics(data: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Sufficient statistics of every bin at its coefficients."""
+    z, eta, p = F.col("z"), F.col("_eta"), F.col("_p")
     w = p * (1 - p)
-    # log(1 + exp(eta)) without overflow
-    softplus = F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(F.col("_eta"))))
-    z = F.col("z")
+    softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))  # log(1 + exp(eta)) without overflow
     sums = {
-        "n": F.count(F.lit(1)),
-        "ll": F.sum(F.col("y") * F.col("_eta") - softplus),
+        "ll": F.sum(F.col("y") * eta - softplus),
         "w0": F.sum(w), "w1": F.sum(w * z), "w2": F.sum(w * z * z),
         "r0": F.sum(F.col("y") - p), "r1": F.sum((F.col("y") - p) * z),
         **{f"s{k}": F.sum(w * (0.5 - p) * F.pow(z, F.lit(float(k)))) for k in range(4)},
     }
-    rows = (
-        data.join(F.broadcast(coef), "bin")  # at most MAX_BINS rows
-        .withColumn("_eta", eta)
-        .withColumn("_p", expit(F.col("_eta")))
-        .groupBy("bin")
-        .agg(*[c.alias(k) for k, c in sums.items()])
-        .collect()
+    at = data.join(coefficients.select("bin", "b0", "b1"), "bin").withColumn("_eta", F.col("b0") + F.col("b1") * z)
+    return at.withColumn("_p", expit(eta)).groupBy("bin").agg(*[c.alias(k) for k, c in sums.items()])
+
+
+def _advance(state: DataFrame, stats: DataFrame) -> DataFrame:
+    """One step of every open bin: Newton's direction of the penalised score, cut to ``MAX_STEP`` per coefficient, or half of the
+    last step back if that made the likelihood worse."""
+    c = F.col
+    rows = state.join(stats, "bin").withColumn("_det", c("w0") * c("w2") - c("w1") * c("w1"))
+    rows = rows.withColumn("_good", (c("_det") > 0) & ~F.isnan("_det"))
+    inverse = {"_a": "w2", "_b": "w1", "_c": "w0"}
+    rows = rows.withColumns({k: F.when(c("_good"), (-c(v) if k == "_b" else c(v)) / c("_det")) for k, v in inverse.items()})
+    rows = rows.withColumns({
+        "_now": F.when(c("_good"), c("ll") + 0.5 * F.log("_det")),
+        "_u0": c("r0") + c("_a") * c("s0") + 2 * c("_b") * c("s1") + c("_c") * c("s2"),
+        "_u1": c("r1") + c("_a") * c("s1") + 2 * c("_b") * c("s2") + c("_c") * c("s3"),
+    })
+    rows = rows.withColumns({"_s0": c("_a") * c("_u0") + c("_b") * c("_u1"), "_s1": c("_b") * c("_u0") + c("_c") * c("_u1")})
+    size = F.greatest(F.abs("_s0"), F.abs("_s1"))
+    worse = c("_good") & c("loglik").isNotNull() & (c("_now") < c("loglik") - 1e-10 * F.abs("loglik"))
+    rows = rows.withColumns({
+        "_scale": F.greatest(F.lit(1.0), size / MAX_STEP), "_small": size < TOLERANCE, "_worse": worse & (c("halvings") < MAX_HALVINGS),
+        "_stuck": worse & (c("halvings") >= MAX_HALVINGS)})
+    reason = F.when(~c("_good"), "degenerate").when(c("_stuck"), "no better step")
+
+    def pick(halved: Column, stepped: Column) -> Column:
+        return F.when(c("_worse"), halved).otherwise(stepped)
+
+    step = {f"step{i}": pick(c(f"step{i}") / 2, c(f"_s{i}") / c("_scale")) for i in "01"}
+    rows = rows.select("*", reason.alias("_reason"), *[v.alias(f"_{k}") for k, v in step.items()])
+    move = {f"b{i}": F.when(c("_reason").isNotNull() | (~c("_worse") & c("_small")), c(f"b{i}")).otherwise(
+        pick(c(f"b{i}") - c(f"_step{i}"), c(f"b{i}") + c(f"_step{i}"))).alias(f"b{i}") for i in "01"}
+    return rows.select(
+        "bin", move["b0"], move["b1"], pick(c("loglik"), c("_now")).alias("loglik"), c("_step0").alias("step0"), c("_step1").alias("step1"),
+        pick(c("halvings") + 1, F.lit(0)).alias("halvings"), pick(c("se"), F.sqrt(c("_c"))).alias("se"),
+        (c("n_iter") + 1).alias("n_iter"), (c("_reason").isNull() & ~c("_worse") & c("_small")).alias("converged"), c("_reason").alias("reason"),
     )
-    return {r["bin"]: r.asDict() for r in rows}
-
-
-def _determinant(s: dict) -> float:
-    return s["w0"] * s["w2"] - s["w1"] ** 2
 
 
-def _penalised(s: dict) -> float:
-    det = _determinant(s)
-    return s["ll"] + 0.5 * math.log(det) if det > 0 else -math.inf
-
-
-def _newton_step(s: dict) -> tuple[float, float]:
-    """Newton direction of the penalised score, cut to ``MAX_STEP`` per coefficient."""
-    det = _determinant(s)
-    a, b, c = s["w2"] / det, -s["w1"] / det, s["w0"] / det
-    u0 = s["r0"] + a * s["s0"] + 2 * b * s["s1"] + c * s["s2"]
-    u1 = s["r1"] + a * s["s1"] + 2 * b * s["s2"] + c * s["s3"]
-    step = (a * u0 + b * u1, b * u0 + c * u1)
-    scale = max(1.0, max(abs(v) for v in step) / MAX_STEP)
-    return step[0] / scale, step[1] / scale
+def _fit(data: DataFrame, bins: DataFrame) -> DataFrame:
+    zero = {k: F.lit(0.0) for k in ("b0", "b1", "step0", "step1")}
+    nothing = F.lit(None).cast("double")
+    opened = bins.select("bin").withColumns({
+        **zero, "loglik": nothing, "halvings": F.lit(0), "se": nothing, "n_iter": F.lit(0), "converged": F.lit(False),
+        "reason": F.lit(None).cast("string")})
+    opened = stored(opened, "firth")
+    done = None
+    for _ in range(MAX_ITER):
+        state = stored(_advance(opened, _statistics(data, opened)), "firth")
+        ended = F.col("converged") | F.col("reason").isNotNull()
+        done = state.filter(ended) if done is None else done.union(state.filter(ended))
+        opened = state.filter(~ended)
+        if opened.isEmpty():
+            return done
+    return done.union(opened.withColumn("reason", F.lit("iterations")))
 
 
-def _fit(data: DataFrame, bins: list[str]) -> dict[str, Fit]:
-    fits = {b: Fit() for b in bins}
-    for _ in range(MAX_ITER):
-        open_bins = {b: f for b, f in fits.items() if not f.done}
-        if not open_bins:
-            break
-        found = _statistics(data, {b: (f.b0, f.b1) for b, f in open_bins.items()})
-        for b, f in open_bins.items():
-            s = found[b]
-            now = _penalised(s)
-            if now < f.loglik - 1e-10 * abs(f.loglik) and f.halvings < MAX_HALVINGS:
-                # the last step overshot: go back half of what is left of it
-                f.halvings += 1
-                f.step = (f.step[0] / 2, f.step[1] / 2)
-                f.b0, f.b1 = f.b0 - f.step[0], f.b1 - f.step[1]
-                continue
-            f.loglik, f.stats, f.halvings = now, s, 0
-            f.step = _newton_step(s)
-            if max(abs(v) for v in f.step) < TOLERANCE:
-                f.done = True
-            else:
-                f.b0, f.b1 = f.b0 + f.step[0], f.b1 + f.step[1]
-    return fits
-
-
-def _fit_constrained(data: DataFrame, bins: list[str]) -> dict[str, float]:
+def _fit_constrained(data: DataFrame) -> DataFrame:
     """Penalised likelihood with the slope held at zero and the penalty of the full design.
 
     With slope zero every row has the same probability, so for a centred and scaled predictor the
@@ -118,45 +101,33 @@ def _fit_constrained(data: DataFrame, bins: list[str]) -> dict[str, float]:
         F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n"),
         F.sum("z").alias("z1"), F.sum(F.col("z") * F.col("z")).alias("z2"),
     )
-    out = {}
-    for r in sizes.collect():
-        n, ones = r["n"], r["ones"]
-        p = (ones + 1.0) / (n + 2.0)
-        loglik = ones * math.log(p) + (n - ones) * math.log(1 - p)
-        det = (p * (1 - p)) ** 2 * (n * r["z2"] - r["z1"] ** 2)
-        out[r["bin"]] = loglik + 0.5 * math.log(det) if det > 0 else -math.inf
-    return {b: out[b] for b in bins}
+    p = (F.col("ones") + 1.0) / (F.col("n") + 2.0)
+    det = F.pow(p * (1 - p), F.lit(2.0)) * (F.col("n") * F.col("z2") - F.col("z1") * F.col("z1"))
+    loglik = F.col("ones") * F.log(p) + (F.col("n") - F.col("ones")) * F.log(1 - p)
+    kept = (F.col("ones") >= MIN_PER_SIDE) & (F.col("n") - F.col("ones") >= MIN_PER_SIDE)
+    return sizes.filter(kept).select("bin", F.when(det > 0, loglik + 0.5 * F.log(det)).alias("null_loglik"))
 
 
 def firth_by_bin(labelled: DataFrame) -> DataFrame:
     """Fit ``bin, y, x`` rows per bin on the standardised predictor.
 
     Gives log odds, standard error, p of the penalised likelihood-ratio test, odds ratio, change in
-    probability and the 95 % interval on the log2 scale. Bins with fewer than five rows on a side are
-    left out. The input is persisted across steps; lost partitions are recomputed from their source.
+    probability and the 95 % interval on the log2 scale, and ``converged``, ``n_iter`` and ``reason``. A bin that can't be fitted, such as
+    one with a constant predictor, has nulls and a reason; one that didn't converge has its last values and a reason. Bins with fewer than five
+    rows on a side are left out. Rows and coefficients are written between steps, so a lost executor costs a re-read.
     """
-    spark = labelled.sparkSession
-    data = standardise(labelled).select("bin", "y", "z").persist()
-    try:
-        sizes = data.groupBy("bin").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n"))
-        kept = sizes.filter((F.col("ones") >= MIN_PER_SIDE) & (F.col("n") - F.col("ones") >= MIN_PER_SIDE))
-        bins = [r["bin"] for r in kept.select("bin").limit(MAX_BINS + 1).collect()]
-        if len(bins) > MAX_BINS:
-            raise ValueError(f"more than {MAX_BINS} bins")
-        full = _fit(data, bins)
-        null = _fit_constrained(data, bins)
-    finally:
-        data.unpersist()
-    rows = []
-    for b in bins:
-        s = full[b].stats
-        rows.append((b, full[b].b1, math.sqrt(s["w0"] / _determinant(s)), 2 * (full[b].loglik - null[b])))
-    table = spark.createDataFrame(rows, "bin string, log_odds double, se double, lr double")
+    data = stored(standardise(stored(labelled.select("bin", "y", "x"), "labelled")).select("bin", "y", "z"), "scaled")
+    null = stored(_fit_constrained(data), "null")
+    fitted = _fit(data, null).join(null, "bin")
+    lost = F.col("reason") == "degenerate"
+    lr = 2 * (F.col("loglik") - F.col("null_loglik"))
+    table = fitted.select(
+        "bin", F.when(lost, None).otherwise(F.col("b1")).alias("log_odds"), "se", lr.alias("lr"), "converged", "n_iter", "reason")
     log2_se = F.col("se") / math.log(2.0)
     return (
         table.withColumns(
             {
-                "pval": chi2_1df_p(F.col("lr")),
+                "pval": F.when(F.col("lr").isNotNull(), chi2_1df_p(F.col("lr"))),
                 "odds_ratio": F.exp("log_odds"),
                 "prob_change": expit(F.col("log_odds")) - 0.5,
                 "log2_or": F.col("log_odds") / math.log(2.0),

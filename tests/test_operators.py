@@ -293,9 +293,12 @@ def test_firth_against_direct_fit(spark):
     rows = []
     for b, shift in (("even", 0.0), ("shifted", 0.6), ("separated", 8.0)):
         rows += [(b, 1, float(v)) for v in rng.normal(shift, 1, 60)] + [(b, 0, float(v)) for v in rng.normal(0, 1, 80)]
-    rows += [("few", 1, 0.1)] * 3 + [("few", 0, 0.2)] * 9
+    rows += [("few", 1, 0.1)] * 3 + [("few", 0, 0.2)] * 9 + [("flat", i % 2, 1.0) for i in range(20)]
     got = {r["bin"]: r for r in firth.firth_by_bin(spark.createDataFrame(rows, "bin string, y int, x double")).collect()}
-    assert set(got) == {"even", "shifted", "separated"}
+    assert set(got) == {"even", "shifted", "separated", "flat"}
+    flat = got.pop("flat")
+    assert flat["log_odds"] is None and flat["pval"] is None and flat["reason"] == "degenerate" and not flat["converged"]
+    assert all(r["converged"] and r["reason"] is None and 0 < r["n_iter"] < firth.MAX_ITER for r in got.values())
     for b, r in got.items():
         x = np.array([v for n, _, v in rows if n == b])
         y = np.array([k for n, k, _ in rows if n == b])
