@@ -105,9 +105,9 @@ def sample_gene_structs(entries: DataFrame) -> DataFrame:
     return gene_structs(entries, ["s"], OPEN_AF_BINS)
 
 
-def sample_counts(entries: DataFrame, bins: Bins = AF_BINS) -> DataFrame:
+def sample_counts(entries: DataFrame, bins: Bins = AF_BINS, by: Sequence[str] = ("s",)) -> DataFrame:
     """Long per-sample counts ``s, gene, bin, ac``; adding them up gives any cohort's gene table."""
-    return to_long(burden_by_impact(entries, ["s"], bins), ["s"], bins)
+    return to_long(burden_by_impact(entries, by, bins), by, bins)
 
 
 def add_counts(tables: Sequence[DataFrame], keys: Sequence[str] = ("gene", "bin")) -> DataFrame:

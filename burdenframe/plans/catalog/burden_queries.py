@@ -246,7 +246,7 @@ def incremental_ingest(spark, d):
     path = work_folder(spark, "ingest")
 
     def to_counts(batch):
-        return burden.sample_counts(filters.burden_filters(star.entries_of(batch, spark, d)))
+        return burden.sample_counts(filters.burden_filters(star.entries_of(batch, spark, d))).withColumn("file", F.lit("lineitem"))
 
     run = ingest.ingest(stream, to_counts, f"{path}/store", f"{path}/checkpoint")
     run.awaitTermination()

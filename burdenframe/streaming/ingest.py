@@ -1,8 +1,9 @@
 """Incremental cohort ingest.
 
-Burden sums are additive over samples, so each micro-batch only adds per-sample gene-bin counts to a
+Burden sums are additive over samples, so each micro-batch only adds gene-bin counts per sample and file to a
 Parquet store and the cohort table is summed from the store. The checkpoint remembers finished
-files; a batch that is run again replaces its own partition, so a restart never counts twice.
+files; a batch that is run again replaces its own partition, so a restart never counts twice. What is delivered
+again, a file or, with one sample per file, a sample under another name, replaces what came before.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from burdenframe.operators.burden import AF_BINS, Bins, sample_counts
 from burdenframe.sources.vcf import VCF_GLOB, entries_of
 
-COUNT_COLUMNS = ("s", "gene", "bin", "ac")
+COUNT_COLUMNS = ("s", "file", "gene", "bin", "ac")
 
 
 def vcf_stream(spark: SparkSession, path: str, glob: str = VCF_GLOB, files_per_batch: int = 1000) -> DataFrame:
@@ -66,14 +67,19 @@ def ingest_vcf(
     """Count new VCF files; ``annotate`` adds gene and frequency fields and applies the filters."""
     return ingest(
         vcf_stream(spark, path, glob),
-        lambda lines: sample_counts(annotate(entries_of(lines, sample_from)), bins),
+        lambda lines: sample_counts(annotate(entries_of(lines, sample_from)), bins, ("s", "file")),
         store,
         checkpoint,
     )
 
 
-def stored_counts(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(store).select(*COUNT_COLUMNS)
+def stored_counts(spark: SparkSession, store: str, one_file_per_sample: bool = False) -> DataFrame:
+    """Counts from the last batch that delivered each sample and file; with ``one_file_per_sample``, from each sample's last
+    file in its last batch."""
+    rows = spark.read.parquet(store).withColumn("_at", F.struct("batch_id", "file") if one_file_per_sample else F.struct("batch_id"))
+    keys = ["s"] if one_file_per_sample else ["s", "file"]
+    last = rows.groupBy(*keys).agg(F.max("_at").alias("_last"))
+    return rows.join(last, keys).filter(F.col("_at") == F.col("_last")).select("s", "gene", "bin", "ac")
 
 
 def cohort_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -172,8 +172,12 @@ def test_incremental_ingest_is_idempotent(spark, cohort_dir):
     write_sample(cohort_dir / "a", "E3.vcf", "E3", [good])
     run()
     assert ("G1", "HIGH.gnomad_001", 3) in totals()
-    ingest.append_batch(spark.createDataFrame([("E3", "G1", "HIGH.gnomad_001", 1)], "s string, gene string, bin string, ac long"), store, 1)
+    ingest.append_batch(spark.createDataFrame([("E3", "E3.vcf", "G1", "HIGH.gnomad_001", 1)], "s string, file string, gene string, bin string, ac long"), store, 1)
     assert ("G1", "HIGH.gnomad_001", 3) in totals()
+    write_sample(cohort_dir / "a" / "again", "E3.vcf", "E3", [good, site("chr1", 3, "T", "HIGH|G1|7|0.00005", FMT, GOOD)])
+    run()
+    by_sample = ingest.cohort_counts(ingest.stored_counts(spark, store, one_file_per_sample=True))
+    assert ("G1", "HIGH.gnomad_001", 4) in {tuple(r) for r in by_sample.collect()}
 
 
 def test_commands_over_a_cohort(spark, cohort_dir):
