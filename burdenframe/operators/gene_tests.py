@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from burdenframe.functions.numeric import finite_or_null, log2_ratio, neg_log10, two_sided_p
 from burdenframe.operators.genetable import COHORTS, COUNTS
 from burdenframe.operators.multitest import ALPHA, bonferroni, fdr_two_stage
+from burdenframe.plans.workspace import stored
 
 Sizes = Mapping[str, int | Column]
 
@@ -83,7 +84,7 @@ def two_proportion_z(long: DataFrame, sizes: Sizes, min_mac: int = 5, alpha: flo
         .select("gene", "bin", "ac_case_pheno", "ac_case_null", "p1_pheno", "p2_null", "effect_size",
                 "z_score", "p_val")
     )
-    return fdr_two_stage(tested, alpha=alpha)
+    return fdr_two_stage(stored(tested, "tested"), alpha=alpha)
 
 
 def _with_min_mac(long: DataFrame, min_pheno: int, min_null: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from burdenframe.functions.numeric import neg_log10
 from burdenframe.functions.ordering import p_value_bucket, running_total, value_counts
+from burdenframe.plans.workspace import stored
 
 ALPHA = 0.05
 
@@ -76,7 +77,7 @@ def fdr_two_stage(
     shrink by the share of tests left and rejection is repeated at ``alpha * m / (m - r1)``. The input is
     read more than once; store it first when its p-values are costly.
     """
-    bh = benjamini_hochberg(df, p)
+    bh = stored(benjamini_hochberg(df, p), "bh")
     r1 = bh.agg(F.coalesce(F.sum(F.when(F.col("bh") <= alpha, F.col("n"))), F.lit(0)).cast("double")).scalar()
     staged = bh.withColumn("_r1", r1)
     two = (F.col("_r1") > 0) & (F.col("_r1") < F.col("m"))

@@ -23,9 +23,8 @@ def iterations(spark, d):
 class Run:
     """Sets, sums and log ratios over all aligned genes, or over the listed ones only."""
 
-    def __init__(self, spark, d, listed: bool = False):
-        labelled = star.labelled_samples(spark, d)
-        wide = star.gene_counts(spark, d, labelled)
+    def __init__(self, spark, d, listed: bool = False, inputs=None):
+        labelled, wide = inputs or self.inputs(spark, d)
         if listed:
             wide = genetable.keep_genes(wide, star.listed_genes(spark, d))
         self.genes = stored(resample.index_genes(wide), "indexed")
@@ -33,6 +32,12 @@ class Run:
         self.ratios = resample.simulate(self.sets, self.genes)
         self.sizes = gene_tests.sizes_of(labelled)
 
+    @staticmethod
+    def inputs(spark, d):
+        """Labelled samples and gene counts, which runs over the same tables can share."""
+        labelled = star.labelled_samples(spark, d)
+        return labelled, star.gene_counts(spark, d, labelled)
+
     @cached_property
     def logs(self):
         expected = [self.sizes[f"case_{s}"] / self.sizes[f"control_{s}"] for s in ("pheno", "null")]
@@ -97,7 +102,8 @@ def empirical_p(spark, d):
 def empirical_joint(spark, d):
     from burdenframe.operators.multitest import bonferroni_joint
 
-    both = [resample.empirical_p(Run(spark, d, listed).logs) for listed in (False, True)]
+    inputs = Run.inputs(spark, d)
+    both = [resample.empirical_p(Run(spark, d, listed, inputs).logs) for listed in (False, True)]
     return rounded(bonferroni_joint(both, "Empirical_Pval_99thPercentile"))
 
 
