@@ -221,3 +221,11 @@ def test_table_writers(spark, tmp_path):
     for k in (10, 10, 5):
         tables.write_run(run, str(tmp_path / "runs"), 100, k, 6, 9)
     assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+
+
+def test_labels_need_both_sides(spark, cohort_dir):
+    root, meta = str(cohort_dir / "a"), str(cohort_dir / "meta.tsv")
+    with pytest.raises(Exception, match="no sample matches phenotype NOPE"):
+        commands.burden_tables(spark, root, meta, "NOPE")
+    with pytest.raises(Exception, match="NOPE|empty side|not enough controls"):
+        commands.burden_tables(spark, root, meta, "*NOPE")
