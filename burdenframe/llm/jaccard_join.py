@@ -2,8 +2,8 @@
 
 Documents that share at least four fifths of their five-word shingles are linked; the result is the component of each.
 
-1. Shingles are counted over all documents, in buckets of the hash range. What is in one document only can't be shared,
-   so just the others go back to their sets. A set sorts them from rare to frequent and keeps a prefix: two sets that
+1. Shingles are counted over all documents, in buckets of the hash range. What occurs once only can't be shared, so
+   just the others go back to the chunk of sets that they came from. A set sorts them from rare to frequent and keeps a prefix: two sets that
    are similar enough must share a shingle of both prefixes. Most sets have no shared shingle in it and are done.
 2. The prefixes make an index of lists. The entries of a list lie in blocks by set size; an entry at position ``i`` of a
    set of ``n`` leaves room for ``n - i`` common shingles. Blocks whose best entries leave too little room for any partner
@@ -24,6 +24,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from burdenframe.plans.workspace import stored
 
 WORDS = 5
 #: Shingles that a task holds before it hands them on, and that a bucket holds on average.
-CHUNK, BUCKET_CHARS = 2_000_000, 16_000_000
+CHUNK, BUCKET_CHARS = 2_000_000, 8_000_000
 #: A shingle in so many sets of a chunk is frequent: it sorts last, and its sets aren't brought together.
 FREQUENT = 64
 FREQUENT_DF = 1 << 40
@@ -41,7 +42,9 @@ KEPT_WORDS = 400_000
 ROW = "key int, kind int, doc_id long, node long, n long, payload binary"
 _ROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
                   ("payload", pa.binary())])
-DOC, PART, MORE = 0, 1, 2
+#: Rows of documents, tables of a chunk's sets, chunks of shingles for a bucket, shared shingles for a chunk. In the
+#: last three ``node`` is the chunk.
+DOC, TABLE, PART, SHARED = range(4)
 
 
 class _Hashes(dict):
@@ -82,25 +85,22 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Differences of neighbours, byte by byte of their significance: the shuffle compresses that well."""
-    return np.diff(a, prepend=a.dtype.type(0)).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-
-
-def _whole(data: memoryview, n: int, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(width, n).T.copy().view(dtype).ravel(), dtype=dtype)
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of 8-byte numbers."""
-    return struct.pack(f"<{len(arrays)}I", *map(len, arrays)) + b"".join(map(_planes, arrays))
+    """Arrays of 8-byte numbers, byte by byte of their significance, sorted ones as differences: that compresses well."""
+    sizes, parts = [], []
+    for a in arrays:
+        ascending = bool(len(a) < 2 or (a[1:] >= a[:-1]).all())
+        sizes.append(len(a) | ascending << 31)
+        parts.append((np.diff(a, prepend=np.uint64(0)) if ascending else a).view(np.uint8).reshape(len(a), 8).T.tobytes())
+    return struct.pack(f"<{len(arrays)}I", *sizes) + b"".join(parts)
 
 
 def _unpack(data: bytes, arrays: int) -> list[np.ndarray]:
-    sizes, at, out, view = struct.unpack_from(f"<{arrays}I", data), 4 * arrays, [], memoryview(data)
-    for n in sizes:
-        out.append(_whole(view[at : at + 8 * n], n, np.uint64))
+    at, out, view = 4 * arrays, [], memoryview(data)
+    for size in struct.unpack_from(f"<{arrays}I", data):
+        n = size & 0x7FFFFFFF
+        a = np.frombuffer(view[at : at + 8 * n], np.uint8).reshape(8, n).T.copy().view(np.uint64).ravel()
+        out.append(np.cumsum(a, dtype=np.uint64) if size >> 31 else a)
         at += 8 * n
     return out
 
@@ -115,9 +115,9 @@ def _bucket_bounds(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(1, n)], np.uint64)
 
 
-def _rows(kind: int, keys, payloads) -> pa.RecordBatch:
+def _rows(kind: int, keys, chunks, payloads) -> pa.RecordBatch:
     n = len(keys)
-    return record_batch(_ROW, keys, [kind] * n, [None] * n, [None] * n, [None] * n, payloads)
+    return record_batch(_ROW, keys, [kind] * n, [None] * n, chunks, [None] * n, payloads)
 
 
 def _split(key: np.ndarray, bounds: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -128,43 +128,35 @@ def _split(key: np.ndarray, bounds: np.ndarray, *arrays: np.ndarray) -> Iterator
             yield b, [a[lo:hi] for a in arrays]
 
 
-def _by_node(nodes: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, df: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(nodes, kind="stable")
-    parts = list(_split(nodes[order], bounds, nodes[order], sizes[order], tokens[order], df[order]))
-    return _rows(MORE, [b for b, _ in parts], [_pack(*p) for _, p in parts])
+def _spread(turn) -> int:
+    """Keys of rows that may go anywhere; buckets have keys from 0."""
+    return -1 - next(turn) % 997
 
 
 def _emit(buckets: int, words: int):
-    """Documents to their sets' names and sizes, and chunks of shingles by bucket."""
+    """Documents to their sets' names and sizes; per chunk of sets a table of them, and its shingles by bucket."""
     bounds = _bucket_bounds(buckets)
 
     def flush(sets: dict[int, np.ndarray], turn) -> Iterator[pa.RecordBatch]:
         if not sets:
             return
+        chunk = (TaskContext.get().partitionId() << 32) + next(turn)
         nodes, sizes = np.fromiter(sets, np.uint64, len(sets)), np.fromiter(map(len, sets.values()), np.uint64, len(sets))
+        yield _rows(TABLE, [_spread(turn)], [chunk], [_pack(nodes, sizes)])
         h, at = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets), dtype=np.uint64), sizes.astype(np.int64))
         order = np.argsort(h)
         h, at = h[order], at[order]
         begins = _runs(h)
         times = np.diff(begins)
         often = np.repeat(times >= FREQUENT, times)
-        loud, loud_at, loud_h = h[begins[:-1][times >= FREQUENT]], at[often], h[often]
+        loud = h[begins[:-1][times >= FREQUENT]]
+        if len(loud):
+            yield _rows(SHARED, [_spread(turn)], [chunk], [_pack(at[often], h[often], np.full(often.sum(), FREQUENT_DF, np.uint64))])
         h, at = h[~often], at[~often]
-        louds = dict(_split(loud, bounds, loud))
-        parts = dict(_split(h, bounds, h, at))
-        keys, payloads = [], []
-        for b in sorted(louds.keys() | parts.keys()):
-            ph, pa_ = parts.get(b, [h[:0], at[:0]])
-            used, short = np.unique(pa_, return_inverse=True)
-            used = used.astype(np.int64)
-            keys.append(b)
-            payloads.append(_pack(nodes[used], sizes[used], ph, short.astype(np.uint64), louds.get(b, [h[:0]])[0]))
-        yield _rows(PART, keys, payloads)
-        if len(loud_h):
-            for lo in range(0, len(loud_h), 250_000):
-                k = loud_at[lo : lo + 250_000].astype(np.int64)
-                part = _by_node(nodes[k], sizes[k], loud_h[lo : lo + 250_000], np.full(len(k), FREQUENT_DF, np.uint64), bounds[:0])
-                yield part.set_column(0, "key", pa.array([-1 - next(turn) % 997] * part.num_rows, pa.int32()))
+        louds, parts = dict(_split(loud, bounds, loud)), dict(_split(h, bounds, h, at))
+        keys = sorted(louds.keys() | parts.keys())
+        none = [h[:0], at[:0]]
+        yield _rows(PART, keys, [chunk] * len(keys), [_pack(*parts.get(b, none), *louds.get(b, none[:1])) for b in keys])
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, sets, held = count(), {}, 0
@@ -173,7 +165,7 @@ def _emit(buckets: int, words: int):
             for key, text in zip(keys, texts):
                 s = shingles(text.as_py(), words)
                 node = _node(s) if len(s) else None
-                out.append((-1 - next(turn) % 997, DOC, key, None if node is None else np.uint64(node).astype(np.int64), len(s), None))
+                out.append((_spread(turn), DOC, key, None if node is None else np.uint64(node).astype(np.int64), len(s), None))
                 if node is not None and node not in sets:
                     sets[node] = s
                     held += len(s)
@@ -187,45 +179,40 @@ def _emit(buckets: int, words: int):
     return emit
 
 
-def _count(buckets: int):
-    """Per bucket of the hash range: the sets of each shingle that more than one has. Other rows pass."""
-    bounds = _bucket_bounds(buckets)
+def _passed(batch: pa.RecordBatch, kinds: np.ndarray, *which: int) -> Iterator[pa.RecordBatch]:
+    rest = batch.filter(pa.array(np.isin(kinds, which)))
+    if rest.num_rows:
+        yield rest
+
 
-    def shared(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        tokens, nodes, sizes, loud = [], [], [], []
-        for data in parts:
-            own, n, h, at, l = _unpack(data, 5)
-            at = at.astype(np.int64)
-            tokens.append(h), nodes.append(own[at]), sizes.append(n[at]), loud.append(l)
-        tokens, nodes, sizes = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-        loud = np.unique(np.concatenate(loud))
-        order = np.argsort(tokens, kind="stable")
-        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
-        times = np.diff(_runs(tokens))
-        keep = np.repeat(times > 1, times) | np.isin(tokens, loud)
-        tokens, nodes, sizes = tokens[keep], nodes[keep], sizes[keep]
-        order = np.lexsort((nodes, tokens))
-        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
-        new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])) if len(tokens) else np.zeros(0, bool)
-        tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
-        times = np.diff(_runs(tokens))
+def _count():
+    """Per bucket of the hash range: who has the shingles that occur more than once, back to the chunks. Other rows pass."""
+
+    def shared(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        opened = [(_unpack(data, 3), i) for i, (_, data) in enumerate(parts)]
+        h, at, loud = (np.concatenate([x[k] for x, _ in opened]) for k in range(3))
+        chunk = np.repeat([i for _, i in opened], [len(x[0]) for x, _ in opened])
+        order = np.argsort(h, kind="stable")
+        h, at, chunk, loud = h[order], at[order], chunk[order], np.unique(loud)
+        times = np.diff(_runs(h))
         df = np.repeat(times, times).astype(np.uint64)
-        df[np.isin(tokens, loud)] = FREQUENT_DF
+        df[np.isin(h, loud)] = FREQUENT_DF
         keep = df > 1
-        if keep.any():
-            yield _by_node(nodes[keep], sizes[keep], tokens[keep], df[keep], bounds)
+        h, at, chunk, df = h[keep], at[keep], chunk[keep], df[keep]
+        order = np.argsort(chunk, kind="stable")
+        h, at, chunk, df = h[order], at[order], chunk[order], df[order]
+        begins = _runs(chunk)
+        payloads = [_pack(at[lo:hi], h[lo:hi], df[lo:hi]) for lo, hi in zip(begins, begins[1:])]
+        if payloads:
+            yield _rows(SHARED, [0] * len(payloads), [parts[i][0] for i in chunk[begins[:-1]]], payloads)
 
     def reduce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[bytes]] = {}
+        parts: dict[int, list[tuple[int, bytes]]] = {}
         for batch in rows:
             kinds = batch.column("kind").to_numpy()
-            rest = batch.filter(pa.array(kinds == DOC))
-            if rest.num_rows:
-                yield rest
-            for k in np.flatnonzero(kinds == MORE):
-                yield _by_node(*_unpack(batch.column("payload")[k].as_py(), 4), bounds)
+            yield from _passed(batch, kinds, DOC, TABLE, SHARED)
             for k in np.flatnonzero(kinds == PART):
-                parts.setdefault(batch.column("key")[k].as_py(), []).append(batch.column("payload")[k].as_py())
+                parts.setdefault(batch.column("key")[k].as_py(), []).append((batch.column("node")[k].as_py(), batch.column("payload")[k].as_py()))
         while parts:
             yield from shared(parts.popitem()[1])
 
@@ -233,40 +220,41 @@ def _count(buckets: int):
 
 
 def _gather():
-    """Sets whose prefix has a shared shingle: ``own``, how many no other set has, and the shared ones from rare to frequent."""
+    """Sets whose prefix has a shared shingle: ``own``, how many occur nowhere else, and the shared ones from rare to frequent."""
 
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
-    def sets(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        nodes, sizes, tokens, df = map(np.concatenate, zip(*(_unpack(p, 4) for p in parts)))
-        order = np.lexsort((tokens, df, nodes))
-        nodes, sizes, tokens = nodes[order], sizes[order], tokens[order]
-        new = np.append(True, (nodes[1:] != nodes[:-1]) | (tokens[1:] != tokens[:-1]))
-        nodes, sizes, tokens = nodes[new], sizes[new], tokens[new]
-        begins, out = _runs(nodes), []
+    def sets(table: bytes, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        nodes, sizes = _unpack(table, 2)
+        at, tokens, df = map(np.concatenate, zip(*(_unpack(p, 3) for p in parts)))
+        order = np.lexsort((tokens, df, at))
+        at, tokens = at[order].astype(np.int64), tokens[order].astype(np.int64)
+        begins, out = _runs(at), []
         for lo, hi in zip(begins, begins[1:]):
-            n, own = int(sizes[lo]), int(sizes[lo]) - int(hi - lo)
+            n = int(sizes[at[lo]])
+            own = n - int(hi - lo)
             if own < prefix(n):
-                out.append((None, nodes[lo].astype(np.int64), n, own, tokens[lo:hi].astype(np.int64)))
-            if len(out) == 2000 or out and hi == len(nodes):
+                out.append((None, nodes[at[lo]].astype(np.int64), n, own, tokens[lo:hi]))
+            if len(out) == 2000 or out and hi == len(at):
                 yield record_batch(schema, *zip(*out))
                 out = []
-        if out:
-            yield record_batch(schema, *zip(*out))
 
     def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, bytes] = {}
         parts: dict[int, list[bytes]] = {}
         for batch in rows:
             kinds = batch.column("kind").to_numpy()
-            docs = batch.filter(pa.array(kinds == DOC))
-            if docs.num_rows:
+            for docs in _passed(batch, kinds, DOC):
                 n = docs.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [docs.column("doc_id"), docs.column("node"), docs.column("n"), pa.nulls(n, pa.int64()), pa.nulls(n, schema[4].type)], schema=schema)
-            for k in np.flatnonzero(kinds == MORE):
-                parts.setdefault(batch.column("key")[k].as_py(), []).append(batch.column("payload")[k].as_py())
+            for k in np.flatnonzero(kinds == TABLE):
+                tables[batch.column("node")[k].as_py()] = batch.column("payload")[k].as_py()
+            for k in np.flatnonzero(kinds == SHARED):
+                parts.setdefault(batch.column("node")[k].as_py(), []).append(batch.column("payload")[k].as_py())
         while parts:
-            yield from sets(parts.popitem()[1])
+            chunk, own = parts.popitem()
+            yield from sets(tables[chunk], own)
 
     return gather
 
@@ -285,9 +273,10 @@ def sets_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """Rows of documents (doc_id, node, n) and, with ``own`` not null, of sets that may have partners (node, n, own, tokens)."""
     rows = only(docs, doc_id=doc_id, text=text)
     buckets = max(1, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS)
-    parts = rows.mapInArrow(_emit(buckets, words), ROW).repartition(buckets, "key").mapInArrow(_count(buckets), ROW)
-    return stored(parts.repartition(buckets, "key").mapInArrow(
-        _gather(), "doc_id long, node long, n long, own long, tokens array<long>"), "sets")
+    tasks = -(-buckets // 2)
+    parts = rows.mapInArrow(_emit(buckets, words), ROW).repartition(tasks, "key").mapInArrow(_count(), ROW)
+    home = F.when(F.col("kind") == DOC, F.col("key").cast("long")).otherwise(F.col("node"))
+    return stored(parts.repartition(tasks, home).mapInArrow(_gather(), "doc_id long, node long, n long, own long, tokens array<long>"), "sets")
 
 
 def index(sets: DataFrame) -> DataFrame:
@@ -365,6 +354,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = sets_of(docs, doc_id, text, words)
     documents, sets = rows.filter("own IS NULL"), rows.filter("own IS NOT NULL").select("node", "n", "own", "tokens")
+    sets = stored(sets.dropDuplicates(["node"]), "nodes")
     lists = stored(index(sets), "index")
     compared = stored(pivots(lists, sets), "pivots")
     links = compared.filter(_similar(F.col("overlap"), F.col("na") + F.col("nb"))).select("a", "b")
