@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -104,10 +104,16 @@ def union_entries(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def union_sites(tables: Sequence[DataFrame]) -> DataFrame:
-    """Variants of any table with the samples that carry a call there.
+def union_sites(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Outer join of the tables on their sites: one row per site with a column for each table, its calls there as an array
+    of sample and allele count ordered by sample, NULL for a table without any, and ``n_entries`` over all.
 
-    In long form the outer join of sample columns is a union; a missing call is an absent row.
+    A sample missing from the array has no call. A row is as long as the samples that carry the site, like a row of the
+    matrix it stands for.
     """
-    merged = union_entries([t.select("contig", "pos", "alleles", "s") for t in tables])
-    return merged.groupBy("contig", "pos", "alleles").agg(F.count("s").alias("n_entries"))
+    if not tables:
+        raise ValueError("no tables to be joined")
+    named = [t.select("contig", "pos", "alleles", F.struct("s", "AC").alias("_call"), F.lit(name).alias("_table")) for name, t in tables.items()]
+    calls = {name: F.sort_array(F.collect_list(F.when(F.col("_table") == name, F.col("_call")))) for name in tables}
+    return reduce(lambda a, b: a.unionByName(b), named).groupBy("contig", "pos", "alleles").agg(
+        F.count(F.lit(1)).alias("n_entries"), *[F.when(F.size(c) > 0, c).alias(name) for name, c in calls.items()])

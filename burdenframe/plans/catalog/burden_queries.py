@@ -144,20 +144,27 @@ def difference(spark, d):
     return labelled.select("s").exceptAll(labelled.filter("is_case").select("s"))
 
 
-@query("J04_column_union", with_("kept", "SELECT contig, pos, count(*) AS n_entries FROM kept GROUP BY contig, pos"))
+def calls_sql(sides: dict[str, str]) -> str:
+    lists = ", ".join(f"string_agg(s || ':' || ac, ',' ORDER BY s, ac) FILTER ({test}) AS {name}" for name, test in sides.items())
+    return f"SELECT contig, pos, count(*) AS n_entries, {lists} FROM labelled_entries GROUP BY contig, pos"
+
+
+def calls_text(sites, names):
+    texts = [F.array_join(F.transform(n, lambda c: F.concat_ws(":", c["s"], c["AC"])), ",").alias(n) for n in names]
+    return sites.select("contig", "pos", "n_entries", *texts)
+
+
+@query("J04_column_union", with_("labelled_entries", calls_sql({"cases": "is_case", "controls": "NOT is_case"})))
 def column_union(spark, d):
     e = star.labelled_entries(spark, d)
-    merged = cohort.union_sites([e.filter("is_case"), e.filter("NOT is_case")])
-    return merged.select("contig", "pos", "n_entries")
+    return calls_text(cohort.union_sites({"cases": e.filter("is_case"), "controls": e.filter("NOT is_case")}), ["cases", "controls"])
 
 
-@query("J15_multi_way_union", with_("kept", "SELECT impact, count(*) AS n, count(DISTINCT s) AS n_samples FROM kept GROUP BY impact"))
+@query("J15_multi_way_union", with_("labelled_entries", calls_sql({i.lower(): f"impact = '{i}'" for i in burden.IMPACTS})))
 def multi_way_union(spark, d):
-    e = star.kept_entries(spark, d)
-    tables = [e.filter(F.col("impact") == i) for i in burden.IMPACTS]
-    return cohort.union_entries(tables).groupBy("impact").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("n_samples")
-    )
+    e = star.labelled_entries(spark, d)
+    tables = {i.lower(): e.filter(F.col("impact") == i) for i in burden.IMPACTS}
+    return calls_text(cohort.union_sites(tables), list(tables))
 
 
 @query("U01_row_union", with_("kept", "SELECT s, count(*) AS n, CAST(sum(ac) AS BIGINT) AS ac FROM kept GROUP BY s"))
