@@ -57,7 +57,7 @@ class Lists:
         while True:
             depth = min(depth, n)
             met = np.zeros(n, bool)
-            if depth == n or not (len(up) or len(down)):
+            if depth == n or not (len(up) or len(down)) or 16 * (n - seen.sum()) <= n:  # few are left: score them
                 depth = n
                 met[:] = True
             else:
