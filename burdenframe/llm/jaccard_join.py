@@ -34,11 +34,11 @@ from burdenframe.plans.workspace import stored
 
 WORDS = 5
 #: Shingles that a task holds before it hands them on, and that a bucket holds on average.
-CHUNK, BUCKET_CHARS = 2_000_000, 8_000_000
+CHUNK, BUCKET_CHARS = 1_000_000, 8_000_000
 #: A shingle in so many sets of a chunk is frequent: it sorts last, and its sets aren't brought together.
 FREQUENT = 64
 FREQUENT_DF = 1 << 40
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 ROW = "key int, kind int, doc_id long, node long, n long, payload binary"
 _ROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
                   ("payload", pa.binary())])
@@ -175,6 +175,7 @@ def _emit(buckets: int, words: int):
             if out:
                 yield record_batch(_ROW, *zip(*out))
         yield from flush(sets, turn)
+        _words.clear()  # the worker goes on to other tasks
 
     return emit
 
