@@ -8,8 +8,8 @@ from burdenframe.operators import burden, cohort, filters, genetable, genotypes,
 from burdenframe.plans import star_cohort as star
 from burdenframe.plans.catalog.registry import query, r, rounded
 from burdenframe.plans.catalog.source_queries import (
+    BIALLELIC_SQL,
     GENOTYPE_SQL,
-    PAIR_SQL,
     POOLED_SQL,
     POOLS,
     VARIANT_ID_SQL,
@@ -331,9 +331,6 @@ def distinct_values(spark, d):
 
 # --- kinship ------------------------------------------------------------------------------------------------
 
-BIALLELIC_SQL = f""", biallelic AS (
-    SELECT CAST(s AS VARCHAR) AS s, pos, max(ac) AS ac FROM entries WHERE len(alleles) <= 2 GROUP BY 1, 2), {PAIR_SQL}"""
-
 
 @query("J12_pair_counts", extended("entries", BIALLELIC_SQL, "SELECT * FROM pairs"))
 def pair_counts(spark, d):

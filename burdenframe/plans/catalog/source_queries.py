@@ -97,6 +97,59 @@ def resolve_inputs(spark, d):
     return vcf.parse_sites(lines).agg(F.count(F.lit(1)).alias("n_sites"))
 
 
+def write_sample_vcfs(spark: SparkSession, sf_dir: str) -> str:
+    """One VCF file per customer, in a folder of the sample's name; a customer without calls has a header only."""
+    cell = F.concat_ws(":", "gt", F.concat_ws(",", "AD"), "DP")
+    info = F.concat(F.lit("DP=100;CSQ="), F.concat_ws("|", "impact", "gene", "HGNC_ID"), F.lit("|"),
+                    F.coalesce(F.col("MAX_AF").cast("string"), F.lit("")))
+    body = star.entries(spark, sf_dir).select(
+        F.concat_ws(
+            "\t", F.concat(F.lit("chr"), "contig"), "pos", F.lit("."), F.get("alleles", F.lit(0)),
+            F.concat_ws(",", F.slice("alleles", 2, 10)), F.lit("50"), F.lit("PASS"), info, F.lit("GT:AD:DP"), cell,
+        ).alias("value"),
+        F.col("s").cast("string").alias("s"), F.col("pos").alias("at"),
+    )
+    fixed = "\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split())
+    samples = star.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("s"))
+    head = samples.select(
+        F.posexplode(F.array(F.lit("##fileformat=VCFv4.2"), F.concat_ws("\t", F.lit(fixed), "s"))).alias("i", "value"), "s"
+    ).select("value", "s", (F.col("i") - 2).alias("at"))
+    path = work_folder(spark, "sample-vcf")
+    lines = head.unionByName(body).withColumn("sample", F.concat("s", F.lit("_x.vcf")))
+    lines = lines.repartition("sample").sortWithinPartitions("sample", "at", "value")
+    lines.select("value", "sample").write.partitionBy("sample").text(path)
+    return path
+
+
+def named_by_folder(lines: DataFrame) -> DataFrame:
+    """Spark numbers the files it writes; the folder ``sample=NAME.vcf`` holds the name."""
+    folder = F.element_at(F.split("file", "/"), -2)
+    return lines.withColumn("file_name", F.substring_index(folder, "=", -1))
+
+
+@query("S01_vcf_scan_files", with_("entries", f"SELECT CAST(s AS VARCHAR) AS s, contig, pos, array_to_string(alleles, ',') AS alleles, dp, ad1, ac, {sr('vf')} AS vf FROM entries"))
+def vcf_scan_files(spark, d):
+    """All customers, one file each, named by the file."""
+    lines = named_by_folder(vcf.read_lines(spark, write_sample_vcfs(spark, d), glob="*.txt"))
+    return vcf.entries_of(lines, "file").select(
+        "s", "contig", "pos", F.concat_ws(",", "alleles").alias("alleles"), F.col("DP").alias("dp"),
+        F.get("AD", F.lit(1)).alias("ad1"), F.col("AC").alias("ac"), r("VF").alias("vf"),
+    )
+
+
+@query("S02_resolve_inputs_files", with_("entries", "SELECT count(*) AS n_calls, count(DISTINCT s) AS n_samples, count(DISTINCT pos) AS n_sites FROM entries"))
+def resolve_inputs_files(spark, d):
+    root = write_sample_vcfs(spark, d)
+    listing = work_folder(spark, "list")
+    inv.list_files(spark, root).filter(F.col("name").endswith(".txt")).select(
+        F.col("path").alias("value")
+    ).write.text(listing)
+    lines = named_by_folder(vcf.read_lines(spark, vcf.paths_from_list(spark, listing), glob="*.txt"))
+    return vcf.parse_sites(lines).agg(
+        F.count(F.lit(1)).alias("n_calls"), F.countDistinct("file_id").alias("n_samples"), F.countDistinct("pos").alias("n_sites")
+    )
+
+
 def metadata_line() -> Column:
     """One line per customer; some have two fields only, one nation has no phenotype."""
     return F.concat_ws(
@@ -194,16 +247,32 @@ POOLED_BIALLELIC = f""", {POOLED_SQL}, biallelic AS (
     SELECT p.s, p.pos, p.ac FROM pooled p JOIN variants v ON p.pos = v.pos WHERE len(v.alleles) <= 2), {PAIR_SQL}"""
 
 
-@query("S10_relatedness_sink", extended("variants calls", POOLED_BIALLELIC, f"SELECT s_i, s_j, n_shared, {sr('phi')} AS phi FROM phis"))
-def relatedness_sink(spark, d):
+BIALLELIC_SQL = f""", biallelic AS (
+    SELECT CAST(s AS VARCHAR) AS s, pos, max(ac) AS ac FROM entries WHERE len(alleles) <= 2 GROUP BY 1, 2), {PAIR_SQL}"""
+
+
+def stored_relatedness(entries: DataFrame) -> DataFrame:
+    """The sink's pairs, read again."""
+    spark = entries.sparkSession
     path = work_folder(spark, "king")
-    tables.write_relatedness(kinship.kinship(pooled_entries(spark, d), None), path)
+    tables.write_relatedness(kinship.kinship(entries, None), path)
     stored = spark.read.option("header", True).option("sep", "\t").schema(
         "s_i string, s_j string, n_shared long, phi double"
     ).csv(path)
     return rounded(stored)
 
 
+@query("S10_relatedness_sink_all", extended("entries", BIALLELIC_SQL, f"SELECT s_i, s_j, n_shared, {sr('phi')} AS phi FROM phis"))
+def relatedness_sink_all(spark, d):
+    """All customers."""
+    return stored_relatedness(star.entries(spark, d))
+
+
+@query("S10_relatedness_sink", extended("variants calls", POOLED_BIALLELIC, f"SELECT s_i, s_j, n_shared, {sr('phi')} AS phi FROM phis"))
+def relatedness_sink(spark, d):
+    return stored_relatedness(pooled_entries(spark, d))
+
+
 @query("S11_phenotype_vector", with_("labelled", "SELECT s AS sample_id, CAST(is_case AS INTEGER) AS phenotype FROM labelled"))
 def phenotype_vector(spark, d):
     path = work_folder(spark, "vector")

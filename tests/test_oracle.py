@@ -33,3 +33,14 @@ def test_entry_has_rows(spark):
 
 def test_every_query_but_text_operators_has_sql():
     assert [q for q in set(queries()) - set(oracle_sql()) if not q.startswith(("op", "pipeline"))] == []
+
+
+@pytest.mark.parametrize("name", ["S02_resolve_inputs_files", "S10_relatedness_sink_all"])
+def test_whole_cohort(spark, con, name):
+    problem, _ = check(spark, con, SF_DIR, name, queries()[name], oracle_sql()[name])
+    assert problem is None, problem
+
+
+def test_relatedness_of_customers_not_pools(spark):
+    pairs = queries()["S10_relatedness_sink_all"](spark, SF_DIR)
+    assert pairs.count() > 300 and pairs.filter("s_i LIKE 'N%'").isEmpty()
