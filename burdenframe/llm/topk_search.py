@@ -90,7 +90,7 @@ def _blocks(vectors: DataFrame, n: int, name: str) -> DataFrame:
         return pa.table({"dims": [key[0].as_py()], name: [key[1].as_py()], f"{name}_ids": [ids.astype("<i8").tobytes()],
                          f"{name}_data": [whole.astype("<f8").tobytes()]})
 
-    keyed = vectors.select("id", "vector", F.size("vector").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name))
+    keyed = vectors.select("id", "vector", F.size("vector").alias("dims"), F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int").alias(name))
     return keyed.groupBy("dims", name).applyInArrow(pack, f"dims long, {name} long, {name}_ids binary, {name}_data binary")
 
 
@@ -100,13 +100,15 @@ def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", embeddin
 
     ``queries`` tells which rows are queries; candidates are all rows but those with the query's id. Components are
     scaled and rounded down to whole numbers. Vectors that are null or empty or hold null or non-finite components, and rows with
-    a null id, take no part; vectors are compared with those of as many dimensions. Of several rows with one id the one with
-    the smallest vector counts. An empty table gives an empty table; other columns are left out.
+    a null id, take no part; vectors are compared with those of as many dimensions. Rows with one id and different vectors are
+    candidates of their own, so an id may have several ranks; if they are queries, the ``k`` best of all their products are
+    ranked together under the id. Rows equal in id and vector count once, as a query if one of them is. An empty table gives an
+    empty table; other columns are left out.
     """
     query = F.coalesce(queries, F.lit(False))
     rows = vectors.filter(usable(F.col(f"`{embedding}`"))).select(
         F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("vector"), query.alias("query"))
-    rows = rows.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("vector", "query")).alias("x")).select("id", "x.*")
+    rows = rows.filter("id IS NOT NULL").groupBy("id", "vector").agg(F.max("query").alias("query"))
     sizes = rows.agg(F.count("*").alias("n"), F.sum(F.col("query").cast("long")).alias("q")).first()
     n, q = -(-sizes.n // block) or 1, -(-(sizes.q or 0) // query_block) or 1
     asked = _blocks(rows.filter("query"), q, "q")

@@ -5,12 +5,15 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from burdenframe.llm import jaccard_join, topk_search, url_filter
 from burdenframe.llm.components import components
+from burdenframe.llm.queries import ORACLE, QUERIES
+from oracle import check
 
 
 def smallest_of(pairs, keys):
@@ -111,6 +114,20 @@ def test_exact_top_k(spark, seed, scale):
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
+def test_repeated_ids_keep_all_their_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).astype(np.float32)) for i in range(60)]
+    rows += [(k, rng.normal(size=6).astype(np.float32) * 3) for k in (7, 7, 20, 20, 33)]
+    vectors_table(spark, rows).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    problem, n = check(spark, con, str(tmp_path), "op3_exact_top_k", QUERIES["op3_exact_top_k"], ORACLE["op3_exact_top_k"])
+    assert problem is None, problem
+    assert n == 60
+    found = topk_search.search(vectors_table(spark, rows), F.col("vec_id") % 20 == 0, block=16, query_block=2).collect()
+    assert sorted(map(tuple, found)) == sorted(con.execute(ORACLE["op3_exact_top_k"]).fetchall())
+
+
 def test_threshold_stops_early_and_small_tables(spark):
     rng = np.random.default_rng(7)
     vectors = np.floor(64 * rng.normal(size=(5000, 3)))
