@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -85,6 +86,18 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))
 
 
+def node_of(text: Column, words: int = WORDS) -> Column:
+    """The node of a text's set, null without words."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        sets = [shingles(t, words) for t in texts]
+        _words.clear()
+        return pd.Series([int(np.uint64(_node(s)).astype(np.int64)) if len(s) else None for s in sets], dtype="Int64")
+
+    return run(text)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of 8-byte numbers, byte by byte of their significance, sorted ones as differences: that compresses well."""
     sizes, parts = [], []
@@ -353,6 +366,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows with a null doc_id get the smallest non-null doc_id of their component, or null. Repeated rows stay, in one
     component. An empty table gives an empty table. Other columns are left out.
     """
+    return members(docs, doc_id, text, words).select("doc_id", "n_shingles", "component_id")
+
+
+def members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """``near_duplicates`` with the ``node`` of each row's set and the ``component`` of that node, null for texts without words.
+
+    Components that have their smallest doc_id in common, by rows that share it, differ in ``component``.
+    """
     rows = sets_of(docs, doc_id, text, words)
     documents, sets = rows.filter("own IS NULL"), rows.filter("own IS NOT NULL").select("node", "n", "own", "tokens")
     sets = stored(sets.dropDuplicates(["node"]), "nodes")
@@ -365,6 +386,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = documents.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("node").alias("named"), "component_id")
+    named = named.join(smallest, "component").select(F.col("node").alias("named"), "component", "component_id")
     return documents.join(named, F.col("node") == F.col("named"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

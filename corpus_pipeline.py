@@ -32,18 +32,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; of rows with that doc_id, one.
+    """One row of each component stays, the one with the smallest doc_id, or without doc_id if no row there has one; of rows
+    with that doc_id the one whose set has the smallest node, and one of those with equal sets.
 
-    Documents without doc_id stay if no document with one is in their component.
+    Rows that share a doc_id but not a component are told apart by their sets. Of texts without words one of each doc_id stays.
     """
-    near = jaccard_join.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = stored(near.groupBy(F.col("doc_id").alias("keep")).agg(F.count("*").alias("n")), "keep")
-    repeated = F.col("n") > 1
-    kept = docs.join(keep.filter(~repeated | F.col("keep").isNull()), docs["doc_id"].eqNullSafe(F.col("keep")), "left_semi")
-    again = keep.filter(repeated & F.col("keep").isNotNull())
+    rows = stored(jaccard_join.members(docs), "members")
+    of = [F.col("component"), F.when(F.col("component").isNull(), F.col("doc_id"))]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first")
+    keep = stored(rows.groupBy(*of).agg(first).select(F.col("first.doc_id").alias("keep"), F.col("first.node").alias("keep_node")), "keep")
+    again = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "again")
+    kept = docs.join(keep, docs["doc_id"] == F.col("keep"), "left_semi")
     if again.isEmpty():
         return kept
-    return kept.union(docs.join(again, docs["doc_id"] == F.col("keep"), "left_semi").dropDuplicates(["doc_id"]))
+    named = again.select(F.col("doc_id").alias("again"))
+    unclear = docs.join(named, docs["doc_id"].eqNullSafe(F.col("again")), "left_semi")
+    unclear = unclear.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), jaccard_join.node_of(F.col("text")).alias("node"))
+    chosen = unclear.join(keep, F.col("doc.doc_id").eqNullSafe(F.col("keep")) & F.col("node").eqNullSafe(F.col("keep_node")), "left_semi")
+    chosen = chosen.withColumn("id", F.col("doc.doc_id")).dropDuplicates(["id", "node"])
+    return kept.join(named, kept["doc_id"] == F.col("again"), "left_anti").union(chosen.select(*[F.col(f"doc.`{c}`") for c in docs.columns]))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

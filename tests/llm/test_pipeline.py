@@ -45,6 +45,15 @@ def test_stages(spark, documents, tmp_path):
     assert {r.doc_id for r in packed.collect()} == {None, 0, 2, 3} and packed.agg(F.max("length")).first()[0] <= packing.CAPACITY
 
 
+def test_rows_that_share_a_doc_id_keep_their_own_texts(spark, documents):
+    third = CLEAN.replace("house", "castle").replace("hill", "rock").replace("river", "lake")
+    near = CLEAN.replace("the0 ", "those0 ")
+    rows = [(1, CLEAN), (5, OTHER), (5, near), (6, third), (6, OTHER), (7, third), (8, ""), (8, third), (8, None), (None, CLEAN), (None, "a b"), (None, "a b"), (9, "c d"), (9, "e f"), (9, "C D")]
+    found = corpus_pipeline.ngram_jaccard_join(spark, documents(*rows), SF_DIR)
+    kept = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in found.collect()))
+    assert kept == sorted([(1, CLEAN.lower()), (5, OTHER.lower()), (6, third.lower()), (8, ""), (0, "a b"), (9, "c d"), (9, "e f")])
+
+
 def test_empty_tables_pass_every_stage(spark, documents):
     docs = documents()
     for _, stage in corpus_pipeline.STAGES:
