@@ -43,32 +43,37 @@ MARKS = frozenset(
     "disqus footer masthead menu nav navbar navigation newsletter notice pagination popup promo related replies respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe widget".split()
 )
+#: Marks of lists that are themselves made of article elements, which are not the page's own.
+LISTS = frozenset("comment comments disqus related replies respond".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 GOOD, BAD, OPEN = 1, -1, 0
+#: Why an element is rejected: not at all, by class around an article of such a list, by class of a list, by class, by tag or hidden.
+KEPT, DOUBTFUL, LISTED, CLASSED, SURE = range(5)
 
 
 @dataclass
 class Block:
     text: str
     linked: int  # characters in links
-    rejected: bool
+    rejected: int
     part: int  # number of the article or main element that it is in, 0 outside
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> int:
     if not attributes.strip():
-        return False
+        return KEPT
     if _HIDDEN.search(re.sub(r""""[^"]*"|'[^']*'""", lambda m: m[0] if ":" in m[0] else '""', attributes)):
-        return True
-    return any(not MARKS.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())) for m in _MARK.finditer(attributes))
+        return SURE
+    words = {w for m in _MARK.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
+    return KEPT if MARKS.isdisjoint(words) else CLASSED if LISTS.isdisjoint(words) else LISTED
 
 
 def blocks(html: str) -> list[Block]:
     """Stretches of text between block elements, with white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, whether it is rejected, article
+    stack: list[tuple[str, int, int]] = []  # element, why it is rejected, article
     texts: list[tuple[str, bool]] = []
     parts = anchors = at = 0
 
@@ -76,7 +81,7 @@ def blocks(html: str) -> list[Block]:
         text = " ".join(unescape("".join(t for t, _ in texts)).split())
         if text:
             linked = len(" ".join(unescape("".join(t for t, link in texts if link)).split()))
-            out.append(Block(text, linked, bool(stack) and stack[-1][1], stack[-1][2] if stack else 0))
+            out.append(Block(text, linked, stack[-1][1] if stack else KEPT, stack[-1][2] if stack else 0))
         texts.clear()
 
     while at < len(html):
@@ -127,13 +132,23 @@ def blocks(html: str) -> list[Block]:
         if name in BLOCKS:
             while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCKS):
                 stack.pop()
-        rejected, part = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        rejected, part = (stack[-1][1], stack[-1][2]) if stack else (KEPT, 0)
+        inside = part > 0
         if name in TEXT and not part:
             parts += 1
             part = parts
-        lost = rejected or name in NOT_TEXT or name == "header" and not part
-        if name not in TEXT | {"html", "body"} and not lost:
-            lost = _marked(attributes)
+        lost = rejected
+        if name in NOT_TEXT or name == "header" and not part:
+            lost = SURE
+        elif name in TEXT and rejected in (CLASSED, LISTED):
+            own = _marked(attributes)
+            lost = SURE if own == SURE else DOUBTFUL if own or inside or rejected == LISTED and name != "main" else KEPT
+        elif name not in TEXT | {"html", "body"} and lost != SURE:
+            own = _marked(attributes)
+            if own == SURE or own and lost == DOUBTFUL:
+                lost = SURE
+            elif own == LISTED or lost == KEPT:
+                lost = own
         if name in BLOCKS or lost != rejected:
             if lost != rejected and name not in BLOCKS:
                 close()
@@ -153,10 +168,14 @@ def first_pass(block: Block) -> int:
 
 
 def main_text(html: str | None) -> str:
-    """The text of the blocks that are kept, joined by line breaks. Blocks of rejected elements go first. Labels don't pass the bounds of an article or main
+    """The text of the blocks that are kept, joined by line breaks. Blocks of rejected elements go first. An article or main element ends a
+    rejection by the class of what is around it, as of a layout with a side bar; in lists of comments or related pages, inside another
+    article or with such a class itself, it does so only if the page has no other article or main text. Labels don't pass the bounds of an article or main
     element; inside one, blocks without any decided neighbour are kept, outside they are dropped. Of two decided neighbours as
     near, the later one counts."""
-    found = [b for b in blocks(html or "") if not b.rejected]
+    found = blocks(html or "")
+    only_doubtful = not any(b.part and b.rejected == KEPT for b in found)
+    found = [b for b in found if b.rejected == KEPT or b.rejected == DOUBTFUL and only_doubtful]
     labels = [first_pass(b) for b in found]
     before, after = list(labels), list(labels)
     gap_before, gap_after = [0] * len(found), [0] * len(found)

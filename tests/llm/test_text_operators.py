@@ -175,6 +175,14 @@ def test_main_text():
     assert html_text.main_text(f"<div>Menu</div><div><a>{PARAGRAPH}</a></div><p>{PARAGRAPH}</p><p>And so on.</p><p>{PARAGRAPH}") == f"{PARAGRAPH}\nAnd so on.\n{PARAGRAPH}"
     assert html_text.main_text("<article><p>1 < 2 a&nbsp;b <i>it<i>alic</article>") == "1 < 2 a b italic"
     assert html_text.main_text(f"<article><p hidden>{PARAGRAPH}</p><p title='a>b'>{PARAGRAPH}</article>") == PARAGRAPH
+    for around in ("<div class='layout with-sidebar'>", "<div id='content-share'><div>", "<div class='single has-comments'>"):
+        page = f"{around}<div class=menu>{PARAGRAPH}</div><article><h1>T</h1><div class=share>{PARAGRAPH}</div><p>{PARAGRAPH}</p></article></div>"
+        assert html_text.main_text(page) == f"T\n{PARAGRAPH}"
+    assert html_text.main_text(f"<div class=has-comments><main><p>{PARAGRAPH}</p></main></div>") == PARAGRAPH
+    assert html_text.main_text(f"<article><p>{PARAGRAPH}</p></article><div id=comments><article class=comment-body><p>{PARAGRAPH}</p></article></div>") == PARAGRAPH
+    assert html_text.main_text(f"<div class=with-sidebar><article><p>{PARAGRAPH}</p></article><div id=comments><article>{PARAGRAPH}</article></div></div>") == PARAGRAPH
+    assert html_text.main_text(f"<article><p>{PARAGRAPH}</p><div class=promo><article>{PARAGRAPH}</article></div></article>") == PARAGRAPH
+    assert html_text.main_text(f"<nav><article><p>{PARAGRAPH}</p></article></nav><div hidden><article>{PARAGRAPH}</article></div>") == ""
     assert len(html_text.main_text("<article>" + f"<p>{PARAGRAPH}" * 3000)) > 300_000
     assert html_text.main_text("<div>" * 5000 + "x" + "<" * 5000 + "'" * 100) is not None
 
