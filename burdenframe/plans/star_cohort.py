@@ -7,6 +7,8 @@ allele, so every filter has rows to drop.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +51,9 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calls_of(items: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with read depths, before annotation."""
-    items = items.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+def calls_of(items: DataFrame, spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Calls with read depths, before annotation; columns of ``keep`` stay."""
+    items = items.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", *keep)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     dp = (F.col("l_quantity") * 2).cast("int")
     ad1 = F.floor(dp * F.col("l_linenumber") / 7.0).cast("int")
@@ -63,6 +65,7 @@ def calls_of(items: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(dp - ad1, ad1).alias("AD"),
         dp.alias("DP"),
         ac.alias("AC"),
+        *keep,
     )
     return called.withColumn("VF", variant_fraction(F.col("AD"), F.col("DP")))
 
@@ -71,8 +74,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls_of(table(spark, sf_dir, "lineitem"), spark, sf_dir)
 
 
-def entries_of(items: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls_of(items, spark, sf_dir).join(variants(spark, sf_dir), "pos")
+def entries_of(items: DataFrame, spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
+    return calls_of(items, spark, sf_dir, keep).join(variants(spark, sf_dir), "pos")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
+from burdenframe.plans.catalog.burden_queries import ingest_in_batches
 from oracle import check, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -44,3 +46,10 @@ def test_whole_cohort(spark, con, name):
 def test_relatedness_of_customers_not_pools(spark):
     pairs = queries()["S10_relatedness_sink_all"](spark, SF_DIR)
     assert pairs.count() > 300 and pairs.filter("s_i LIKE 'N%'").isEmpty()
+
+
+def test_ingest_runs_over_batches_and_a_redelivery(spark):
+    store = spark.read.parquet(ingest_in_batches(spark, SF_DIR))
+    assert store.select("file").distinct().count() == 16 and store.select("batch_id").distinct().count() == 5
+    again = {r.file for r in store.groupBy("file").agg(F.countDistinct("batch_id").alias("n")).filter("n = 2").collect()}
+    assert again == {"file=0", "file=4", "file=8", "file=12"}
