@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burdenframe.llm import (
-    html_text, jaccard_join, language, packing, pii, piece_codec, quality, secret_scan, topk_search, url_filter,
+    html_text, jaccard_join, language, packing, pii, piece_codec, quality, record_files, secret_scan, topk_search, url_filter,
 )
 from burdenframe.llm.common import table
 from burdenframe.llm.oracle import ORACLE
@@ -78,10 +78,14 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(name) for name, c in digest.items()], "blob")
 
 
+def op11_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_line_quality, op3_exact_top_k, op4_html_text, op5_url_filter, op6_personal_data,
-        op7_piece_codec, op8_ngram_jaccard_join, op9_language_id, op10_secret_ledger,
+        op7_piece_codec, op8_ngram_jaccard_join, op9_language_id, op10_secret_ledger, op11_record_files,
     )
 }
