@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ _WS_ARROW = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 CUT = ""
 #: Runs of white space whose cuts depend on what stands beside them.
 _UNCLEAR = f"{_WS_ARROW}{{3}}|{_WS_ARROW} |{_WS_ARROW}{{2}}$|{CUT}"
-_PYTHON_UNITS = re.compile(f"[{WS}]*[^{WS}]+|[{WS}]+")
+_BEGINS = re.compile(f"(?<=[^{WS}])(?=[ \\n])")
 CHUNK_CHARS = 8_000_000
 
 
@@ -55,10 +56,10 @@ def texts_of(table: pa.Table, name: str = "text") -> pa.Array:
 
 def cut(texts: pa.Array, marks: bool = True, whole: list[str] = ()) -> pa.ListArray:
     """Units of each text, in order and without loss: a cut before a space or line feed, after a line feed, and with ``marks`` between a
-    letter or digit and a full stop or comma.
+    letter and a full stop or comma.
 
-    No byte-level or piece vocabulary joins across these cuts where white space comes singly; texts with longer runs are cut at the
-    beginning of each run only. Texts with a string of ``whole`` aren't cut.
+    Byte-level patterns and common piece vocabularies don't join across these cuts where white space comes singly; in texts with longer runs
+    cuts stand only before the runs that begin with a space or line feed. Texts with a string of ``whole`` aren't cut.
     """
     unclear = pc.match_substring_regex(texts, _UNCLEAR)
     for w in whole:
@@ -67,11 +68,11 @@ def cut(texts: pa.Array, marks: bool = True, whole: list[str] = ()) -> pa.ListAr
     marked = pc.replace_substring(plain, "\n", f"{CUT}\n{CUT}")
     marked = pc.replace_substring(marked, " ", f"{CUT} ")
     if marks:
-        marked = pc.replace_substring_regex(marked, r"([\pL\pN])([.,])", f"\\1{CUT}\\2")
+        marked = pc.replace_substring_regex(marked, r"(\pL)([.,])", f"\\1{CUT}\\2")
     units = pc.split_pattern(marked, CUT)
     if len(plain) == len(texts):
         return units
-    rest = pa.array([_PYTHON_UNITS.findall(t) if not any(w in t for w in whole) else [t] for t in texts.filter(unclear).to_pylist()], units.type)
+    rest = pa.array([[t] if any(w in t for w in whole) else _BEGINS.split(t) for t in texts.filter(unclear).to_pylist()], units.type)
     where = np.concatenate([np.flatnonzero(~(u := unclear.to_numpy(zero_copy_only=False))), np.flatnonzero(u)])
     return pa.concat_arrays([units, rest]).take(pa.array(np.argsort(where)))
 
@@ -119,7 +120,7 @@ class Memory:
 def lists(values: list[list[int]], kind: pa.DataType) -> pa.ListArray:
     ends = np.zeros(len(values) + 1, np.int32)
     np.cumsum(np.fromiter(map(len, values), np.int32, len(values)), out=ends[1:])
-    flat = np.fromiter((x for v in values for x in v), kind.to_pandas_dtype(), int(ends[-1]))
+    flat = np.fromiter(chain.from_iterable(values), kind.to_pandas_dtype(), int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
@@ -135,7 +136,7 @@ def joined(rows: pa.Array, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write the bytes of UTF-8: printable ones as themselves, the others from code point 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -156,7 +157,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = pa.uint16() if self.tokenizer.get_vocab_size() <= 1 << 16 else pa.uint32()
-        self.model, self.bytes = self.tokenizer.model, _byte_letters()
+        self.model, self.bytes = self.tokenizer.model, byte_letters()
         self.model._resize_cache(0)  # the memory below is the cache
         self.folded = self.model.end_of_word_suffix is not None  # lower case, words without their spaces
         self.memory = Memory(self._compute)
@@ -164,13 +165,18 @@ class Encoder:
     @classmethod
     def at(cls, name: str, path: str | None = None, plain: bool = False) -> Encoder:
         """One for each file and worker process, with its memory. ``plain`` reads special tokens' strings as text."""
+        path = cls.place(name, path)[0]
+        if (path, plain) not in cls._of:
+            cls._of[path, plain] = cls(path, plain)
+        return cls._of[path, plain]
+
+    @staticmethod
+    def place(name: str, path: str | None) -> tuple[str]:
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        if (path, plain) not in cls._of:
-            cls._of[path, plain] = cls(path, plain)
-        return cls._of[path, plain]
+        return (path,)
 
     def ids(self, units: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
