@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burdenframe.llm import (
-    html_text, jaccard_join, language, packing, pii, piece_codec, quality, record_files, secret_scan, token_alignment, topk_search,
-    url_filter,
+    html_text, jaccard_join, language, packing, pii, piece_codec, quality, record_files, secret_scan, spelling, token_alignment,
+    topk_search, url_filter,
 )
 from burdenframe.llm.common import table
 from burdenframe.llm.oracle import ORACLE
@@ -87,10 +87,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_line_quality, op3_exact_top_k, op4_html_text, op5_url_filter, op6_personal_data,
         op7_piece_codec, op8_ngram_jaccard_join, op9_language_id, op10_secret_ledger, op11_record_files, op12_token_alignment,
+        op13_spelling_variants,
     )
 }
