@@ -152,10 +152,52 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) m ON m.node = w.doc_id
 """
 
+#: Words with CRC-32 bit by bit, single edits by words with one letter masked or left out, forms followed by recursion.
+SPELLING = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents WHERE text IS NOT NULL
+), r AS (
+  SELECT doc_id, run, count(*) AS k, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS b FROM t WHERE length(run) >= 6 GROUP BY doc_id, run
+), crc AS (
+  SELECT list(c ORDER BY v) AS steps FROM (
+    SELECT v, list_reduce(list_prepend(v, range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS c FROM range(256) g(v))
+), h AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::BIGINT)),
+    lambda x, y: xor(x // 256, steps[xor(x % 256, y) + 1]))) AS h
+  FROM r, crc
+), w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(k) >= 5
+), cut AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w
+), part AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS kept, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM cut
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM part a JOIN part b ON a.kept = b.kept AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM part a JOIN w b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM part a JOIN w b ON a.less = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top FROM pairs GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN top >= 5 * w.n THEN (SELECT min(encode(other)) FROM pairs p WHERE p.word = w.word AND p.other_n = top) END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n
+  FROM w LEFT JOIN best USING (word)
+), named AS (
+  SELECT word, n, n_near, decode(form) AS form, form_n FROM formed
+), way AS (
+  SELECT word, word AS at FROM w
+  UNION ALL SELECT way.word, named.form FROM way JOIN named ON named.word = way.at WHERE named.form IS NOT NULL
+)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n
+FROM named f JOIN way USING (word) JOIN named l ON l.word = way.at WHERE l.form IS NULL
+"""
+
 ORACLE: dict[str, str] = {
     "op2_line_quality": QUALITY,
     "op3_exact_top_k": TOP_K,
     "op6_personal_data": digest(PERSONAL, 4),
     "op8_ngram_jaccard_join": JACCARD,
     "op10_secret_ledger": digest(SECRETS, 3, ", sha256(t.text) AS blob"),
+    "op13_spelling_variants": SPELLING,
 }
