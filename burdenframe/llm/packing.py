@@ -22,59 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burdenframe.llm.common import batches, only, record_batch
+from burdenframe.llm import units
+from burdenframe.llm.common import only, record_batch
 from burdenframe.plans.workspace import stored
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; words beyond are encoded again in each batch, with the same result.
-KEPT_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, seq long"
 
 
-class WordEncoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes.
-
-    The tokenizer splits at white space before anything else, so a text's ids are those of its words in a row.
-    Only words not seen before go through the tokenizer.
-    """
-
-    _of: dict[str, WordEncoder] = {}
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {"": b""}
-
-    @classmethod
-    def at(cls, path: str | None) -> WordEncoder:
-        """One encoder for each file and worker process, with its words kept from task to task."""
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path(TOKENIZER)
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words) - self.kept.keys())
-        ids = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        room = KEPT_WORDS - len(self.kept)
-        self.kept.update(list(ids.items())[: max(room, 0)])
-        if len(ids) <= room:
-            return [b"".join(map(self.kept.__getitem__, ws)) for ws in words]
-        return [b"".join([self.kept[w] if w in self.kept else ids[w] for w in ws]) for ws in words]
-
-
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None,
            with_ids: bool = False) -> DataFrame:
     """Tokenise and cut: one row per piece, numbered inside its task and length.
@@ -89,24 +47,20 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, task, seen = WordEncoder.at(tokenizer), TaskContext.get().partitionId(), Counter()
-        for batch in rows:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in batches(texts, 2_000_000):
-                out = []
-                for key, ids in zip(keys[lo:hi], encoder.encode(texts[lo:hi])):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        n = len(part) // 4
-                        row = (key, k, at // 4, n, zlib.crc32(part), task, seen[n])
-                        out.append((*row, np.frombuffer(part, "<i4")) if with_ids else row)
-                        seen[n] += 1
-                if out:
-                    yield record_batch(schema, *zip(*out))
+        encoder, task, seen = units.Encoder.at(TOKENIZER, tokenizer), TaskContext.get().partitionId(), Counter()
+        for table in units.chunks(rows):
+            ids, ends = encoder.encode(units.texts_of(table))
+            data, ends, out = memoryview(ids.astype("<u4").tobytes()), (4 * ends).tolist(), []
+            for key, lo, hi in zip(units.column(table, "doc_id").to_pylist(), ends, ends[1:]):
+                own = bytes(data[lo:hi]) + end
+                for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                    part = own[at : at + 4 * capacity]
+                    n = len(part) // 4
+                    row = (key, k, at // 4, n, zlib.crc32(part), task, seen[n])
+                    out.append((*row, np.frombuffer(part, "<i4")) if with_ids else row)
+                    seen[n] += 1
+            if out:
+                yield record_batch(schema, *zip(*out))
 
     return only(docs, doc_id=doc_id, text=text).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 

@@ -201,7 +201,7 @@ def write(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: s
         kind = np.dtype("<u2" if encoder.kind == pa.uint16() else "<u4")
         end = np.array([END_ID], kind).tobytes()
         for table in units.chunks(batches):
-            ids, at = encoder.encode(units.cut(units.texts_of(table), whole=encoder.special))
+            ids, at = encoder.encode(units.texts_of(table))
             data, at, payloads = memoryview(ids.astype(kind, copy=False).tobytes()), at.tolist(), []
             for key, lo, hi in zip(units.column(table, "doc_id").to_pylist(), at, at[1:]):
                 head = struct.pack(PAYLOAD, key is not None, kind.itemsize, key or 0)

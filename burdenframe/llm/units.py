@@ -22,6 +22,8 @@ CUT = ""
 #: Runs of white space whose cuts depend on what stands beside them.
 _UNCLEAR = f"{_WS_ARROW}{{3}}|{_WS_ARROW} |{_WS_ARROW}{{2}}$|{CUT}"
 _BEGINS = re.compile(f"(?<=[^{WS}])(?=[ \\n])")
+#: Letters that stay one letter in lower case.
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 CHUNK_CHARS = 8_000_000
 
 
@@ -77,6 +79,18 @@ def cut(texts: pa.Array, marks: bool = True, whole: list[str] = ()) -> pa.ListAr
     return pa.concat_arrays([units, rest]).take(pa.array(np.argsort(where)))
 
 
+def folded_words(texts: pa.Array, whole: list[str] = ()) -> pa.ListArray:
+    """Words for tokenizers that ignore case and white space: A to Z in lower case, full stops and commas apart from a Latin letter before them.
+
+    Texts with a string of ``whole`` keep their case.
+    """
+    kept = pa.array(np.zeros(len(texts), bool))
+    for w in whole:
+        kept = pc.or_(kept, pc.match_substring(texts, w, ignore_case=True))
+    spaced = pc.replace_substring(pc.if_else(kept, texts, pc.ascii_lower(texts)), "\n", " ")
+    return pc.split_pattern(pc.replace_substring_regex(spaced, f"({_LATIN})([.,])", r"\1 \2"), " ")
+
+
 class Memory:
     """What ``compute`` made of each unit: a table row per unit. Holds ``most`` units at most; if there are more, those met most often stay."""
 
@@ -133,7 +147,7 @@ def joined(rows: pa.Array, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray
 
 
 #: Units of letters only: the tokenizers' patterns keep them in one part, so the model can have them without the steps before it.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LETTERS = re.compile(f"{_LATIN}+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -201,7 +215,7 @@ class Encoder:
     def _compute(self, units: list[str]) -> pa.Table:
         return pa.table({"ids": lists(self.ids(units), self.kind)})
 
-    def encode(self, units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text begin, and the end."""
-        rows, at, ends = self.memory.spread(units)
+        rows, at, ends = self.memory.spread((folded_words if self.folded else cut)(texts, whole=self.special))
         return joined(column(rows, "ids"), at, ends)

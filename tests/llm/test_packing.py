@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from burdenframe.llm import packing
+from burdenframe.llm import packing, units
 
 
 def bins_of(histogram, capacity):
@@ -52,12 +53,40 @@ def test_plan_needs_lengths_within_the_capacity():
         packing.plan({11: 1}, 10)
 
 
-def test_ids_are_those_of_the_whole_text():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    texts = ["Don't  stop\n\nit's 10\t000 Ǆ é́ <|endoftext|>x<|startoftext|> ﬁ", "\x1c\x85\xa0 a　b 日本", "", None, "ΣΑΣ ΟΔΟΣ."]
-    found = packing.WordEncoder(public_tokenizers.path(packing.TOKENIZER)).encode(texts)
-    for text, ids in zip(texts, found):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+PARTS = ["a", "B", " ", " ", "\n", "\n\n", "  ", "\t", "\r", ".", ",", "'s", "1", "²", "é", "É", "e\u0301", "\u0301", "Σ", "Ünter", "word", "日", "\x85", "　", "\x1c", "-",
+         "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\ue000", "ﬁ", "İ"]
+
+
+@pytest.mark.parametrize("name, plain", [(packing.TOKENIZER, False), ("byte_bpe_50k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_are_those_of_the_whole_text(name, plain):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.encode_special_tokens = plain
+    rng = random.Random(2)
+    texts = ["Don't  stop\n\nit's 10\t000 Ǆ é́ <|endoftext|>x<|startoftext|> ﬁ", "\x1c\x85\xa0 a　b 日本", "", "ΣΑΣ ΟΔΟΣ.", "x" * 5000]
+    texts += ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 16))) for _ in range(20_000)]
+    ids, ends = units.Encoder.at(name, plain=plain).encode(pa.array(texts))
+    found = [ids[lo:hi].tolist() for lo, hi in zip(ends, ends[1:])]
+    wrong = [t for t, own, e in zip(texts, found, tokenizer.encode_batch(texts, add_special_tokens=False)) if own != e.ids]
+    assert wrong == []
+
+
+def test_memory_keeps_what_is_met_often():
+    asked = []
+    memory = units.Memory(lambda new: (asked.extend(new), pa.table({"n": [len(u) for u in new]}))[1], most=4)
+    for group in (["a", "bb"], ["a", "ccc"], ["a", "dddd", "e"], ["f", "g", "a"], ["a", "h"]):
+        assert memory.of(pa.array(group)).column("n").to_pylist() == [len(u) for u in group]
+        assert len(memory.units) <= 4
+    assert asked.count("a") == 1
+
+
+def test_chunks_keep_all_rows():
+    texts = ["x" * n for n in (0, 5, 100, 3, 3, 3, 50, 0, 7)] + [None]
+    batches = pa.table({"text": texts}).to_batches(4)
+    for most in (1, 8, 10_000):
+        found = list(units.chunks(iter(batches), most=most))
+        assert [t for c in found for t in c.column("text").to_pylist()] == texts
+        assert all(c.num_rows == 1 or sum(len(t or "") for t in c.column("text").to_pylist()) <= most for c in found)
+    assert list(units.chunks(iter([]))) == []
 
 
 def test_pack_and_sequences(spark, documents):
