@@ -370,4 +370,4 @@ def king(spark, d):
 
 @query("A09_likely_duplicates", extended("entries", BIALLELIC_SQL, f"SELECT s_i, s_j, n_shared, {sr('phi')} AS phi FROM phis WHERE phi > 0.4::DOUBLE"))
 def likely_duplicates(spark, d):
-    return rounded(kinship.likely_duplicates(kinship.kinship(star.entries(spark, d), None)))
+    return rounded(kinship.find_duplicates(star.entries(spark, d)))

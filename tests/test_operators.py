@@ -193,6 +193,35 @@ def test_kinship_counts(spark, density_, blocks, chunks):
     assert got == king_brute(calls)
 
 
+@pytest.mark.parametrize("density_,blocks,chunks", [(0.95, 3, 4), (0.1, 1, 1), (0.03, 4, 5), (0.4, 2, 60)])
+def test_find_duplicates_without_the_other_pairs(spark, density_, blocks, chunks):
+    rnd = random.Random(7)
+    truth = [[rnd.choice((0, 1, 1, 2)) for _ in range(150)] for _ in range(8)]
+    calls = [(v, f"s{s:02}", rnd.choice((0, 1, 2)) if rnd.random() < 0.03 else truth[s // 3][v]) for v in range(150) for s in range(24) if rnd.random() < density_]
+    entries = entries_from(spark, calls)
+    every = kinship.kinship(entries, None, blocks, chunks)
+    for limit in (0.4, 0.2, -1.0):
+        want = sorted(tuple(r) for r in kinship.likely_duplicates(every, limit).collect())
+        assert sorted(tuple(r) for r in kinship.find_duplicates(entries, None, limit, blocks, chunks).collect()) == want
+    assert kinship.likely_duplicates(every).count() >= 5
+
+
+def test_tile_forms_agree():
+    rng = np.random.default_rng(4)
+    codes = rng.choice(4, (70, 130), p=[0.7, 0.1, 0.1, 0.1]).astype(np.uint8)
+    codes[-1, -1] = 1
+    row, column = np.nonzero(codes)
+    listed = row.astype("<u2").tobytes() + column.astype("<u2").tobytes() + codes[row, column].tobytes()
+    a, b = kinship.Tile(70, 130, len(row), listed), kinship.Tile(70, 130, None, kinship._bits(codes))
+    assert all((x == y).all() for x, y in zip(a.planes(5), b.planes(5)))
+    assert all((x == y).all() for x, y in zip(a.listed(), b.listed()))
+    assert (a.hets(80) == b.hets(80)).all()
+    one, two = kinship.Pairs(70, 70, True), kinship.Pairs(70, 70, True)
+    one._scatter(a.listed(), a.listed(), np.bincount(a.listed()[1], minlength=130))
+    two._combine(b.planes(), b.planes())
+    assert (np.triu(one.counts, 1) == np.triu(two.counts, 1)).all()
+
+
 def entries_from(spark, calls):
     rows = [("2", v + 1, ["A", "T"], s, g) for v, s, g in calls]
     return spark.createDataFrame(rows, "contig string, pos int, alleles array<string>, s string, AC int")
