@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burdenframe.functions import text as X
 from burdenframe.functions.ordering import hash_bucket, running_total
 from burdenframe.functions.sampling import hash_hex
+from burdenframe.plans.workspace import work_folder
 
 NULL_SEED = "null-cohort"
 
@@ -104,16 +105,60 @@ def union_entries(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def union_sites(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Outer join of the tables on their sites: one row per site with a column for each table, its calls there as an array
-    of sample and allele count ordered by sample, NULL for a table without any, and ``n_entries`` over all.
+SITE_BLOCK = ("site", "block")
 
-    A sample missing from the array has no call. A row is as long as the samples that carry the site, like a row of the
-    matrix it stands for.
+
+def store_by_site(entries: DataFrame, block: Column, buckets: int | None = None) -> DataFrame:
+    """A cohort table laid out for unions: ``site, block, calls``, one row per site and sample block with the block's calls there, an array of sample
+    and allele count ordered by sample.
+
+    ``block`` deals samples into blocks of bounded size, which bounds a row whatever the number of carriers. The table is bucketed and sorted by site
+    and block; tables with equally many ``buckets`` (by default the session's shuffle partitions) are joined without a shuffle. It is registered in
+    the session's catalog, with its files in the work folder.
+    """
+    n = buckets or _shuffle_partitions(entries.sparkSession)
+    keyed = entries.select(_site_key().alias("site"), block.cast("long").alias("block"), F.struct("s", "AC").alias("call"))
+    rows = keyed.repartition(n, *SITE_BLOCK).groupBy(*SITE_BLOCK).agg(F.sort_array(F.collect_list("call")).alias("calls"))
+    return _bucketed(rows, n)
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` written in buckets by site and block; a write task has the rows of one bucket."""
+    spark, path = rows.sparkSession, work_folder(rows.sparkSession, "sites")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    rows.write.bucketBy(buckets, *SITE_BLOCK).sortBy(*SITE_BLOCK).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _site_key() -> Column:
+    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.concat(part(F.col("contig")), F.lit("\t"), part(F.col("pos")), F.lit("\t"), F.array_join("alleles", ","))
+
+
+def union_sites(tables: Mapping[str, DataFrame], buckets: int | None = None) -> DataFrame:
+    """Outer join of tables made by ``store_by_site`` on their sites: ``contig, pos, alleles, block``, one row per site and sample block with a column
+    for each table, its calls there, NULL for a table without any, and ``n_entries`` over all.
+
+    A sample missing from the array has no call. Two tables are joined as they lie. For more, the sites of all are stored once in the same
+    buckets, narrow rows, and each table is joined to them: an outer join of outer joins would need its result dealt anew.
     """
     if not tables:
         raise ValueError("no tables to be joined")
-    named = [t.select("contig", "pos", "alleles", F.struct("s", "AC").alias("_call"), F.lit(name).alias("_table")) for name, t in tables.items()]
-    calls = {name: F.sort_array(F.collect_list(F.when(F.col("_table") == name, F.col("_call")))) for name in tables}
-    return reduce(lambda a, b: a.unionByName(b), named).groupBy("contig", "pos", "alleles").agg(
-        F.count(F.lit(1)).alias("n_entries"), *[F.when(F.size(c) > 0, c).alias(name) for name, c in calls.items()])
+    named = [t.withColumnRenamed("calls", name) for name, t in tables.items()]
+    if len(named) <= 2:
+        joined = reduce(lambda a, b: a.join(b, [*SITE_BLOCK], "full_outer"), named)
+    else:
+        keys = reduce(lambda a, b: a.union(b), [t.select(*SITE_BLOCK) for t in named])
+        n = buckets or _shuffle_partitions(keys.sparkSession)
+        keys = _bucketed(keys.repartition(n, *SITE_BLOCK).distinct(), n)
+        joined = reduce(lambda a, b: a.join(b, [*SITE_BLOCK], "left"), named, keys)
+    part = F.split("site", "\t")
+    pos = F.when(part[1] != "", part[1]).cast("int")
+    entries = reduce(lambda a, b: a + b, [F.coalesce(F.size(F.col(n)), F.lit(0)) for n in tables])
+    return joined.select(F.when(part[0] != "", part[0]).alias("contig"), pos.alias("pos"), F.split(part[2], ",").alias("alleles"), "block",
+                         entries.cast("long").alias("n_entries"), *tables)
+
+
+
+def _shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

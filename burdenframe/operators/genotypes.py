@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burdenframe.functions.text import variant_id
@@ -34,3 +34,36 @@ def genotype_matrix(long: DataFrame, sample_ids: Sequence[str], fill: int | None
     """One row per variant and one column per named sample; for export only, the long form scales."""
     wide = long.groupBy("variant_id").pivot("s", list(sample_ids)).agg(F.max("AC"))
     return wide if fill is None else wide.na.fill(fill)
+
+
+def sample_index(samples: DataFrame, block: Column) -> DataFrame:
+    """``s, block, position, size``: samples in blocks of bounded size, numbered from 0 in each in the order of ``s``."""
+    dealt = samples.select("s", block.cast("long").alias("block")).distinct()
+    own = Window.partitionBy("block")
+    position = F.row_number().over(own.orderBy("s")) - 1
+    return dealt.select("s", "block", position.alias("position"), F.count(F.lit(1)).over(own).cast("int").alias("size"))
+
+
+def genotype_blocks(long: DataFrame, index: DataFrame) -> DataFrame:
+    """The whole genotype matrix as sparse vectors: ``variant_id, block, size, positions, counts``, one row per variant and block with a call.
+
+    ``positions`` ascend and have the allele counts beside them; samples in between have no call. A row holds a block of samples at most,
+    so neither a common variant nor a large cohort makes it longer. Samples that the index lacks are left out.
+    """
+    placed = long.join(index, "s").groupBy("variant_id", "block").agg(
+        F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("position", "AC"))).alias("_calls"))
+    return placed.select("variant_id", "block", "size", F.col("_calls.position").alias("positions"), F.col("_calls.AC").alias("counts"))
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """One column group per block of samples, a folder of its own, sorted by variant: a reader of some samples reads their folders only."""
+    blocks.repartition("block", F.pmod(F.xxhash64("variant_id"), F.lit(64))).sortWithinPartitions("block", "variant_id").write.partitionBy("block").parquet(path)
+
+
+def export_block(spark: SparkSession, path: str, index: DataFrame, block: int, fill: int | None = 0) -> DataFrame:
+    """One column group as a wide table: a row per variant with a call in it, a column per sample of the block. No shuffle."""
+    names = [r.s for r in index.filter(F.col("block") == block).orderBy("position").select("s").collect()]
+    call = F.map_from_arrays("positions", "counts")
+    rows = spark.read.parquet(path).filter(F.col("block") == block).select("variant_id", call.alias("_calls"))
+    cell = lambda i: F.col("_calls")[F.lit(i)]
+    return rows.select("variant_id", *[(cell(i) if fill is None else F.coalesce(cell(i), F.lit(fill))).alias(str(s)) for i, s in enumerate(names)])

@@ -146,25 +146,25 @@ def difference(spark, d):
 
 def calls_sql(sides: dict[str, str]) -> str:
     lists = ", ".join(f"string_agg(s || ':' || ac, ',' ORDER BY s, ac) FILTER ({test}) AS {name}" for name, test in sides.items())
-    return f"SELECT contig, pos, count(*) AS n_entries, {lists} FROM labelled_entries GROUP BY contig, pos"
+    return f"SELECT contig, pos, s // 64 AS block, count(*) AS n_entries, {lists} FROM labelled_entries GROUP BY contig, pos, s // 64"
 
 
-def calls_text(sites, names):
-    texts = [F.array_join(F.transform(n, lambda c: F.concat_ws(":", c["s"], c["AC"])), ",").alias(n) for n in names]
-    return sites.select("contig", "pos", "n_entries", *texts)
+def calls_text(spark, d, sides):
+    """The union of the tables that the filters make, each stored by site and blocks of 64 customers, with calls as text."""
+    entries = stored(star.labelled_entries(spark, d), "entries")
+    laid_out = {name: cohort.store_by_site(entries.filter(test), F.floor(F.col("s") / 64)) for name, test in sides.items()}
+    texts = [F.array_join(F.transform(n, lambda c: F.concat_ws(":", c["s"], c["AC"])), ",").alias(n) for n in sides]
+    return cohort.union_sites(laid_out).select("contig", "pos", "block", "n_entries", *texts)
 
 
 @query("J04_column_union", with_("labelled_entries", calls_sql({"cases": "is_case", "controls": "NOT is_case"})))
 def column_union(spark, d):
-    e = star.labelled_entries(spark, d)
-    return calls_text(cohort.union_sites({"cases": e.filter("is_case"), "controls": e.filter("NOT is_case")}), ["cases", "controls"])
+    return calls_text(spark, d, {"cases": F.col("is_case"), "controls": ~F.col("is_case")})
 
 
 @query("J15_multi_way_union", with_("labelled_entries", calls_sql({i.lower(): f"impact = '{i}'" for i in burden.IMPACTS})))
 def multi_way_union(spark, d):
-    e = star.labelled_entries(spark, d)
-    tables = {i.lower(): e.filter(F.col("impact") == i) for i in burden.IMPACTS}
-    return calls_text(cohort.union_sites(tables), list(tables))
+    return calls_text(spark, d, {i.lower(): F.col("impact") == i for i in burden.IMPACTS})
 
 
 @query("U01_row_union", with_("kept", "SELECT s, count(*) AS n, CAST(sum(ac) AS BIGINT) AS ac FROM kept GROUP BY s"))
@@ -328,6 +328,38 @@ def genotypes_long(spark, d):
     return long.select("variant_id", "s", F.col("AC").alias("ac"))
 
 
+BLOCKS_SQL = f"""numbered AS (
+    SELECT c_custkey AS s, c_custkey // 64 AS block, row_number() OVER (PARTITION BY c_custkey // 64 ORDER BY c_custkey) - 1 AS position,
+        count(*) OVER (PARTITION BY c_custkey // 64) AS size FROM customer),
+    matrix AS ({GENOTYPE_SQL})"""
+
+
+def stored_blocks(spark, d):
+    """The genotypes of all customers in column groups, and the index of the customers."""
+    path = work_folder(spark, "genotype-blocks")
+    index = stored(genotypes.sample_index(star.samples(spark, d), F.floor(F.col("s") / 64)), "sample-index")
+    genotypes.write_blocks(genotypes.genotype_blocks(genotypes.genotype_long(star.kept_entries(spark, d), "max"), index), path)
+    return path, index
+
+
+@query("A06_genotype_blocks", extended("kept", f", {BLOCKS_SQL}", """SELECT variant_id, block, CAST(max(size) AS BIGINT) AS size,
+    string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions, string_agg(CAST(ac AS VARCHAR), ',' ORDER BY position) AS counts
+    FROM matrix JOIN numbered USING (s) GROUP BY variant_id, block"""))
+def genotype_blocks(spark, d):
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    rows = spark.read.parquet(stored_blocks(spark, d)[0])
+    return rows.select("variant_id", F.col("block").cast("long").alias("block"), F.col("size").cast("long").alias("size"), text("positions"), text("counts"))
+
+
+BLOCK_CELLS = ", ".join(f'coalesce(max(ac) FILTER (WHERE s = {s}), 0) AS "{s}"' for s in range(64, 128))
+
+
+@query("A06_block_export", extended("kept", f", {BLOCKS_SQL}", f"SELECT variant_id, {BLOCK_CELLS} FROM matrix WHERE s // 64 = 1 GROUP BY variant_id"))
+def block_export(spark, d):
+    path, index = stored_blocks(spark, d)
+    return genotypes.export_block(spark, path, index, 1)
+
+
 @query("A21_merged_lengths", with_("entries", f"SELECT {sr('avg(n)')} AS mean, {sr('stddev_pop(n)')} AS stdev, min(n) AS min, max(n) AS max, count(*) AS n, CAST(sum(n) AS BIGINT) AS sum FROM (SELECT pos, count(*) AS n FROM entries GROUP BY pos)"))
 def merged_lengths(spark, d):
     return rounded(burden.merged_lengths(star.entries(spark, d)))

@@ -286,7 +286,7 @@ def log_odds_difference_z(spark, d):
     return rounded(log_odds(spark, d))
 
 
-@query("J08_counts_beside_tests", extended("four_long sizes", LOG_ODDS, f"SELECT t.gene, t.bin, {sr('t.p_val')} AS p_val, {', '.join(f'f.{c}' for c in genetable.COUNTS)} FROM corrected t LEFT JOIN four_long f ON t.gene = f.gene AND t.bin = f.bin"))
+@query("J08_counts_beside_tests", extended("four_long sizes", LOG_ODDS, f"SELECT gene, bin, {sr('p_val')} AS p_val, {', '.join(genetable.COUNTS)} FROM corrected"))
 def counts_beside_tests(spark, d):
     long, sizes = counts_and_sizes(spark, d)
     z = gene_tests.log_odds_difference_z(long, sizes).select("gene", "bin", "p_val")

@@ -162,6 +162,43 @@ def test_genotype_duplicates(spark):
     assert tuple(wide) == ("1:5_['A', 'T']", 2, 2, 0)
 
 
+def test_unions_by_site_and_block(spark):
+    rnd = random.Random(3)
+    every = [("2", v, ["A", "T"], s, rnd.randint(0, 2), rnd.choice("xyz")) for v in range(30) for s in range(40) if v == 0 or rnd.random() < 0.2]
+    every += [("X", None, ["A", "T", "G"], 7, 1, "x"), ("X", None, ["A", "T", "G"], 7, 2, "x")]
+    df = spark.createDataFrame(every, "contig string, pos int, alleles array<string>, s long, AC int, t string")
+    for names in ("x", "xy", "xyz"):
+        tables = {n: cohort.store_by_site(df.filter(F.col("t") == n), F.floor(F.col("s") / 8)) for n in names}
+        found = cohort.union_sites(tables)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for contig, pos, alleles, s, ac, t in every:
+            if t in names:
+                want.setdefault((contig, pos, tuple(alleles), s // 8), {n: [] for n in names})[t].append((s, ac))
+        got = {(r.contig, r.pos, tuple(r.alleles), r.block): r for r in found.collect()}
+        assert got.keys() == want.keys()
+        for key, calls in want.items():
+            assert got[key].n_entries == sum(map(len, calls.values()))
+            assert all([tuple(c) for c in got[key][n] or []] == sorted(calls[n]) for n in names)
+
+
+def test_genotype_blocks_hold_the_matrix(spark, tmp_path):
+    rnd = random.Random(6)
+    calls = [(f"v{v}", s, rnd.randint(0, 2)) for v in range(20) for s in range(50) if rnd.random() < 0.3]
+    long = spark.createDataFrame(calls, "variant_id string, s long, AC int")
+    index = genotypes.sample_index(spark.range(45).withColumnRenamed("id", "s"), F.floor(F.col("s") / 16))
+    path = str(tmp_path / "blocks")
+    genotypes.write_blocks(genotypes.genotype_blocks(long, index), path)
+    got = {(r.variant_id, r.block * 16 + p): c for r in spark.read.parquet(path).collect() for p, c in zip(r.positions, r.counts)}
+    assert got == {(v, s): c for v, s, c in calls if s < 45}
+    assert {r["size"] for r in spark.read.parquet(path).filter("block = 2").collect()} == {13}
+    for fill in (0, None):
+        wide = genotypes.export_block(spark, path, index, 1, fill).collect()
+        assert wide[0].asDict().keys() == {"variant_id", *map(str, range(16, 32))}
+        assert all(r[str(s)] == got.get((r.variant_id, s), fill) for r in wide for s in range(16, 32))
+        assert {r.variant_id for r in wide} == {v for v, s in got if 16 <= s < 32}
+
+
 # --- kinship ---------------------------------------------------------------------------------------------------
 
 
