@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: space and the controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
-ROWS_SETTING, ROWS_AT_A_TIME = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Rows that a task makes Python objects of at a time.
+ROWS_AT_A_TIME = 1000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -19,18 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """``df``, after bounding the rows that its session hands to Python at a time: texts are long, and Spark's default of
-    10,000 rows would keep many MB in each worker and outside the heap of its executor. A smaller setting stays."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(ROWS_SETTING, "10000")) <= ROWS_AT_A_TIME:
-        conf.set(ROWS_SETTING, str(ROWS_AT_A_TIME))
-    return df
-
-
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns, under this operator's own names: extra columns can't clash."""
-    return lean(df).select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
+    return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
 def bind(value: Column, use) -> Column:
@@ -44,6 +36,13 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def slices(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time: texts are long, and Spark hands over thousands. Nothing is copied."""
+    for batch in rows:
+        for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+            yield batch.slice(at, ROWS_AT_A_TIME)
+
+
 def batches(texts: list[Any], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``most_chars`` characters; a longer text has a range of its own."""
     begin = size = 0

@@ -15,7 +15,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from burdenframe.llm.common import batches, only, record_batch
+from burdenframe.llm.common import batches, only, record_batch, slices
 
 LONG = 70
 MIN_STOP_SHARE = 0.1
@@ -205,7 +205,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows):
             pages = batch.column("html").to_pylist()
             for lo, hi in batches(pages, 4_000_000):
                 part = batch.slice(lo, hi - lo)

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -35,7 +34,9 @@ from burdenframe.plans.workspace import stored
 
 WORDS = 5
 #: Shingles that a task holds before it hands them on, and that a bucket holds on average.
-CHUNK, BUCKET_CHARS = 1_000_000, 8_000_000
+CHUNK, BUCKET_CHARS = 1_000_000, 4_000_000
+#: Buckets, and chunks' returns, that a task works off one after the other.
+BUCKETS_PER_TASK = 4
 #: A shingle in so many sets of a chunk is frequent: it sorts last, and its sets aren't brought together.
 FREQUENT = 64
 FREQUENT_DF = 1 << 40
@@ -89,11 +90,12 @@ def _node(s: np.ndarray) -> int:
 def node_of(text: Column, words: int = WORDS) -> Column:
     """The node of a text's set, null without words."""
 
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        sets = [shingles(t, words) for t in texts]
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        sets = (shingles(t.as_py(), words) for t in texts)
+        nodes = pa.array([int(np.uint64(_node(s)).astype(np.int64)) if len(s) else None for s in sets], pa.int64())
         _words.clear()
-        return pd.Series([int(np.uint64(_node(s)).astype(np.int64)) if len(s) else None for s in sets], dtype="Int64")
+        return nodes
 
     return run(text)
 
@@ -200,7 +202,8 @@ def _passed(batch: pa.RecordBatch, kinds: np.ndarray, *which: int) -> Iterator[p
 
 
 def _count():
-    """Per bucket of the hash range: who has the shingles that occur more than once, back to the chunks. Other rows pass."""
+    """Per bucket of the hash range: who has the shingles that occur more than once, back to the chunks. Rows come sorted by bucket; other
+    rows pass."""
 
     def shared(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         opened = [(_unpack(data, 3), i) for i, (_, data) in enumerate(parts)]
@@ -221,14 +224,19 @@ def _count():
             yield _rows(SHARED, [0] * len(payloads), [parts[i][0] for i in chunk[begins[:-1]]], payloads)
 
     def reduce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[int, bytes]]] = {}
+        bucket, parts = None, []
         for batch in rows:
             kinds = batch.column("kind").to_numpy()
             yield from _passed(batch, kinds, DOC, TABLE, SHARED)
             for k in np.flatnonzero(kinds == PART):
-                parts.setdefault(batch.column("key")[k].as_py(), []).append((batch.column("node")[k].as_py(), batch.column("payload")[k].as_py()))
-        while parts:
-            yield from shared(parts.popitem()[1])
+                key = batch.column("key")[k].as_py()
+                if key != bucket and parts:
+                    yield from shared(parts)
+                    parts = []
+                bucket = key
+                parts.append((batch.column("node")[k].as_py(), batch.column("payload")[k].as_py()))
+        if parts:
+            yield from shared(parts)
 
     return reduce
 
@@ -254,21 +262,25 @@ def _gather():
                 out = []
 
     def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, bytes] = {}
-        parts: dict[int, list[bytes]] = {}
+        chunk, table, parts = None, b"", []
         for batch in rows:
             kinds = batch.column("kind").to_numpy()
             for docs in _passed(batch, kinds, DOC):
                 n = docs.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [docs.column("doc_id"), docs.column("node"), docs.column("n"), pa.nulls(n, pa.int64()), pa.nulls(n, schema[4].type)], schema=schema)
-            for k in np.flatnonzero(kinds == TABLE):
-                tables[batch.column("node")[k].as_py()] = batch.column("payload")[k].as_py()
-            for k in np.flatnonzero(kinds == SHARED):
-                parts.setdefault(batch.column("node")[k].as_py(), []).append(batch.column("payload")[k].as_py())
-        while parts:
-            chunk, own = parts.popitem()
-            yield from sets(tables[chunk], own)
+            for k in np.flatnonzero(kinds != DOC):  # a chunk's table comes before its shingles
+                own, payload = batch.column("node")[k].as_py(), batch.column("payload")[k].as_py()
+                if kinds[k] == TABLE:
+                    if parts:
+                        yield from sets(table, parts)
+                    chunk, table, parts = own, payload, []
+                elif own != chunk:
+                    raise ValueError("shingles without the table of their chunk")
+                else:
+                    parts.append(payload)
+        if parts:
+            yield from sets(table, parts)
 
     return gather
 
@@ -287,10 +299,11 @@ def sets_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """Rows of documents (doc_id, node, n) and, with ``own`` not null, of sets that may have partners (node, n, own, tokens)."""
     rows = only(docs, doc_id=doc_id, text=text)
     buckets = max(1, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS)
-    tasks = -(-buckets // 2)
-    parts = rows.mapInArrow(_emit(buckets, words), ROW).repartition(tasks, "key").mapInArrow(_count(), ROW)
+    tasks = -(-buckets // BUCKETS_PER_TASK)
+    parts = rows.mapInArrow(_emit(buckets, words), ROW).repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_count(), ROW)
     home = F.when(F.col("kind") == DOC, F.col("key").cast("long")).otherwise(F.col("node"))
-    return stored(parts.repartition(tasks, home).mapInArrow(_gather(), "doc_id long, node long, n long, own long, tokens array<long>"), "sets")
+    own = parts.repartition(tasks, home).sortWithinPartitions(home, "kind")
+    return stored(own.mapInArrow(_gather(), "doc_id long, node long, n long, own long, tokens array<long>"), "sets")
 
 
 def index(sets: DataFrame) -> DataFrame:

@@ -12,12 +12,11 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenframe.llm.common import batches, only, record_batch
+from burdenframe.llm.common import ROWS_AT_A_TIME, batches, only, record_batch, slices
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -85,7 +84,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
 
     def sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in rows:
+        for batch in slices(rows):
             texts, names = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for lo, hi in batches(texts):
                 buckets, begins, _ = grams(texts[lo:hi])
@@ -112,9 +111,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     if not languages:
         return Model([], np.zeros((0, BUCKETS + 1)), np.zeros(0))
     counts = rows.mapInArrow(sums, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()
+    found = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).toArrow()  # a row per language
     table = np.zeros((BUCKETS + 1, len(languages)))
-    table[found["bucket"], np.searchsorted(languages, found["lang"])] = found["n"]
+    for name, own in zip(found.column("lang").to_pylist(), found.column("counts")):
+        bucket, n = own.values.flatten()
+        table[bucket.to_numpy(), languages.index(name)] = n.to_numpy()
     prior = np.log(table[BUCKETS] / table[BUCKETS].sum())
     weights = np.log(table[:BUCKETS] + smoothing) - np.log(table[:BUCKETS].sum(0) + smoothing * BUCKETS)
     return Model(languages, np.ascontiguousarray(np.vstack([weights, np.zeros(len(languages))]).T), prior)
@@ -128,10 +129,11 @@ def predictor(spark: SparkSession, model: Model):
     """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        names, score = shared.value.score(text.tolist())
-        return pd.DataFrame({"lang": names, "score": score})
+    @F.arrow_udf("lang string, score double")
+    def predict(text: pa.Array) -> pa.Array:
+        found = [shared.value.score(text.slice(at, ROWS_AT_A_TIME).to_pylist()) for at in range(0, len(text), ROWS_AT_A_TIME)]
+        names, scores = [n for names, _ in found for n in names], [s for _, score in found for s in score.tolist()]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return predict
 

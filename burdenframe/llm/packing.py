@@ -152,21 +152,22 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     by_length = {n: np.array(v, np.int64) for n, v in by_length.items()}
     kept = [f.name for f in cut.schema.fields if f.name not in ("task", "seq")]
 
-    def locate(frames):
-        for f in frames:
-            length, r = f["length"].to_numpy(), (f["base"] + f["seq"]).to_numpy()
-            where, offset = np.zeros(len(f), np.int64), np.zeros(len(f), np.int64)
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches:
+            length = f.column("length").to_numpy()
+            r = f.column("base").to_numpy() + f.column("seq").to_numpy()
+            where, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length):
                 own, steps = length == n, by_length[int(n)]
                 step = steps[np.searchsorted(steps[:, 0], r[own], "right") - 1]
                 k = r[own] - step[:, 0]
                 where[own] = step[:, 1] + k // step[:, 2]
                 offset[own] = step[:, 3] + n * (k % step[:, 2])
-            yield f[kept].assign(sequence_id=where, offset=offset)
+            yield pa.RecordBatch.from_arrays([*[f.column(c) for c in kept], pa.array(where), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     schema += ", ids array<int>" if "ids" in kept else ""
-    return cut.join(bases, ["length", "task"]).select(*kept, "seq", "base").mapInPandas(
+    return cut.join(bases, ["length", "task"]).select(*kept, "seq", "base").mapInArrow(
         locate, schema + ", sequence_id long, offset long")
 
 

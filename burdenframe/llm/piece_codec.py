@@ -13,12 +13,11 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burdenframe.llm.common import batches, only, record_batch
+from burdenframe.llm.common import batches, only, record_batch, slices
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -175,7 +174,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(model)
-        for batch in rows:
+        for batch in slices(rows):
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for lo, hi in batches(texts, 2_000_000):
                 yield record_batch(schema, keys[lo:hi], texts[lo:hi], [codec.encode(t) for t in texts[lo:hi]])
@@ -186,9 +185,9 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 def decoder(model: str | None = None):
     """A function from a column of ids to the text. Null ids give null, no ids an empty text."""
 
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
         codec = Codec.at(model)
-        return pd.Series([None if x is None else codec.decode(x.tolist()) for x in ids], dtype=object)
+        return pa.array([None if x is None else codec.decode(x) for x in (i.as_py() for i in ids)], pa.string())
 
     return decode

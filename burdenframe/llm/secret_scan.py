@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burdenframe.llm.common import only
+from burdenframe.llm.common import only, slices
 
 RULE_VERSION = "2"
 #: Fixed patterns of the base rules, by kind, with the least length of their group.
@@ -91,7 +91,7 @@ def ledger_at(spark: SparkSession, path: str) -> DataFrame:
 
 def _scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    for batch in rows:
+    for batch in slices(rows):
         found = [[dict(zip(("kind", "start", "end"), s)) for s in find(t)] for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(found, pa.list_(span))], ["blob", "findings"])
 
