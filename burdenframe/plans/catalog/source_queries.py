@@ -93,8 +93,8 @@ def resolve_inputs(spark, d):
     inv.list_files(spark, root).filter(F.col("name").endswith(".txt")).select(
         F.col("path").alias("value")
     ).write.text(listing)
-    lines = vcf.read_lines(spark, vcf.paths_from_list(spark, listing), glob="*.txt")
-    return vcf.parse_sites(lines).agg(F.count(F.lit(1)).alias("n_sites"))
+    sites = vcf.read_sites(spark, vcf.paths_from_list(spark, listing), glob="*.txt")
+    return sites.filter("block = 0").agg(F.count(F.lit(1)).alias("n_sites"))
 
 
 def write_sample_vcfs(spark: SparkSession, sf_dir: str) -> str:
@@ -121,17 +121,17 @@ def write_sample_vcfs(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def named_by_folder(lines: DataFrame) -> DataFrame:
+def named_by_folder(sites: DataFrame) -> DataFrame:
     """Spark numbers the files it writes; the folder ``sample=NAME.vcf`` holds the name."""
     folder = F.element_at(F.split("file", "/"), -2)
-    return lines.withColumn("file_name", F.substring_index(folder, "=", -1))
+    return sites.withColumn("file_id", X.trim_prefix(X.file_stem(F.substring_index(folder, "=", -1))))
 
 
 @query("S01_vcf_scan_files", with_("entries", f"SELECT CAST(s AS VARCHAR) AS s, contig, pos, array_to_string(alleles, ',') AS alleles, dp, ad1, ac, {sr('vf')} AS vf FROM entries"))
 def vcf_scan_files(spark, d):
     """All customers, one file each, named by the file."""
-    lines = named_by_folder(vcf.read_lines(spark, write_sample_vcfs(spark, d), glob="*.txt"))
-    return vcf.entries_of(lines, "file").select(
+    sites = named_by_folder(vcf.read_sites(spark, write_sample_vcfs(spark, d), glob="*.txt"))
+    return vcf.entries_of(sites, "file").select(
         "s", "contig", "pos", F.concat_ws(",", "alleles").alias("alleles"), F.col("DP").alias("dp"),
         F.get("AD", F.lit(1)).alias("ad1"), F.col("AC").alias("ac"), r("VF").alias("vf"),
     )
@@ -144,8 +144,7 @@ def resolve_inputs_files(spark, d):
     inv.list_files(spark, root).filter(F.col("name").endswith(".txt")).select(
         F.col("path").alias("value")
     ).write.text(listing)
-    lines = named_by_folder(vcf.read_lines(spark, vcf.paths_from_list(spark, listing), glob="*.txt"))
-    return vcf.parse_sites(lines).agg(
+    return named_by_folder(vcf.read_sites(spark, vcf.paths_from_list(spark, listing), glob="*.txt")).agg(
         F.count(F.lit(1)).alias("n_calls"), F.countDistinct("file_id").alias("n_samples"), F.countDistinct("pos").alias("n_sites")
     )
 

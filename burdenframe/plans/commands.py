@@ -57,7 +57,7 @@ def read_entries(
 
     Annotation comes from ``annotations`` or, without it, from the text in INFO.
     """
-    entries = vcf.read_vcf(spark, paths, sample_from, glob=glob)
+    entries = vcf.read_vcf(spark, paths, sample_from, glob=glob, intervals=intervals)
     if intervals is not None:
         entries = filters.in_intervals(entries, intervals)
     if annotations is not None:

@@ -1,13 +1,12 @@
 """VCF text files as DataFrames.
 
-``read_sites`` gives one row per data line; ``read_vcf`` gives one row per variant and sample. With
-``sample_from="file"`` the sample key is taken from the file name, so the text is scanned once and
-nothing is joined; ``"header"`` takes sample names from the ``#CHROM`` lines, which costs a second
-scan and a join on the file path.
+``read_sites`` gives one row per site and block of samples, ``read_vcf`` one row per site and sample. Both read through the ``vcf`` data
+source, in one scan: sample names come with the rows, from the headers or, with ``sample_from="file"``, from the file names.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 
 from burdenframe.functions import genotype as G
 from burdenframe.functions import text as X
+from burdenframe.sources import vcf_format
 
-FIXED_COLUMNS = 9  # CHROM POS ID REF ALT QUAL FILTER INFO FORMAT
 VCF_GLOB = "*.vcf"
 VCF_GZ_GLOB = "*.{vcf,vcf.gz}"
 
@@ -27,38 +26,41 @@ def paths_from_list(spark: SparkSession, list_file: str) -> list[str]:
     return [r["p"] for r in rows]
 
 
-def read_lines(
-    spark: SparkSession, paths: str | Sequence[str], recursive: bool = True, glob: str = VCF_GLOB
+def read_sites(
+    spark: SparkSession, paths: str | Sequence[str], recursive: bool = True, glob: str = VCF_GZ_GLOB, intervals: str | Sequence[str] | None = None
 ) -> DataFrame:
-    """Lines of every matching file under ``paths`` with their file path and name."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return (
-        spark.read.format("text")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .option("pathGlobFilter", glob)
-        .load(paths)
-        .select(
-            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name")
-        )
-    )
-
-
-def header_samples(lines: DataFrame) -> DataFrame:
-    """Sample names per file, from the column line."""
-    return lines.filter(F.col("value").startswith("#CHROM")).select(
+    """Sites of every matching file under ``paths``, with the parallel arrays ``sample_names`` and ``cells`` of one block of samples each; block 0
+    is there for every site. ``intervals`` as in ``filters.in_intervals``, without a bare position."""
+    vcf_format.register(spark)
+    reader = spark.read.format(vcf_format.FORMAT).option("recursive", str(recursive).lower()).option("pathGlobFilter", glob)
+    reader = reader.option("minPartitions", spark.sparkContext.defaultParallelism)
+    reader = reader.option("pushFilters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    if intervals is not None:
+        reader = reader.option("intervals", intervals if isinstance(intervals, str) else ",".join(intervals))
+    if not isinstance(paths, str):
+        reader = reader.option("paths", json.dumps(list(paths)))
+    rows = reader.load(paths) if isinstance(paths, str) else reader.load()
+    return rows.select(
         "file",
-        F.slice(F.split("value", "\t"), FIXED_COLUMNS + 1, 1 << 30).alias("sample_names"),
+        X.trim_prefix(X.file_stem(F.col("file_name"))).alias("file_id"),
+        "contig", "pos",
+        F.nullif(F.col("id"), F.lit(".")).alias("rsid"),
+        F.concat(F.array("ref"), F.split("alt", ",")).alias("alleles"),
+        F.col("qual").try_cast("double").alias("qual"),
+        F.split("filter", ";").alias("filters"),
+        "info",
+        F.split("format", ":").alias("format"),
+        "block", "sample_names", "cells",
     )
 
 
-def parse_sites(lines: DataFrame) -> DataFrame:
-    """Data lines split into site columns plus ``format`` and ``cells`` arrays."""
+def sites_of_lines(lines: DataFrame, sample_from: str = "header") -> DataFrame:
+    """As ``read_sites``, from ``value, file, file_name`` of text lines that a stream brings, with all samples in one block. Names from headers take a
+    join on the file here; names from files don't."""
     part = F.split("value", "\t")
-
-    def at(i: int):
-        return F.get(part, F.lit(i))
-
-    return lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select(
+    at = lambda i: F.get(part, F.lit(i))
+    after = lambda text: F.slice(F.split(text, "\t"), vcf_format.FIXED_COLUMNS + 1, 1 << 30)
+    sites = lines.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select(
         "file",
         X.trim_prefix(X.file_stem(F.col("file_name"))).alias("file_id"),
         G.recode_contig(at(0)).alias("contig"),
@@ -69,8 +71,12 @@ def parse_sites(lines: DataFrame) -> DataFrame:
         F.split(at(6), ";").alias("filters"),
         at(7).alias("info"),
         F.split(at(8), ":").alias("format"),
-        F.slice(part, FIXED_COLUMNS + 1, 1 << 30).alias("cells"),
+        F.lit(0).alias("block"),
+        after(F.col("value")).alias("cells"),
     )
+    if sample_from == "file":
+        return sites
+    return sites.join(lines.filter(F.col("value").startswith("#CHROM")).select("file", after(F.col("value")).alias("sample_names")), "file")
 
 
 def explode_entries(sites: DataFrame) -> DataFrame:
@@ -96,19 +102,16 @@ def add_call_fields(entries: DataFrame) -> DataFrame:
     )
 
 
-def entries_of(lines: DataFrame, sample_from: str = "header") -> DataFrame:
-    """Entries of already read lines, see the module text for ``sample_from``."""
-    sites = parse_sites(lines)
-    if sample_from == "header":
-        named = sites.join(header_samples(lines), "file")
-    elif sample_from == "file":
+def entries_of(sites: DataFrame, sample_from: str = "header") -> DataFrame:
+    """Entries of already read sites, see the module text for ``sample_from``."""
+    if sample_from == "file":
         one = F.when(F.size("cells") == 1, F.array("file_id")).otherwise(
             F.raise_error("sample_from='file' needs one sample per file").cast("array<string>")
         )
-        named = sites.withColumn("sample_names", one)
-    else:
+        sites = sites.withColumn("sample_names", one)
+    elif sample_from != "header":
         raise ValueError("sample_from must be 'header' or 'file'")
-    return add_call_fields(explode_entries(named))
+    return add_call_fields(explode_entries(sites))
 
 
 def read_vcf(
@@ -117,9 +120,10 @@ def read_vcf(
     sample_from: str = "header",
     recursive: bool = True,
     glob: str = VCF_GLOB,
+    intervals: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Entries of one or more VCF files or folders."""
-    return entries_of(read_lines(spark, paths, recursive, glob), sample_from)
+    return entries_of(read_sites(spark, paths, recursive, glob, intervals), sample_from)
 
 
 def check_contigs(df: DataFrame, contigs: DataFrame, invalid: str = "error") -> DataFrame:

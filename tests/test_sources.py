@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from burdenframe.functions import genotype as G
 from burdenframe.operators import burden, filters
 from burdenframe.plans import commands
-from burdenframe.sources import inventory, metadata, tables, vcf
+from burdenframe.sources import inventory, metadata, tables, vcf, vcf_format
 from burdenframe.streaming import ingest
 
 HEAD = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
@@ -66,6 +67,68 @@ def test_entries_and_filters(spark, cohort_dir):
     assert by_header.count() == entries.count()
 
 
+def write_multi(folder, samples=7, sites=300):
+    """Two files of several samples, one of them compressed in two members, and what they hold."""
+    folder.mkdir()
+    calls = lambda k: [f"0/{(v * 7 + s + k) % 2}:1,{s}:{v}" for v in range(sites) for s in range(samples)]
+    want = {}
+    for k, name in enumerate(("one.vcf", "two.vcf.gz")):
+        names, cells = [f"f{k}s{s}" for s in range(samples)], calls(k)
+        rows = [site(f"chr{1 + v % 3}", v, "T", "HIGH|G||", FMT, *cells[v * samples : (v + 1) * samples]) for v in range(sites)]
+        want |= {(n, str(1 + v % 3), v): cells[v * samples + s].split(":")[0] for v in range(sites) for s, n in enumerate(names)}
+        text = "\n".join(["\t".join([HEAD, *names]), *rows]) + "\n" * (k == 0)
+        if name.endswith(".gz"):
+            half = len(text) // 2
+            (folder / name).write_bytes(gzip.compress(text[:half].encode()) + gzip.compress(text[half:].encode()))
+        else:
+            (folder / name).write_text(text)
+    (folder / "_hidden.vcf").write_text("chr1\t1\n")
+    (folder / "empty.vcf").write_text("")
+    (folder / "other.txt").write_text("chr1\t1\n")
+    return want
+
+
+@pytest.mark.parametrize("options", [{}, {"partitionBytes": 999, "samplesPerRow": 3}, {"partitionBytes": 5000, "samplesPerRow": 1}])
+def test_vcf_source_reads_each_call_once(spark, tmp_path, options):
+    want = write_multi(tmp_path / "m")
+    vcf_format.register(spark)
+    rows = spark.read.format("vcf").options(**options).load(str(tmp_path / "m")).collect()
+    got = [((s, r.contig, r.pos), c.split(":")[0]) for r in rows for s, c in zip(r.sample_names, r.cells, strict=True)]
+    assert len(got) == len(want) and dict(got) == want
+    assert max(len(r.cells) for r in rows) <= options.get("samplesPerRow", 7)
+
+
+def test_vcf_source_takes_filters(spark, tmp_path):
+    want = write_multi(tmp_path / "m")
+    expect = {k for k in want if k[1] == "2" and 100 <= k[2] < 200 or k[1] == "3"}
+    found = vcf.read_vcf(spark, str(tmp_path / "m"), glob="*.{vcf,vcf.gz}", intervals="chr2:100-200,3")
+    assert {(r.s, r.contig, r.pos) for r in found.collect()} == expect
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1 and "Join" not in plan and "Exchange" not in plan
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        few = vcf.read_sites(spark, str(tmp_path / "m")).filter("contig = '2' AND pos > 100 AND pos <= 200 AND block = 0")
+        assert sorted(r.pos for r in few.collect()) == sorted(2 * [v for v in range(101, 201) if v % 3 == 1])
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = vcf_format.FilteringVcfReader({"path": str(tmp_path / "m")})
+    from pyspark.sql.datasource import EqualTo, LessThan
+
+    assert len(list(reader.pushFilters([EqualTo(("contig",), "2"), LessThan(("pos",), 50)]))) == 2
+    read = [pos for part in reader.partitions() for batch in reader.read(part) for pos in batch.column("pos").to_pylist()]
+    assert sorted(set(read)) == [v for v in range(50) if v % 3 == 1]
+
+
+def test_vcf_source_lists_files(spark, tmp_path):
+    write_multi(tmp_path / "m")
+    paths = [str(tmp_path / "m" / n) for n in ("one.vcf", "two.vcf.gz")]
+    assert vcf.read_sites(spark, paths).filter("block = 0").count() == 600
+    with pytest.raises(Exception, match="nowhere"):
+        vcf.read_sites(spark, str(tmp_path / "nowhere")).count()
+    assert vcf_format.VcfReader({"path": str(tmp_path), "recursive": "false"}).files() == []
+    assert vcf_format.Limits.of("chrM,1:5-9").ranges == {"MT": [(-1 << 31, 1 << 31)], "1": [(5, 8)]}
+
+
 def test_burden_tables_by_phenotype(spark, cohort_dir):
     found = commands.burden_tables(spark, str(cohort_dir / "a"), str(cohort_dir / "meta.tsv"), "LIHAS")
     case = {r["gene"]: r.asDict() for r in found["positive"].collect()}
@@ -180,6 +243,37 @@ def test_incremental_ingest_is_idempotent(spark, cohort_dir):
     assert ("G1", "HIGH.gnomad_001", 4) in {tuple(r) for r in by_sample.collect()}
 
 
+@pytest.mark.parametrize("fold_at", [(), (0,), (1, 3), (0, 1, 2, 3, 4)])
+def test_folded_stores_read_the_same(spark, tmp_path, fold_at):
+    store = str(tmp_path / "store")
+    deliveries = [
+        [("a", "a1", "G", "x", 1), ("a", "a1", "H", "x", 2), ("b", "b1", "G", "x", 4)],
+        [("c", "c1", "G", "x", 8), ("a", "a1", "G", "x", 16)],  # a1 again: its H is gone
+        [("a", "a2", "G", "x", 32)],
+        [("b", "b1", "G", "x", 64), ("d", "d1", "H", "x", 128)],
+        [("c", "c0", "G", "x", 256)],
+    ]
+    schema = "s string, file string, gene string, bin string, ac long"
+    latest = {}
+    for i, rows in enumerate(deliveries):
+        ingest.append_batch(spark.createDataFrame(rows, schema), store, i)
+        if i in fold_at:
+            ingest.fold(spark, store)
+            if i == 3:
+                ingest.sweep(spark, store)
+        ingest.append_batch(spark.createDataFrame(rows, schema), store, i)  # run again, before and after a fold
+        for key in {r[:2] for r in rows}:
+            latest[key] = (i, sorted(r[2:] for r in rows if r[:2] == key))
+        got = sorted(tuple(r) for r in ingest.stored_counts(spark, store).collect())
+        assert got == sorted((s, *x) for (s, _), (_, own) in latest.items() for x in own)
+        last = {s: max((i, f) for (t, f), (i, _) in latest.items() if t == s) for s, _ in latest}
+        one = sorted(tuple(r) for r in ingest.stored_counts(spark, store, one_file_per_sample=True).collect())
+        assert one == sorted((s, *x) for s, (_, f) in last.items() for x in latest[s, f][1])
+    if fold_at:
+        plan = ingest.current(spark, store)._jdf.queryExecution().toString()
+        assert ("Join" in plan) == (max(fold_at) < 4)  # nothing to look for where the base has all
+
+
 def test_commands_over_a_cohort(spark, cohort_dir):
     root = str(cohort_dir / "a")
     meta = metadata.read_metadata(spark, str(cohort_dir / "meta.tsv"))
