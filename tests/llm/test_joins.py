@@ -128,6 +128,28 @@ def test_repeated_ids_keep_all_their_vectors(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted(con.execute(ORACLE["op3_exact_top_k"]).fetchall())
 
 
+def test_scores_beyond_64_bits(spark):
+    rows = [(20, [1e20, 1.0]), (1, [1e20, 0.0]), (2, [-1e20, 0.0]), (3, [1e19, 5.0]), (4, [0.0, 3.0]), (40, [1.0, 2.0])]
+    found = topk_search.search(vectors_table(spark, rows), F.col("vec_id") % 20 == 0, block=2).collect()
+    own = {r.vec_id: (r["rank"], r.score) for r in found if r.query_id == 20}
+    assert own[1][1] == own[3][1] == 2**63 - 1 and own[2] == (5, -(2**63 - 1)) and own[4] == (4, 64 * 192) and own[40][1] > 2**62
+    assert {r.vec_id: r.score for r in found if r.query_id == 40}[4] == 128 * 192
+
+
+def test_a_floor_only_leaves_out_what_is_below(spark):
+    rng = np.random.default_rng(3)
+    vectors = np.floor(64 * rng.normal(size=(400, 6)) * [9, 3, 1, 1, 1, 1])
+    lists = topk_search.Lists(np.arange(400), vectors)
+    for q in range(30):
+        every, _ = lists.top(vectors[q], q)
+        exact = sorted(((-int(vectors[q] @ v), i) for i, v in enumerate(vectors) if i != q))[:20]
+        assert every == [(i, -s) for s, i in exact]
+        floor = every[7][1]
+        some, scored = lists.top(vectors[q], q, floor=floor)
+        assert some == [x for x in every if x[1] >= floor]
+        assert lists.top(vectors[q], q, floor=every[0][1] * 50 + 10**9) == ([], 0)
+
+
 def test_threshold_stops_early_and_small_tables(spark):
     rng = np.random.default_rng(7)
     vectors = np.floor(64 * rng.normal(size=(5000, 3)))
