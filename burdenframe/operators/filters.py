@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burdenframe.functions import text as X
+from burdenframe.plans.workspace import stored
 
 MAX_AF = 0.01
 MIN_VF = 0.3
 MIN_DP = 30
 INTERVAL_BIN = 1 << 14
+MERGE_STRETCH = 1 << 20
+FEW_INTERVALS = 64
 LAST_POSITION = (1 << 31) - 1
 
 CORE_COLUMNS = (
@@ -80,46 +83,75 @@ def parse_interval(text: str) -> tuple[str, int, int]:
 
 
 def in_intervals(df: DataFrame, intervals: str | Sequence[str]) -> DataFrame:
-    """Keep sites inside any interval, written as in ``parse_interval``."""
-    texts = [intervals] if isinstance(intervals, str) else list(intervals)
-    table = df.sparkSession.createDataFrame([parse_interval(t) for t in texts], "contig string, start int, end int")
-    return in_interval_table(df, table)
+    """Keep sites inside any interval, written as in ``parse_interval``. A few intervals are a filter that reaches the scan, more a table."""
+    parsed = [parse_interval(t) for t in ([intervals] if isinstance(intervals, str) else intervals)]
+    if len(parsed) > FEW_INTERVALS:
+        return in_interval_table(df, df.sparkSession.createDataFrame(parsed, "contig string, start int, end int"))
+    whole = {contig for contig, start, end in parsed if (start, end) == (1, LAST_POSITION)}
+    inside = [(F.col("contig") == c) & (F.col("pos") >= start) & (F.col("pos") < end) for c, start, end in parsed if c not in whole]
+    return df.filter(reduce(or_, inside, F.col("contig").isin(sorted(whole))))
 
 
-def merged_intervals(intervals: DataFrame) -> DataFrame:
-    """Disjoint intervals that cover the same positions; ``whole`` marks those that hold a whole contig."""
+def merged_intervals(intervals: DataFrame, stretch: int = MERGE_STRETCH) -> DataFrame:
+    """Disjoint intervals that cover the same positions; ``whole`` marks those that hold a whole contig.
+
+    Positions are cut into stretches. What lies before a row is known from its own stretch, by a window over that stretch alone, and from
+    the maxima of the stretches before it, a table of at most 2**31 / ``stretch`` rows per contig.
+    """
     rows = intervals.filter((F.col("end") > F.col("start")) & F.col("contig").isNotNull()).select(
         "contig", "start", "end", ((F.col("start") == 1) & (F.col("end") == LAST_POSITION)).alias("whole"))
-    by_start = Window.partitionBy("contig").orderBy("start", "end")
-    reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    first = rows.withColumn("first", F.when(F.col("start") <= reached, 0).otherwise(1))
-    numbered = first.withColumn("island", F.sum("first").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("contig", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("whole").alias("whole")).drop("island")
+    rows = rows.withColumn("_at", F.floor(F.col("start") / stretch))
+    inside = Window.partitionBy("contig", "_at").orderBy("start", "end")
+    earlier = Window.partitionBy("contig").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+
+    def highest_before(df: DataFrame, value: Column, name: str, last: int) -> DataFrame:
+        """Adds the maximum of ``value`` over the rows of the contig that come before, up to the row itself with ``last`` 0."""
+        carried = df.groupBy("contig", "_at").agg(F.max(value).alias("_m")).select("contig", "_at", F.max("_m").over(earlier).alias("_carried"))
+        own = F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, last))
+        return df.withColumn("_own", own).join(carried, ["contig", "_at"]).withColumn(name, F.greatest("_own", "_carried")).drop("_own", "_carried")
+
+    reached = highest_before(rows, F.col("end"), "_reached", -1)
+    begins = F.when(F.col("_reached").isNull() | (F.col("start") > F.col("_reached")), F.col("start"))
+    islands = highest_before(reached.withColumn("_begins", begins), F.col("_begins"), "_island", 0)
+    return islands.groupBy("contig", "_island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("whole").alias("whole")).drop("_island")
 
 
 def in_interval_table(df: DataFrame, intervals: DataFrame, bin_size: int = INTERVAL_BIN) -> DataFrame:
     """Keep sites inside any row of ``(contig, start, end)``, end excluded.
 
     An interval from 1 to ``LAST_POSITION`` is a whole contig: it keeps every row of it, whatever its position, null included. Intervals
-    are merged and cut into fixed-width bins, so each site meets at most one of them in an equi-join on contig and bin; the
+    are merged and stored. Each is a handful of bins of a width that suits it, ``bin_size`` times a power of 8, and sites meet them in an
+    equi-join on contig, width and bin; a site has a row for each width in use, one as a rule, and lies in one interval at most. The
     bounds per contig (one row each on the driver) are filters that reach the scan.
     """
-    merged = merged_intervals(intervals)
-    bounds = merged.groupBy("contig").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("whole").alias("whole")).collect()
+    width = F.lit(0)
+    for level in range(1, 8):
+        width = F.when(F.col("end") - F.col("start") > 8 * bin_size * 8 ** (level - 1), level).otherwise(width)
+    merged = stored(merged_intervals(intervals).withColumn("width", width), "intervals")
+    bounds = merged.groupBy("contig").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("whole").alias("whole"),
+        F.collect_set(F.when(~F.col("whole"), F.col("width"))).alias("widths")).collect()
     whole = F.col("contig").isin([r.contig for r in bounds if r.whole])
     inside = [(F.col("contig") == r.contig) & (F.col("pos") >= r.start) & (F.col("pos") < r.end) for r in bounds if not r.whole]
     near = df.filter(reduce(or_, inside, whole))
     if not inside:
         return near
-    at = lambda pos: F.floor(pos / F.lit(bin_size))
+    widths = sorted({w for r in bounds for w in r.widths})
+    at = lambda pos, w: F.floor(pos / (F.lit(float(bin_size)) * F.pow(F.lit(8.0), w))).cast("long")
     binned = merged.filter("NOT whole").select(
-        F.col("contig").alias("_contig"), F.col("start").alias("_start"), F.col("end").alias("_end"),
-        F.explode(F.sequence(at(F.col("start")), at(F.col("end") - 1))).alias("_bin"))
-    meet = (F.col("contig") == F.col("_contig")) & (at(F.col("pos")) == F.col("_bin")) & (F.col("pos") >= F.col("_start")) & (F.col("pos") < F.col("_end"))
+        F.col("contig").alias("_contig"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("width").alias("_w"),
+        F.explode(F.sequence(at(F.col("start"), F.col("width")), at(F.col("end") - 1, F.col("width")))).alias("_bin"))
+    if len(widths) == 1:
+        placed = near.withColumn("_width", F.lit(widths[0]))
+    else:  # a row of a whole contig stays one row
+        placed = near.withColumn("_width", F.explode(F.when(whole, F.array(F.lit(-1))).otherwise(F.array(*map(F.lit, widths)))))
+    meet = (F.col("contig") == F.col("_contig")) & (F.col("_width") == F.col("_w")) & (at(F.col("pos"), F.col("_width")) == F.col("_bin"))
+    meet &= (F.col("pos") >= F.col("_start")) & (F.col("pos") < F.col("_end"))
     if len(inside) == len(bounds):
-        return near.join(binned, meet, "left_semi")
-    return near.join(binned, meet, "left").filter(whole | F.col("_start").isNotNull()).drop("_contig", "_start", "_end", "_bin")
+        return placed.join(binned, meet, "left_semi").drop("_width")
+    found = placed.join(binned, meet, "left").filter(whole | F.col("_start").isNotNull())
+    return found.drop("_contig", "_start", "_end", "_w", "_bin", "_width")
 
 
 def phenotype_matches(df: DataFrame, pattern: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from burdenframe.functions import genotype as G
 from burdenframe.functions import text as X
+from burdenframe.operators.filters import LAST_POSITION, parse_interval
 from burdenframe.sources import vcf_format
 
 VCF_GLOB = "*.vcf"
@@ -30,13 +31,15 @@ def read_sites(
     spark: SparkSession, paths: str | Sequence[str], recursive: bool = True, glob: str = VCF_GZ_GLOB, intervals: str | Sequence[str] | None = None
 ) -> DataFrame:
     """Sites of every matching file under ``paths``, with the parallel arrays ``sample_names`` and ``cells`` of one block of samples each; block 0
-    is there for every site. ``intervals`` as in ``filters.in_intervals``, without a bare position."""
+    is there for every site. ``intervals`` as in ``filters.in_intervals``."""
     vcf_format.register(spark)
     reader = spark.read.format(vcf_format.FORMAT).option("recursive", str(recursive).lower()).option("pathGlobFilter", glob)
     reader = reader.option("minPartitions", spark.sparkContext.defaultParallelism)
     reader = reader.option("pushFilters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     if intervals is not None:
-        reader = reader.option("intervals", intervals if isinstance(intervals, str) else ",".join(intervals))
+        parsed = [parse_interval(t) for t in ([intervals] if isinstance(intervals, str) else intervals)]
+        spans = [c if (a, b) == (1, LAST_POSITION) else f"{c}:{a}-{b}" for c, a, b in parsed]
+        reader = reader.option("intervals", ",".join(spans))
     if not isinstance(paths, str):
         reader = reader.option("paths", json.dumps(list(paths)))
     rows = reader.load(paths) if isinstance(paths, str) else reader.load()

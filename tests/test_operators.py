@@ -94,6 +94,22 @@ def test_intervals(spark):
     assert few.count() == sum(any(c == s[0] and a <= s[1] < b for c, a, b in spans[:3]) for s in sites)
 
 
+@pytest.mark.parametrize("stretch", [100, 1000, 1 << 20])
+def test_merged_intervals(spark, stretch):
+    rnd = random.Random(stretch)
+    spans = [(c, a, a + rnd.choice([0, 1, 30, 200, 2500])) for c in "12" for a in (rnd.randint(1, 20_000) for _ in range(60))]
+    spans += [("2", 5, 5), ("3", 1, filters.LAST_POSITION), ("3", 7, 9)]
+    table = spark.createDataFrame(spans, "contig string, start int, end int")
+    got = sorted((r.contig, r.start, r.end, r.whole) for r in filters.merged_intervals(table, stretch).collect())
+    want = []
+    for c, a, b in sorted(s for s in spans if s[2] > s[1]):
+        if want and want[-1][0] == c and a <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], b)
+        else:
+            want.append([c, a, b])
+    assert got == [(c, a, b, (a, b) == (1, filters.LAST_POSITION)) for c, a, b in want]
+
+
 def test_null_cohort(spark):
     rows = [(f"s{i}", "A,B" if i < 3 else "AB") for i in range(20)]
     samples = spark.createDataFrame(rows, "s string, phenotype string")

@@ -101,7 +101,7 @@ def test_vcf_source_reads_each_call_once(spark, tmp_path, options):
 def test_vcf_source_takes_filters(spark, tmp_path):
     want = write_multi(tmp_path / "m")
     expect = {k for k in want if k[1] == "2" and 100 <= k[2] < 200 or k[1] == "3"}
-    found = vcf.read_vcf(spark, str(tmp_path / "m"), glob="*.{vcf,vcf.gz}", intervals="chr2:100-200,3")
+    found = vcf.read_vcf(spark, str(tmp_path / "m"), glob="*.{vcf,vcf.gz}", intervals=["chr2:100-chr2:200", "chr3"])
     assert {(r.s, r.contig, r.pos) for r in found.collect()} == expect
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BatchScan") == 1 and "Join" not in plan and "Exchange" not in plan
