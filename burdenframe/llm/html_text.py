@@ -74,6 +74,7 @@ def blocks(html: str) -> list[Block]:
     """Stretches of text between block elements, with white space made single."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # element, why it is rejected, article
+    open_at: dict[str, list[int]] = {}  # where each element, and as "" any block, is in the stack
     texts: list[tuple[str, bool]] = []
     parts = anchors = at = 0
 
@@ -84,6 +85,16 @@ def blocks(html: str) -> list[Block]:
             out.append(Block(text, linked, stack[-1][1] if stack else KEPT, stack[-1][2] if stack else 0))
         texts.clear()
 
+    def push(name: str, lost: int, part: int) -> None:
+        for k in (name, "") if name in BLOCKS else (name,):
+            open_at.setdefault(k, []).append(len(stack))
+        stack.append((name, lost, part))
+
+    def pop() -> None:
+        name = stack.pop()[0]
+        for k in (name, "") if name in BLOCKS else (name,):
+            open_at[k].pop()
+
     while at < len(html):
         lt = html.find("<", at)
         if lt < 0:
@@ -122,16 +133,14 @@ def blocks(html: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name not in BLOCKS and any(s[0] in BLOCKS for s in stack[i + 1 :]):
-                        break  # an inline element does not end the blocks inside it
-                    del stack[i:]
-                    break
+            own, inner = open_at.get(name), open_at.get("")
+            if own and (name in BLOCKS or not inner or inner[-1] < own[-1]):  # an inline element does not end the blocks inside it
+                for _ in range(len(stack) - own[-1]):
+                    pop()
             continue
         if name in BLOCKS:
             while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCKS):
-                stack.pop()
+                pop()
         rejected, part = (stack[-1][1], stack[-1][2]) if stack else (KEPT, 0)
         inside = part > 0
         if name in TEXT and not part:
@@ -152,7 +161,7 @@ def blocks(html: str) -> list[Block]:
         if name in BLOCKS or lost != rejected:
             if lost != rejected and name not in BLOCKS:
                 close()
-            stack.append((name, lost, part))
+            push(name, lost, part)
     close()
     return out
 

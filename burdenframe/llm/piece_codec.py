@@ -2,14 +2,15 @@
 
 The best segmentation is the one with the highest sum of piece scores. Scores are kept for a window as long as the
 longest piece; back pointers are followed from every position in it, and as soon as all
-of them meet at one boundary the ids before it are final and are handed out. Pieces never go beyond a space that follows
-another character, so all paths meet there, and what stands between two such places is encoded once and remembered.
+of them meet at one boundary the ids before it are final and are handed out. Pieces never go beyond certain places, such as a space that follows
+another character: all paths meet there. What stands between two of them is streamed once and remembered.
+
+A text may hold the mark that pieces have for a space. It is spelled in bytes, as is a space alone if that has no piece, so that decoding
+tells them apart.
 """
 
 from __future__ import annotations
 
-import re
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,15 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burdenframe.llm.common import batches, only, record_batch, slices
+from burdenframe.llm import units
+from burdenframe.llm.common import only
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
+#: Stands for that character itself where it is in a text; no text can hold it.
+HELD = "\udc81"
+CHUNK_CHARS = 4_000_000
 #: Penalty of a byte piece below the least score of the other pieces.
 UNKNOWN_PENALTY = 10
 #: Below this a score marks pieces that are kept for decoding only.
 NEVER = -1e8
-KEPT = 400_000
 
 
 class Codec:
@@ -40,15 +44,14 @@ class Codec:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.silent = {i for i in ids if model.is_control(i) or model.is_unknown(i)}
-        self.scores = {p: (round(model.get_score(i)), i) for i, p in enumerate(self.pieces)
+        self.scores = {p: (model.get_score(i), i) for i, p in enumerate(self.pieces)
                        if i not in self.silent and i not in self.byte_of and model.get_score(i) > NEVER}
         # every beginning of a piece, with score and id where it is a piece itself
         self.begun = {p[:n]: () for p in self.scores for n in range(1, len(p))} | self.scores
         self.longest = max(map(len, self.scores))
         self.byte_score = min(s for s, _ in self.scores.values()) - UNKNOWN_PENALTY
-        apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.scores)
-        self.units = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n+[^{SPACE}\n]*" if apart else "(?s).+")
-        self.kept: dict[str, bytes] = {}
+        self.cuts = units.PieceCuts(list(self.scores), SPACE)
+        self.memory = units.Memory(self._compute)
 
     @classmethod
     def at(cls, path: str | None) -> Codec:
@@ -71,7 +74,7 @@ class Codec:
         for i in range(end):
             base, c = best.pop(i), text[i]
             if c not in self.scores:
-                data = c.encode("utf-8", "surrogatepass")
+                data = (SPACE if c == HELD else " " if c == SPACE else c).encode("utf-8", "surrogatepass")
                 s = base + self.byte_score * len(data)
                 if i + 1 not in best or s > best[i + 1]:
                     best[i + 1], back[i + 1], piece[i + 1] = s, i, data
@@ -93,26 +96,6 @@ class Codec:
         if end > done:
             yield self._path(back, piece, done, end)
 
-    def window(self, text: str) -> list[int]:
-        """Ids of a text that is no longer than the window: the same search, with nothing to hand out early."""
-        begun, longest, n = self.begun.get, self.longest, len(text)
-        best, back, piece = [self.byte_score * 4 * (n + 1)] * (n + 1), [0] * (n + 1), [None] * (n + 1)
-        best[0] = 0
-        for i, base in enumerate(best):
-            if i == n:
-                break
-            if not begun(text[i]):
-                data = text[i].encode("utf-8", "surrogatepass")
-                if base + self.byte_score * len(data) > best[i + 1]:
-                    best[i + 1], back[i + 1], piece[i + 1] = base + self.byte_score * len(data), i, data
-            for j in range(i + 1, min(i + longest, n) + 1):
-                found = begun(text[i:j])
-                if found is None:
-                    break
-                if found and base + found[0] > best[j]:
-                    best[j], back[j], piece[j] = base + found[0], i, found[1]
-        return self._path(back, piece, 0, n)
-
     @staticmethod
     def _meeting(back: dict[int, int], starts: list[int], done: int) -> int:
         """The last boundary that the paths to all ``starts`` share."""
@@ -134,20 +117,15 @@ class Codec:
             at = back[at]
         return out[::-1]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text; none for null or empty."""
-        if not text:
-            return np.zeros(0, np.int32)
-        kept, out = self.kept, []
-        for unit in self.units.findall(SPACE + text.replace(" ", SPACE)):
-            ids = kept.get(unit)
-            if ids is None:
-                parts = [self.window(unit)] if len(unit) <= 2 * self.longest else self.stream(unit)
-                ids = b"".join(struct.pack(f"<{len(part)}i", *part) for part in parts)
-                if len(kept) < KEPT and len(unit) < 64:
-                    kept[unit] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<i4")
+    def _compute(self, parts: list[str]) -> pa.Table:
+        written = (u.replace(SPACE, HELD).replace(" ", SPACE) for u in parts)
+        return pa.table({"ids": units.lists([[i for ids in self.stream(u) for i in ids] for u in written], pa.int32())})
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of whole texts; none for empty ones."""
+        rows, at, ends = self.memory.spread(self.cuts(units.spaced(texts)))
+        ids, ends = units.joined(units.column(rows, "ids"), at, ends)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes are joined to characters, the space that encoding puts in front goes."""
@@ -160,10 +138,10 @@ class Codec:
                 out.append(raw.decode("utf-8", "replace"))
                 raw = bytearray()
             if i not in self.silent:
-                out.append(self.pieces[i])
+                out.append(self.pieces[i].replace(SPACE, " "))
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = "".join(out)
         return text[1:] if text.startswith(" ") else text
 
 
@@ -174,10 +152,9 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.at(model)
-        for batch in slices(rows):
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in batches(texts, 2_000_000):
-                yield record_batch(schema, keys[lo:hi], texts[lo:hi], [codec.encode(t) for t in texts[lo:hi]])
+        for table in units.chunks(rows, most=CHUNK_CHARS):
+            ids = codec.encode(units.texts_of(table))
+            yield pa.RecordBatch.from_arrays([units.column(table, "doc_id"), units.column(table, "text"), ids], schema=schema)
 
     return only(docs, doc_id=doc_id, text=text).mapInArrow(run, "doc_id long, text string, ids array<int>")
 

@@ -59,8 +59,7 @@ class Aligner:
                 self.b_bytes[i] = piece.replace(SPACE, " ").encode()
                 spelled.append(piece)
         self.space = self.b.piece_to_id(SPACE)
-        self.apart = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in spelled)
-        self.marks = not any(x.isalpha() and y in ".," for p in spelled for x, y in zip(p, p[1:]))
+        self.cuts = U.PieceCuts(spelled, SPACE)
         self.numbers = pa.array([str(i) for i in range(max(max(self.a_bytes), max(self.b_bytes)) + 1)])
         self.memory = U.Memory(self._compute)
 
@@ -72,11 +71,8 @@ class Aligner:
         return cls._of[byte_level, pieces]
 
     def cut(self, texts: pa.Array) -> pa.ListArray:
-        """Units of space and text; the text itself where pieces of this model join what units part."""
-        spaced = pc.binary_join_element_wise(" ", texts, "")
-        if self.apart:
-            return U.cut(spaced, marks=self.marks)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(spaced) + 1, dtype=np.int32)), spaced)
+        """Units of space and text."""
+        return self.cuts(U.spaced(texts))
 
     def _pieces(self, parts: list[str]) -> list[list[int]]:
         """B's ids. B puts a space before what it reads: it stands for a unit's own, and elsewhere a line feed parts it from the unit."""

@@ -79,6 +79,24 @@ def cut(texts: pa.Array, marks: bool = True, whole: list[str] = ()) -> pa.ListAr
     return pa.concat_arrays([units, rest]).take(pa.array(np.argsort(where)))
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """A space before each text that isn't empty."""
+    return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, ""))
+
+
+class PieceCuts:
+    """The units of a piece vocabulary that writes spaces as ``space``: as ``cut`` makes them if no piece joins across, else whole texts."""
+
+    def __init__(self, pieces: list[str], space: str):
+        self.apart = not any(space in p.lstrip(space) or "\n" in p for p in pieces)
+        self.marks = not any(x.isalpha() and y in ".," for p in pieces for x, y in zip(p, p[1:]))
+
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        if self.apart:
+            return cut(texts, marks=self.marks)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts)
+
+
 def folded_words(texts: pa.Array, whole: list[str] = ()) -> pa.ListArray:
     """Words for tokenizers that ignore case and white space: A to Z in lower case, full stops and commas apart from a Latin letter before them.
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import time
+from collections import Counter
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from burdenframe.llm import html_text, language, pii, piece_codec, secret_scan
@@ -127,13 +132,13 @@ def test_personal_data(documents):
 
 
 def brute_force(codec, text):
-    text = piece_codec.SPACE + text.replace(" ", piece_codec.SPACE)
+    text = "".join(piece_codec.SPACE if c == " " else "\udc81" if c == piece_codec.SPACE else c for c in " " + text)
     best, back = [0] + [None] * len(text), [None] * (len(text) + 1)
     for end in range(1, len(text) + 1):
         for begin in range(max(0, end - codec.longest), end):
             ways = [(s, [i]) for s, i in [codec.scores[text[begin:end]]]] if text[begin:end] in codec.scores else []
             if end - begin == 1 and not ways:
-                data = text[begin].encode()
+                data = {"\udc81": piece_codec.SPACE, piece_codec.SPACE: " "}.get(text[begin], text[begin]).encode()
                 ways = [(codec.byte_score * len(data), [codec.bytes[b] for b in data])]
             for s, ids in ways:
                 if best[end] is None or best[begin] + s > best[end]:
@@ -147,11 +152,14 @@ def brute_force(codec, text):
 def test_piece_codec(documents):
     codec, rng = piece_codec.Codec.at(None), random.Random(5)
     texts = ["Hello world", "  two  spaces \n\n\nx ", "a" * 300, "日本語テキスト" * 30, "é́💩 ok\r\n\t", "abcabcabd" * 40, "1234567890" * 30]
-    texts += ["".join(rng.choice("abcdeéß,. \n") for _ in range(rng.randint(1, 200))) for _ in range(40)]
-    for text in texts:
+    texts += ["a▁b", "▁", "▁▁ ▁x", "²., x.y,z", "\ue000 a", "();\r\n {\r"]
+    texts += ["".join(rng.choice("abcdeéß,. \n▁") for _ in range(rng.randint(1, 200))) for _ in range(40)]
+    together = codec.encode(pa.array(texts)).to_pylist()
+    for text, ids in zip(texts, together, strict=True):
         expected = brute_force(codec, text)
-        assert codec.encode(text).tolist() == expected
-        assert [i for part in codec.stream(piece_codec.SPACE + text.replace(" ", piece_codec.SPACE)) for i in part] == expected
+        assert ids == expected
+        whole = (" " + text).replace(piece_codec.SPACE, piece_codec.HELD).replace(" ", piece_codec.SPACE)
+        assert [i for part in codec.stream(whole) for i in part] == expected
         assert codec.decode(expected) == text
     assert len(list(codec.stream("abcabcabd" * 400))) > 1
     docs = documents(*texts, None, "", "word " * 30_000, texts[0]).withColumn("ids", F.lit(1))
@@ -160,6 +168,111 @@ def test_piece_codec(documents):
     assert piece_codec.encode(docs.limit(0)).collect() == []
 
 
+def test_fractional_scores(documents):
+    codec = piece_codec.Codec.at(None)
+    own = codec.scores
+    try:
+        codec.scores = {p: (-2.4 if len(p) == 1 else -4.6, i) for p, (_, i) in own.items()}
+        codec.begun = {p[:n]: () for p in codec.scores for n in range(1, len(p))} | codec.scores
+        text = "xx abcd"
+        assert [i for part in codec.stream(piece_codec.SPACE + text.replace(" ", piece_codec.SPACE)) for i in part] == brute_force(codec, text)
+    finally:
+        codec.scores = own
+        codec.begun = {p[:n]: () for p in own for n in range(1, len(p))} | own
+
+
+def test_many_closing_tags_take_linear_time():
+    started = time.process_time()
+    assert html_text.blocks("<div>" * 20_000 + "x" + "</b>" * 20_000 + "<i>" * 20_000 + "</p>" * 20_000)[0].text == "x"
+    assert time.process_time() - started < 5
+
+
+class PlainBlocks(HTMLParser):
+    """Texts between block elements by the standard library's parser, for pages without stray signs."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.held, self.raw = [], "", None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.RAW:
+            self.raw = tag
+        if tag == "br":
+            self.held += " "
+        if tag in html_text.BLOCKS:
+            self.close_block()
+
+    def handle_endtag(self, tag):
+        if tag == self.raw:
+            self.raw = None
+        if tag in html_text.BLOCKS:
+            self.close_block()
+
+    def handle_data(self, data):
+        self.held += "" if self.raw else data
+
+    def close_block(self):
+        if text := " ".join(self.held.split()):
+            self.found.append(text)
+        self.held = ""
+
+
+def plain_blocks(html):
+    parser = PlainBlocks()
+    parser.feed(html)
+    parser.close()
+    parser.close_block()
+    return parser.found
+
+
+def test_blocks_are_those_of_another_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rng = random.Random(8)
+    tags = ["p", "div", "b", "span", "li", "ul", "a", "h2", "td", "table", "section", "em"]
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 60)):
+            tag = rng.choice(tags)
+            parts.append(rng.choice([f"<{tag}>", f"</{tag}>", f'<{tag} class="x">', "word ", "two words", "&amp; ", "&eacute;", "<br>", "<!-- a <p> -->",
+                                     "<script>if (a < b) x</script>", "\n"]))
+        pages.append("".join(parts))
+    assert len(pages) > 600
+    for html in pages:
+        assert [b.text for b in html_text.blocks(html)] == plain_blocks(html)
+
+
+def plain_grams(text):
+    """Buckets of all sequences of one to three characters that hold a letter, as whole-number arithmetic."""
+    c = "  " + "".join(x if x.isalpha() else " " for x in (text or "").lower()) + "  "
+    for at in range(len(c) - 2):
+        h = 0
+        for k, factor in enumerate((2654435761, 2246822519, 3266489917)):
+            h = (h ^ ord(c[at + k])) * factor % 2**32
+            if c[at : at + k + 1].strip():
+                yield (h ^ h >> 15) * (3266489917, 2246822519, 2654435761)[k] % 2**32 >> 16
+
+
+def test_naive_bayes_against_plain_sums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    rows = docs.collect()
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts, shares = {}, Counter(r.lang for r in rows if r.lang is not None and r.text is not None)
+    for r in rows:
+        if r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    assert sorted(counts) == model.languages
+    totals = {lang: sum(c.values()) + 0.1 * 65536 for lang, c in counts.items()}
+    texts = [r.text for r in rows] + ["", None, "123", "Ünter dem Baum"]
+    for text, name, score in zip(texts, *model.score(texts)):
+        buckets = list(plain_grams(text))
+        sums = {lang: math.log(shares[lang] / sum(shares.values())) + sum(math.log((counts[lang][b] + 0.1) / totals[lang]) for b in buckets) for lang in counts}
+        best = max(sorted(sums), key=sums.get)
+        if not any(x.isalpha() for x in text or ""):
+            assert (name, score) == ("und", 0)
+        else:
+            assert name == best and abs(score - 1 / sum(math.exp(s - sums[best]) for s in sums.values())) < 1e-6
+
+
 PARAGRAPH = "The house of the river is on the hill and it was built by the people of the town in the year of the flood."
 
 
