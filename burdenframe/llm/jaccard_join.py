@@ -34,13 +34,13 @@ from burdenframe.plans.workspace import stored
 
 WORDS = 5
 #: Shingles that a task holds before it hands them on, and that a bucket holds on average.
-CHUNK, BUCKET_CHARS = 1_000_000, 4_000_000
+CHUNK, BUCKET_CHARS = 500_000, 2_000_000
 #: Buckets, and chunks' returns, that a task works off one after the other.
-BUCKETS_PER_TASK = 4
+BUCKETS_PER_TASK = 8
 #: A shingle in so many sets of a chunk is frequent: it sorts last, and its sets aren't brought together.
 FREQUENT = 64
 FREQUENT_DF = 1 << 40
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 ROW = "key int, kind int, doc_id long, node long, n long, payload binary"
 _ROW = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()),
                   ("payload", pa.binary())])
@@ -402,3 +402,26 @@ def members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     named = named.join(smallest, "component").select(F.col("node").alias("named"), "component", "component_id")
     return documents.join(named, F.col("node") == F.col("named"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "node", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest doc_id, or without doc_id if no row there has one; of rows
+    with that doc_id the one whose set has the smallest node, and one of those with equal sets.
+
+    Rows that share a doc_id but not a component are told apart by their sets. Of texts without words, null or empty, one of each doc_id stays.
+    An empty table gives an empty table.
+    """
+    rows = stored(members(docs, doc_id, text, words), "members")
+    of = [F.col("component"), F.when(F.col("component").isNull(), F.col("doc_id"))]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first")
+    keep = stored(rows.groupBy(*of).agg(first).select(F.col("first.doc_id").alias("keep"), F.col("first.node").alias("keep_node")), "keep")
+    again = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "again")
+    kept = docs.join(keep, docs[f"`{doc_id}`"] == F.col("keep"), "left_semi")
+    if again.isEmpty():
+        return kept
+    named = again.select(F.col("doc_id").alias("again"))
+    unclear = docs.join(named, docs[f"`{doc_id}`"].eqNullSafe(F.col("again")), "left_semi")
+    unclear = unclear.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), node_of(F.col(f"`{text}`"), words).alias("node"))
+    chosen = unclear.join(keep, F.col(f"doc.`{doc_id}`").eqNullSafe(F.col("keep")) & F.col("node").eqNullSafe(F.col("keep_node")), "left_semi")
+    chosen = chosen.withColumn("id", F.col(f"doc.`{doc_id}`")).dropDuplicates(["id", "node"])
+    return kept.join(named, kept[f"`{doc_id}`"] == F.col("again"), "left_anti").union(chosen.select(*[F.col(f"doc.`{c}`") for c in docs.columns]))

@@ -53,16 +53,23 @@ def grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.nda
 
 @dataclass
 class Model:
-    """``weights``: log-probabilities, one row per language and column per bucket, the last column zeros; ``prior``: log share of the rows."""
+    """``weights``: log-probabilities, one row per language and column per bucket, the last column zeros; ``prior``: log share of the rows;
+    ``usual``: each language's mean log-probability over what was learned."""
 
     languages: list[str]
     weights: np.ndarray
     prior: np.ndarray
+    usual: np.ndarray
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, their probabilities, and their ``fit``: the mean log-probability of a text's sequences, less what is usual in the language. The
+        probability only compares the languages learned and goes to 1 with the length; the fit doesn't."""
+        names, score, fit = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
-            return names, score
+            return names, score, fit
         for lo, hi in batches(texts, 200_000):
             buckets, begins, lettered = grams(texts[lo:hi])
             at = [b.astype(np.intp) for b in buckets]
@@ -70,13 +77,17 @@ class Model:
             best = sums.argmax(1)
             share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
             score[lo:hi] = np.where(lettered, share, 0.0)
+            held = np.add.reduceat(sum((b != BUCKETS).astype(np.int64) for b in at), begins)
+            mean = (np.take_along_axis(sums, best[:, None], 1)[:, 0] - self.prior[best]) / np.maximum(held, 1)
+            fit[lo:hi] = np.where(lettered, mean - self.usual[best], 0.0)
             names[lo:hi] = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
-        return names, score
+        return names, score, fit
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = SMOOTHING) -> Model:
     """Learn from every row whose text and language are not null. Raises beyond ``MAX_LANGUAGES``; a model that has
-    learnt from no row takes every text for ``und``.
+    learnt from no row takes every text for ``und``. Texts may be of any length, repeated rows count as often as they occur, and other columns are
+    left out, whatever their names.
 
     Only counts leave the tasks: at most one row per language and bucket, added up before they are shuffled.
     """
@@ -109,7 +120,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not languages:
-        return Model([], np.zeros((0, BUCKETS + 1)), np.zeros(0))
+        return Model([], np.zeros((0, BUCKETS + 1)), np.zeros(0), np.zeros(0))
     counts = rows.mapInArrow(sums, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).toArrow()  # a row per language
     table = np.zeros((BUCKETS + 1, len(languages)))
@@ -118,22 +129,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
         table[bucket.to_numpy(), languages.index(name)] = n.to_numpy()
     prior = np.log(table[BUCKETS] / table[BUCKETS].sum())
     weights = np.log(table[:BUCKETS] + smoothing) - np.log(table[:BUCKETS].sum(0) + smoothing * BUCKETS)
-    return Model(languages, np.ascontiguousarray(np.vstack([weights, np.zeros(len(languages))]).T), prior)
+    usual = (table[:BUCKETS] * weights).sum(0) / np.maximum(table[:BUCKETS].sum(0), 1)
+    return Model(languages, np.ascontiguousarray(np.vstack([weights, np.zeros(len(languages))]).T), prior, usual)
 
 
 def predictor(spark: SparkSession, model: Model):
-    """A function from a text column to a struct of ``lang`` and ``score``, the probability from 0 to 1.
+    """A function from a text column to a struct of ``lang``, ``score``, the probability from 0 to 1, and ``fit`` as in ``Model.judge``.
 
     A null text, or one without letters, is ``und`` with score 0. Rows are scored one by one, so repeated rows get equal
     results, and ties go to the language first in the alphabet.
     """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, fit double")
     def predict(text: pa.Array) -> pa.Array:
-        found = [shared.value.score(text.slice(at, ROWS_AT_A_TIME).to_pylist()) for at in range(0, len(text), ROWS_AT_A_TIME)]
-        names, scores = [n for names, _ in found for n in names], [s for _, score in found for s in score.tolist()]
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        found = [shared.value.judge(text.slice(at, ROWS_AT_A_TIME).to_pylist()) for at in range(0, len(text), ROWS_AT_A_TIME)]
+        columns = ([x for part in found for x in part[k]] for k in range(3))
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64()))], ["lang", "score", "fit"])
 
     return predict
 

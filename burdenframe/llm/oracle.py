@@ -17,7 +17,7 @@ l AS (
       WHEN len(regexp_extract_all(line, '[#*$%&|<>]')) * 4 > len(ws) THEN true
       WHEN len(regexp_extract_all(line, '[!?]')) > len(ws) THEN true
       WHEN len(ws) < 3 AND NOT regexp_matches(ws[-1], '[.!?…:;,"''”’»)\]]$') THEN true
-      WHEN regexp_matches(lower(line), 'all rights reserved|accept cookies|apache license|cookie policy|creative commons|enable javascript|general public license|licensed under|mit license|privacy policy|released under the|sign up for our newsletter|subscribe to our newsletter|terms of service|terms of use') THEN true
+      WHEN len(ws) < 40 AND regexp_matches(lower(line), 'all rights reserved|accept cookies|apache license|cookie policy|creative commons|enable javascript|general public license|licensed under|mit license|privacy policy|released under the|sign up for our newsletter|subscribe to our newsletter|terms of service|terms of use') THEN true
       WHEN len(regexp_extract_all(line, '\p{Lu}')) >= 10
         AND len(regexp_extract_all(line, '\p{Lu}')) > len(regexp_extract_all(line, '\p{Ll}')) THEN true
       ELSE len(ws) >= 8 AND len(list_distinct(ws)) * 4 < len(ws)

@@ -19,6 +19,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 40
 SYMBOLS = "#*$%&|<>"
+#: A line with so many words or more is text that names a phrase, not boilerplate.
+BOILERPLATE_WORDS = 40
 #: Fixed phrases of notices that are not part of a text, in lower case.
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "apache license", "cookie policy", "creative commons", "enable javascript",
@@ -53,7 +55,7 @@ def line_verdicts(text: Column) -> Column:
         failed = (
             F.when(count_of(line, SEPARATORS) * 3 >= n, "navigation")
             .when((symbols * 4 > n) | (count_of(line, "!?") > n) | ((n < 3) & ~ends), "punctuation")
-            .when(bind(F.lower(line), _is_boilerplate), "boilerplate")
+            .when((n < BOILERPLATE_WORDS) & bind(F.lower(line), _is_boilerplate), "boilerplate")
             .when(bind(upper, lambda u: (u >= 10) & (u > lower)), "shouting")
             .when((n >= 8) & (F.size(F.array_distinct(hashes)) * 4 < n), "repetition")
         )
@@ -98,7 +100,8 @@ def assess(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_
     """All columns of ``docs`` under ``doc``, with a struct ``quality`` beside it.
 
     ``quality`` has n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines,
-    n_lines_removed, lost_chars, removed (map of rule to lines) and clean_text, the lines that pass.
+    n_lines_removed, lost_chars, removed (map of rule to lines) and clean_text, the lines that pass. A line fails for a phrase of ``BOILERPLATE`` only
+    if it has fewer than ``BOILERPLATE_WORDS`` words.
     Null and blank texts have no words and no lines and fail for shortness. Rows are judged one by one: repeated rows
     get equal verdicts, and extra columns of any name stay inside ``doc``. An empty table gives an empty table.
     """

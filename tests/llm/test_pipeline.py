@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,17 @@ def test_rows_that_share_a_doc_id_keep_their_own_texts(spark, documents):
     assert kept == sorted([(1, CLEAN.lower()), (5, OTHER.lower()), (6, third.lower()), (8, ""), (0, "a b"), (9, "c d"), (9, "e f")])
 
 
+def test_a_language_not_learned_goes(spark):
+    rng = random.Random(4)
+    words = {"en": "the of and with house tree water under every", "de": "der die und mit haus baum wasser unter jeder", "fi": "talo joki metsä aamu yö kylä hyvä pöytä äiti"}
+    text = lambda lang, n: " ".join(rng.choice(words[lang].split()) for _ in range(n))
+    rows = [(i, text(lang, n), lang, "s", 0) for i, (lang, n) in enumerate([(lang, n) for lang in ("en", "de") for n in (3, 20, 400) for _ in range(20)])]
+    rows += [(1000 + i, text("fi", n), None, "s", 0) for i, n in enumerate((20, 400, 20_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF_DIR).collect()}
+    assert not kept & {1000, 1001, 1002} and len(kept) >= 118
+
+
 def test_empty_tables_pass_every_stage(spark, documents):
     docs = documents()
     for _, stage in corpus_pipeline.STAGES:

@@ -54,3 +54,10 @@ def test_filter_on_verdict_and_clashing_columns(documents):
     kept = quality.assess(docs).filter("quality.kept AND quality.n_words > 10").select("doc.*")
     assert kept.columns == docs.columns and kept.count() == 2
     assert quality.assess(docs.limit(0)).count() == 0
+
+
+def test_a_long_line_may_name_a_phrase(documents):
+    long = " ".join(f"word{i}" for i in range(80)) + " and the terms of use apply here."
+    rows = quality.assess(documents(long, long.replace(" and", "\nSee the terms of use.\nand"))).orderBy("doc.doc_id").select("quality.*").collect()
+    assert rows[0].kept and rows[0].n_lines_removed == 0
+    assert rows[1].kept and rows[1].removed["boilerplate"] == 2 and "See" not in rows[1].clean_text
