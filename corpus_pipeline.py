@@ -12,49 +12,47 @@ from burdenframe.llm.common import table
 from burdenframe.plans.workspace import stored, work_folder
 
 MIN_LANGUAGE_SCORE = 0.5
+#: Natural logarithms per character sequence below what is usual in the language: documents of a language learned are rarely below -1.
+MIN_FIT = -2.0
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop rejected documents; the rest lose the lines that failed."""
+    """Drop rejected documents; the rest lose the lines that failed, and ``n_chars`` follows.
+
+    Null, empty and blank texts are rejected as too short. Texts may be of any length; repeated rows get the same verdict; other columns stay
+    as they are; an empty table stays empty.
+    """
     judged = quality.assess(docs).filter("quality.kept")
     changed = {"text": F.col("quality.clean_text"), "n_chars": F.char_length("quality.clean_text").cast("long")}
     return judged.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the documents at hand; drop those without letters or without a likely language."""
+    """Learn from the documents at hand; drop those without letters, without a likely language, or unlike the one found.
+
+    The probability only compares the languages learned and goes to 1 with a text's length, whatever it is written in; so a text is also
+    dropped if its character sequences are much rarer than usual in the language found. Null and empty texts have no letters and go.
+    Without a labelled row every document goes. Repeated rows fare alike; all columns stay, whatever their names; an empty table stays empty.
+    """
     model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
     found = language.predictor(spark, model)("text")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), found.alias("found"))
-    sure = (F.col("found.lang") != language.UNKNOWN) & (F.col("found.score") >= MIN_LANGUAGE_SCORE)
+    sure = (F.col("found.lang") != language.UNKNOWN) & (F.col("found.score") >= MIN_LANGUAGE_SCORE) & (F.col("found.fit") >= MIN_FIT)
     return rows.filter(sure).select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays, the one with the smallest doc_id, or without doc_id if no row there has one; of rows
-    with that doc_id the one whose set has the smallest node, and one of those with equal sets.
-
-    Rows that share a doc_id but not a component are told apart by their sets. Of texts without words one of each doc_id stays.
-    """
-    rows = stored(jaccard_join.members(docs), "members")
-    of = [F.col("component"), F.when(F.col("component").isNull(), F.col("doc_id"))]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")).alias("first")
-    keep = stored(rows.groupBy(*of).agg(first).select(F.col("first.doc_id").alias("keep"), F.col("first.node").alias("keep_node")), "keep")
-    again = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "again")
-    kept = docs.join(keep, docs["doc_id"] == F.col("keep"), "left_semi")
-    if again.isEmpty():
-        return kept
-    named = again.select(F.col("doc_id").alias("again"))
-    unclear = docs.join(named, docs["doc_id"].eqNullSafe(F.col("again")), "left_semi")
-    unclear = unclear.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), jaccard_join.node_of(F.col("text")).alias("node"))
-    chosen = unclear.join(keep, F.col("doc.doc_id").eqNullSafe(F.col("keep")) & F.col("node").eqNullSafe(F.col("keep_node")), "left_semi")
-    chosen = chosen.withColumn("id", F.col("doc.doc_id")).dropDuplicates(["id", "node"])
-    return kept.join(named, kept["doc_id"] == F.col("again"), "left_anti").union(chosen.select(*[F.col(f"doc.`{c}`") for c in docs.columns]))
+    """One row of each group of linked documents stays, as ``jaccard_join.representatives`` says, nulls, empty and repeated rows included."""
+    return jaccard_join.representatives(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are masked."""
+    """Every document stays; secrets in its text are masked, and ``n_chars`` follows where one was.
+
+    Null and empty texts stay as they are; texts may be of any length; repeated rows share one scan and stay all; other columns stay as they
+    are; an empty table stays empty.
+    """
     found = secret_scan.attach(docs, work_folder(spark, "ledger"))
     clean = secret_scan.masked(F.col("doc.text"), F.col("findings"))
     hit = F.size("findings") > 0
@@ -63,6 +61,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2,048 tokens, each with its sequence and its place there, as ``packing.pack`` says: null and empty texts are one token,
+    longer texts are cut, repeated rows are packed each, other columns are left out, an empty table gives an empty table."""
     return packing.pack(docs)
 
 
