@@ -6,10 +6,14 @@ set. That equals adding it to every gene beforehand and makes sums independent o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from burdenframe.functions.numeric import log2_ratio
 from burdenframe.functions.ordering import dense_index, exact_quantile
@@ -18,6 +22,8 @@ from burdenframe.operators.genetable import COHORTS, EPSILON, TESTED_BINS
 
 SEED = 12345
 SET_SIZE = 10
+#: Numbers of a gene table that go to every task at most: 64 MB.
+MOST_CELLS = 8_000_000
 ITERATIONS = 1_000_000
 MIN_BURDEN = 1.0
 
@@ -28,10 +34,8 @@ def index_genes(wide: DataFrame) -> DataFrame:
     return wide.join(index, "gene")
 
 
-def sample_gene_sets(
-    counters: DataFrame, genes: DataFrame, k: int = SET_SIZE, seed: int = SEED, shrink: bool = False
-) -> DataFrame:
-    """``iter, pos, gene_idx``: ``k`` distinct genes for each counter in column ``iter``.
+def draw_sets(counters: DataFrame, genes: DataFrame, k: int = SET_SIZE, seed: int = SEED, shrink: bool = False) -> DataFrame:
+    """``iter, drawn``: an array of ``k`` distinct gene numbers for each counter in column ``iter``.
 
     Each set is computed from its counter alone, row by row, without a shuffle. A set size above the
     number of genes raises an error, or is lowered to it with ``shrink``.
@@ -40,10 +44,42 @@ def sample_gene_sets(
     too_many = F.raise_error(F.lit("set size is larger than the population")).cast("bigint")
     size = F.least(F.lit(k), F.col("_n")) if shrink else F.when(F.col("_n") < k, too_many).otherwise(F.lit(k))
     sized = counters.select("iter").withColumn("_n", n).withColumn("_k", size.cast("int"))
-    drawn = sized.select(
-        "iter", F.posexplode(distinct_draws(seed, F.col("iter"), F.col("_n"), F.col("_k"))).alias("pos", "gene_idx")
-    )
-    return drawn
+    return sized.select("iter", distinct_draws(seed, F.col("iter"), F.col("_n"), F.col("_k")).alias("drawn"))
+
+
+def set_rows(sets: DataFrame) -> DataFrame:
+    """``iter, pos, gene_idx`` of sets drawn as arrays."""
+    return sets.select("iter", F.posexplode("drawn").alias("pos", "gene_idx"))
+
+
+def sample_gene_sets(
+    counters: DataFrame, genes: DataFrame, k: int = SET_SIZE, seed: int = SEED, shrink: bool = False
+) -> DataFrame:
+    """The rows of ``draw_sets``."""
+    return set_rows(draw_sets(counters, genes, k, seed, shrink))
+
+
+def _in_order(genes: DataFrame, columns: Sequence[str]) -> pa.Table | None:
+    """Columns of the numbered genes by their numbers, or None if they are more than ``MOST_CELLS`` values: what every task may hold."""
+    if genes.count() * len(columns) > MOST_CELLS:
+        return None
+    return genes.select("gene_idx", *columns).toArrow().sort_by("gene_idx").select(list(columns)).combine_chunks()
+
+
+def genes_of_sets(sets: DataFrame, genes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``iter, pos, gene_idx`` and ``columns`` of every drawn gene, looked up by its number; by a join if the genes are too many."""
+    table = _in_order(genes, columns)
+    if table is None:
+        return set_rows(sets).join(genes.select("gene_idx", *columns), "gene_idx").select("iter", "pos", "gene_idx", *columns)
+    rows = set_rows(sets)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = table.take(batch.column("gene_idx")).combine_chunks()
+            columns_found = [found.column(c).chunk(0) if batch.num_rows else found.column(c).combine_chunks() for c in columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns_found], [*batch.schema.names, *columns])
+
+    return rows.mapInArrow(look_up, StructType([*rows.schema.fields, *[genes.schema[c] for c in columns]]))
 
 
 def counters(spark, iterations: int = ITERATIONS) -> DataFrame:
@@ -51,9 +87,16 @@ def counters(spark, iterations: int = ITERATIONS) -> DataFrame:
 
 
 def set_sums(sets: DataFrame, genes: DataFrame, n_bins: int) -> DataFrame:
-    """Integer sums of every cohort and bin per set, all in one aggregation, plus the set size."""
+    """Integer sums of every cohort and bin per set, plus the set size and the numbers of genes with a count.
+
+    Sets drawn as arrays stay arrays: the counts of their genes are looked up by number in a table of checked size, so nothing is exploded,
+    joined or shuffled. Sets as rows, and more genes than ``MOST_CELLS`` allows, are joined and summed in one aggregation.
+    """
     cells = [f"{c}_{i}" for c in COHORTS for i in range(n_bins)]
-    joined = sets.join(genes.select("gene_idx", *cells), "gene_idx")
+    table = _in_order(genes, cells) if "drawn" in sets.columns else None
+    if table is not None:
+        return _looked_up_sums(sets, table, cells)
+    joined = (set_rows(sets) if "drawn" in sets.columns else sets).join(genes.select("gene_idx", *cells), "gene_idx")
     sums = [F.sum(c).alias(c) for c in cells]
     carriers = [
         F.count_if(F.col(f"{c}_{i}") > 0).alias(f"n_{c}_{i}") for c in COHORTS for i in range(n_bins)
@@ -61,6 +104,26 @@ def set_sums(sets: DataFrame, genes: DataFrame, n_bins: int) -> DataFrame:
     return joined.groupBy("iter").agg(*sums, *carriers, F.count(F.lit(1)).alias("k"))
 
 
+def _looked_up_sums(sets: DataFrame, table: pa.Table, cells: Sequence[str]) -> DataFrame:
+    counts = np.column_stack([pc.fill_null(table.column(c), 0).to_numpy() for c in cells]) if table.num_rows else np.zeros((0, len(cells)), np.int64)
+    counts = np.hstack([counts, counts > 0]).astype(np.int64)
+    names = ["iter", *cells, *[f"n_{c}" for c in cells], "k"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = batch.column("drawn")
+            sizes = drawn.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            some = np.flatnonzero(sizes)  # an empty set has no row, as in a join
+            sums = np.zeros((len(some), counts.shape[1]), np.int64)
+            if len(some):
+                begins = (np.cumsum(sizes) - sizes)[some]
+                sums = np.add.reduceat(counts[drawn.flatten().to_numpy()], begins, axis=0)
+            columns = [pa.array(np.ascontiguousarray(sums[:, i])) for i in range(sums.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column("iter").take(pa.array(some)), *columns, pa.array(sizes[some])], names)
+
+    return sets.mapInArrow(add, StructType([sets.schema["iter"], *[StructField(n, LongType()) for n in names[1:]]]))
+
+
 def burden_ratios(
     sums: DataFrame, bins: Sequence[str] = TESTED_BINS, epsilon: float = EPSILON,
     min_burden: float = MIN_BURDEN,

@@ -28,8 +28,9 @@ class Run:
         if listed:
             wide = genetable.keep_genes(wide, star.listed_genes(spark, d))
         self.genes = stored(resample.index_genes(wide), "indexed")
-        self.sets = resample.sample_gene_sets(iterations(spark, d), self.genes, shrink=listed)
-        self.ratios = resample.simulate(self.sets, self.genes)
+        self.drawn = resample.draw_sets(iterations(spark, d), self.genes, shrink=listed)
+        self.sets = resample.set_rows(self.drawn)
+        self.ratios = resample.simulate(self.drawn, self.genes)
         self.sizes = gene_tests.sizes_of(labelled)
 
     @staticmethod
@@ -55,7 +56,7 @@ def gene_sets(spark, d):
 @query("J14_set_genes", with_("set_genes", "SELECT iter, gene, case_pheno_9 AS burden FROM set_genes"))
 def set_genes(spark, d):
     run = Run(spark, d)
-    named = run.sets.join(run.genes, "gene_idx")
+    named = resample.genes_of_sets(run.drawn, run.genes, ["gene", "case_pheno_9"])
     return named.select("iter", "gene", F.col("case_pheno_9").alias("burden"))
 
 

@@ -425,6 +425,26 @@ def test_density_against_direct_sum(spark):
     assert len(got) == 100
 
 
+@pytest.mark.parametrize("most", [10**6, 10])
+def test_looked_up_sums_are_the_joined_ones(spark, monkeypatch, most):
+    rnd = random.Random(2)
+    names = [f"{c}_{b}" for c in genetable.COHORTS for b in range(3)]
+    wide = spark.createDataFrame([(f"g{i:03d}", *[rnd.choice([0, 0, 1, 5, None]) for _ in names]) for i in range(120)], "gene string, " + ", ".join(f"{c} long" for c in names))
+    genes = resample.index_genes(wide)
+    drawn = resample.draw_sets(resample.counters(spark, 500), genes, 7)
+    joined = resample.set_sums(resample.set_rows(drawn), genes, 3)
+    monkeypatch.setattr(resample, "MOST_CELLS", most)
+    looked = resample.set_sums(drawn, genes, 3)
+    zero = {c: 0 for c in joined.columns}
+    assert sorted(tuple(r) for r in looked.fillna(zero).select(joined.columns).collect()) == sorted(tuple(r) for r in joined.fillna(zero).collect())
+    plan = looked._jdf.queryExecution().executedPlan().toString()
+    assert ("Join" in plan) == (most == 10)
+    named = {r["gene_idx"]: r["gene"] for r in genes.collect()}
+    rows = resample.genes_of_sets(drawn, genes, ["gene", "case_pheno_1"]).collect()
+    assert len(rows) == 3500 and all(named[r["gene_idx"]] == r["gene"] for r in rows)
+    assert resample.set_sums(drawn.limit(0), genes, 3).count() == 0
+
+
 def test_resampling_against_direct_sums(spark):
     rnd = random.Random(1)
     n, k, bins = 40, 5, ("x", "y")
