@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burdenframe.functions.numeric import chi2_1df_p, expit
-from burdenframe.operators.resample import standardise
 from burdenframe.plans.workspace import stored
 
 MAX_ITER = 100
@@ -27,11 +26,12 @@ def _statistics(data: DataFrame, coefficients: DataFrame) -> DataFrame:
     z, eta, p = F.col("z"), F.col("_eta"), F.col("_p")
     w = p * (1 - p)
     softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))  # log(1 + exp(eta)) without overflow
+    n, tilt = F.col("n"), F.col("n") * w * (0.5 - p)
     sums = {
-        "ll": F.sum(F.col("y") * eta - softplus),
-        "w0": F.sum(w), "w1": F.sum(w * z), "w2": F.sum(w * z * z),
-        "r0": F.sum(F.col("y") - p), "r1": F.sum((F.col("y") - p) * z),
-        **{f"s{k}": F.sum(w * (0.5 - p) * F.pow(z, F.lit(float(k)))) for k in range(4)},
+        "ll": F.sum(n * (F.col("y") * eta - softplus)),
+        "w0": F.sum(n * w), "w1": F.sum(n * w * z), "w2": F.sum(n * w * z * z),
+        "r0": F.sum(n * (F.col("y") - p)), "r1": F.sum(n * (F.col("y") - p) * z),
+        "s0": F.sum(tilt), "s1": F.sum(tilt * z), "s2": F.sum(tilt * z * z), "s3": F.sum(tilt * z * z * z),
     }
     at = data.join(coefficients.select("bin", "b0", "b1"), "bin").withColumn("_eta", F.col("b0") + F.col("b1") * z)
     return at.withColumn("_p", expit(eta)).groupBy("bin").agg(*[c.alias(k) for k, c in sums.items()])
@@ -98,8 +98,8 @@ def _fit_constrained(data: DataFrame) -> DataFrame:
     ``sum(y) - n p + (1 - 2p)``; its root is ``p = (sum(y) + 1) / (n + 2)``.
     """
     sizes = data.groupBy("bin").agg(
-        F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n"),
-        F.sum("z").alias("z1"), F.sum(F.col("z") * F.col("z")).alias("z2"),
+        F.sum(F.col("n") * F.col("y")).alias("ones"), F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.col("z")).alias("z1"), F.sum(F.col("n") * F.col("z") * F.col("z")).alias("z2"),
     )
     p = (F.col("ones") + 1.0) / (F.col("n") + 2.0)
     det = F.pow(p * (1 - p), F.lit(2.0)) * (F.col("n") * F.col("z2") - F.col("z1") * F.col("z1"))
@@ -108,15 +108,26 @@ def _fit_constrained(data: DataFrame) -> DataFrame:
     return sizes.filter(kept).select("bin", F.when(det > 0, loglik + 0.5 * F.log(det)).alias("null_loglik"))
 
 
+def _scaled(folded: DataFrame) -> DataFrame:
+    """The folded rows with the predictor standardised as by ``resample.standardise``: each counts ``n`` times."""
+    n, x = F.col("n"), F.col("x")
+    mean = F.when(F.min("x") == F.max("x"), F.min("x")).otherwise(F.sum(n * x) / F.sum(n))  # exact where x is constant
+    means = folded.groupBy("bin").agg(mean.alias("_mean"))
+    off = folded.join(means, "bin").withColumn("_off", x - F.col("_mean"))
+    spread = off.groupBy("bin").agg(F.sqrt(F.sum(n * F.col("_off") * F.col("_off")) / F.sum(n)).alias("_sd"))
+    return off.join(spread, "bin").select("bin", "y", "n", (F.col("_off") / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))).alias("z"))
+
+
 def firth_by_bin(labelled: DataFrame) -> DataFrame:
     """Fit ``bin, y, x`` rows per bin on the standardised predictor.
 
     Gives log odds, standard error, p of the penalised likelihood-ratio test, odds ratio, change in
     probability and the 95 % interval on the log2 scale, and ``converged``, ``n_iter`` and ``reason``. A bin that can't be fitted, such as
     one with a constant predictor, has nulls and a reason; one that didn't converge has its last values and a reason. Bins with fewer than five
-    rows on a side are left out. Rows and coefficients are written between steps, so a lost executor costs a re-read.
+    rows on a side are left out. Equal rows are folded into one with their number first; rows and coefficients are written between steps, so a lost executor costs a re-read.
     """
-    data = stored(standardise(stored(labelled.select("bin", "y", "x"), "labelled")).select("bin", "y", "z"), "scaled")
+    folded = stored(labelled.groupBy("bin", "y", "x").agg(F.count(F.lit(1)).alias("n")), "folded")
+    data = stored(_scaled(folded), "scaled")
     null = stored(_fit_constrained(data), "null")
     fitted = _fit(data, null).join(null, "bin")
     lost = F.col("reason") == "degenerate"

@@ -430,7 +430,8 @@ def test_looked_up_sums_are_the_joined_ones(spark, monkeypatch, most):
     rnd = random.Random(2)
     names = [f"{c}_{b}" for c in genetable.COHORTS for b in range(3)]
     wide = spark.createDataFrame([(f"g{i:03d}", *[rnd.choice([0, 0, 1, 5, None]) for _ in names]) for i in range(120)], "gene string, " + ", ".join(f"{c} long" for c in names))
-    genes = resample.index_genes(wide)
+    numbered = resample.index_genes(wide)
+    genes = spark.createDataFrame(numbered.collect(), numbered.schema)
     drawn = resample.draw_sets(resample.counters(spark, 500), genes, 7)
     joined = resample.set_sums(resample.set_rows(drawn), genes, 3)
     monkeypatch.setattr(resample, "MOST_CELLS", most)
