@@ -31,8 +31,7 @@ def burden_summary(long: DataFrame, side: str, n_case: int | Column, n_control:
         return v if isinstance(v, Column) else F.lit(v)
 
     def median(name: str) -> Column:
-        spread = F.floor(F.log2(F.col(name) + 1.0) * 1024.0)
-        return exact_quantile(totals, name, [], 0.5, "m", spread).select("m").scalar()
+        return exact_quantile(totals, name, [], 0.5, "m").select("m").scalar()
 
     sums = totals.agg(
         F.sum("x").alias("Total_Case_Burden"),

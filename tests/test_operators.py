@@ -38,6 +38,17 @@ def test_exact_quantile(spark, values, q):
     assert got["a"][1] == len(values) and got["b"] == (2.0, 1)
 
 
+@pytest.mark.parametrize("accuracy,most", [(10_000, 10**6), (100, 10**6), (400, 40)])
+def test_exact_quantile_of_large_groups(spark, accuracy, most):
+    rng = np.random.default_rng(accuracy)
+    values = {"wide": np.exp(rng.normal(size=20_000) * 100), "ties": np.floor(rng.normal(size=9000) * 2), "one": np.ones(700), "few": rng.normal(size=3) * 1e300}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double").repartition(6)
+    for q in (0.0, 0.013, 0.5, 0.99, 1.0):
+        got = {r["g"]: r["x"] for r in ordering.exact_quantile(df, "v", ["g"], q, "x", accuracy, most).collect()}
+        for g, vs in values.items():
+            assert math.isclose(got[g], np.percentile(vs, q * 100), rel_tol=1e-12)
+
+
 def test_dense_index_is_a_permutation(spark):
     df = spark.createDataFrame([(f"g{i}",) for i in range(500)], "gene string")
     one = {r["gene"]: r["i"] for r in ordering.dense_index(df.repartition(1), "gene", "i").collect()}
