@@ -11,15 +11,16 @@ tells them apart.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burdenframe.llm import units
-from burdenframe.llm.common import only
+from burdenframe.llm.common import ROWS_AT_A_TIME, only
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -50,6 +51,9 @@ class Codec:
         self.begun = {p[:n]: () for p in self.scores for n in range(1, len(p))} | self.scores
         self.longest = max(map(len, self.scores))
         self.byte_score = min(s for s, _ in self.scores.values()) - UNKNOWN_PENALTY
+        spelled = [b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode()
+                   for i, p in enumerate(self.pieces)]
+        self.spelled = pa.array(spelled, pa.binary())
         self.cuts = units.PieceCuts(list(self.scores), SPACE)
         self.memory = units.Memory(self._compute)
 
@@ -127,22 +131,17 @@ class Codec:
         ids, ends = units.joined(units.column(rows, "ids"), at, ends)
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids: bytes are joined to characters, the space that encoding puts in front goes."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if i not in self.silent:
-                out.append(self.pieces[i].replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids: bytes are joined to characters, the space that encoding puts in front goes. Null for null."""
+        sizes = pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        spelled = pc.binary_join(pa.ListArray.from_arrays(ends, self.spelled.take(ids.flatten())), b"")
+        try:
+            texts = spelled.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that make no characters
+            texts = pa.array([b.decode("utf-8", "replace") for b in spelled.to_pylist()], pa.string())
+        texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+        return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), texts)
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
@@ -165,6 +164,7 @@ def decoder(model: str | None = None):
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         codec = Codec.at(model)
-        return pa.array([None if x is None else codec.decode(x) for x in (i.as_py() for i in ids)], pa.string())
+        parts = [codec.decode(ids.slice(at, ROWS_AT_A_TIME)) for at in range(0, len(ids), ROWS_AT_A_TIME)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decode

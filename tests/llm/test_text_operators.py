@@ -160,7 +160,9 @@ def test_piece_codec(documents):
         assert ids == expected
         whole = (" " + text).replace(piece_codec.SPACE, piece_codec.HELD).replace(" ", piece_codec.SPACE)
         assert [i for part in codec.stream(whole) for i in part] == expected
-        assert codec.decode(expected) == text
+        assert codec.decode(pa.array([expected, None, []], pa.list_(pa.int32()))).to_pylist() == [text, None, ""]
+    broken = [0, codec.bytes[0xE2], *codec.encode(pa.array(["x"]))[0].as_py(), 1, codec.bytes[0xFF]]
+    assert codec.decode(pa.array([broken], pa.list_(pa.int32()))).to_pylist() == ["\ufffd x\ufffd"]
     assert len(list(codec.stream("abcabcabd" * 400))) > 1
     docs = documents(*texts, None, "", "word " * 30_000, texts[0]).withColumn("ids", F.lit(1))
     rows = piece_codec.encode(docs).withColumn("back", piece_codec.decoder()("ids")).collect()
