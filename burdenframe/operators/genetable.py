@@ -81,11 +81,6 @@ def genes_on_every_side(entries: DataFrame, sides: Sequence[str]) -> DataFrame:
     return entries.groupBy("gene").agg(*marks).filter(" AND ".join(f"_{i}" for i in range(len(sides)))).select("gene")
 
 
-def common_genes(tables: Sequence[DataFrame]) -> DataFrame:
-    """Genes that occur in every table."""
-    return reduce(lambda a, b: a.intersect(b), [t.select("gene") for t in tables])
-
-
 def align_tables(tables: Mapping[str, DataFrame], genes: DataFrame | None = None) -> DataFrame:
     """Long counts over the genes present in all four wide tables.
 

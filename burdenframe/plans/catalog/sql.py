@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from burdenframe.operators.burden import AF_BINS
-from burdenframe.operators.genetable import COHORTS, TESTED_BINS
-from burdenframe.plans.star_cohort import FREQUENCIES, IMPACT_BY_SIZE, PHENOTYPE, SET_TYPES
+# Fixed values, written out here and not taken from the operators, so that a wrong bound there shows in the comparison.
+AF_BINS = {"gnomad_001": (None, 0.0001), "gnomad_001_01": (0.0001, 0.001), "gnomad_01_1": (0.001, 0.01)}
+COHORTS = ("case_pheno", "control_pheno", "case_null", "control_null")
+IMPACT_BY_SIZE = ("MODIFIER", "LOW", "MODERATE", "HIGH")
+TESTED_BINS = (
+    "LOW.gnomad_001", "LOW.gnomad_001_01", "LOW.gnomad_01_1", "MODERATE.gnomad_001", "MODERATE.gnomad_001_01", "MODERATE.gnomad_01_1",
+    "HIGH.gnomad_001", "HIGH.gnomad_001_01", "HIGH.gnomad_01_1", "total_burden",
+)
+FREQUENCIES = (None, 0.00005, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05)
+PHENOTYPE = "BUILDING"
+SET_TYPES = ("ECONOMY", "SMALL")
 
 
 def case_of(key: str, values) -> str:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from burdenframe.functions import genotype as G
 from burdenframe.operators import burden, filters
-from burdenframe.plans import commands
+from burdenframe.plans import commands, workspace
 from burdenframe.sources import inventory, metadata, tables, vcf, vcf_format
 from burdenframe.streaming import ingest
 
@@ -274,6 +275,16 @@ def test_folded_stores_read_the_same(spark, tmp_path, fold_at):
         assert ("Join" in plan) == (max(fold_at) < 4)  # nothing to look for where the base has all
 
 
+def test_scratch_removes_what_was_made_inside(spark):
+    outside = workspace.stored(spark.range(3), "outside")
+    with workspace.scratch(spark):
+        inside = workspace.stored(spark.range(5), "inside")
+        files = inside.inputFiles()
+        assert inside.count() == 5 and files
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert outside.count() == 3
+
+
 def test_commands_over_a_cohort(spark, cohort_dir):
     root = str(cohort_dir / "a")
     meta = metadata.read_metadata(spark, str(cohort_dir / "meta.tsv"))
