@@ -86,7 +86,7 @@ def label_null_cohort(
         .otherwise(wanted)
     ).scalar()
     drawn = hash_sample(labelled.filter(~F.col("is_case")).select("s"), "s", guarded, seed)
-    return labelled.join(drawn.withColumn("is_null_case", F.lit(True)), "s", "left").withColumn(
+    return labelled.join(drawn.withColumn("is_null_case", F.lit(True)).hint("merge"), "s", "left").withColumn(
         "is_null_case", F.coalesce("is_null_case", F.lit(False))
     )
 

@@ -33,7 +33,7 @@ def _statistics(data: DataFrame, coefficients: DataFrame) -> DataFrame:
         "r0": F.sum(n * (F.col("y") - p)), "r1": F.sum(n * (F.col("y") - p) * z),
         "s0": F.sum(tilt), "s1": F.sum(tilt * z), "s2": F.sum(tilt * z * z), "s3": F.sum(tilt * z * z * z),
     }
-    at = data.join(coefficients.select("bin", "b0", "b1"), "bin").withColumn("_eta", F.col("b0") + F.col("b1") * z)
+    at = data.join(F.broadcast(coefficients.select("bin", "b0", "b1")), "bin").withColumn("_eta", F.col("b0") + F.col("b1") * z)
     return at.withColumn("_p", expit(eta)).groupBy("bin").agg(*[c.alias(k) for k, c in sums.items()])
 
 
@@ -113,9 +113,9 @@ def _scaled(folded: DataFrame) -> DataFrame:
     n, x = F.col("n"), F.col("x")
     mean = F.when(F.min("x") == F.max("x"), F.min("x")).otherwise(F.sum(n * x) / F.sum(n))  # exact where x is constant
     means = folded.groupBy("bin").agg(mean.alias("_mean"))
-    off = folded.join(means, "bin").withColumn("_off", x - F.col("_mean"))
+    off = folded.join(F.broadcast(means), "bin").withColumn("_off", x - F.col("_mean"))
     spread = off.groupBy("bin").agg(F.sqrt(F.sum(n * F.col("_off") * F.col("_off")) / F.sum(n)).alias("_sd"))
-    return off.join(spread, "bin").select("bin", "y", "n", (F.col("_off") / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))).alias("z"))
+    return off.join(F.broadcast(spread), "bin").select("bin", "y", "n", (F.col("_off") / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))).alias("z"))
 
 
 def firth_by_bin(labelled: DataFrame) -> DataFrame:

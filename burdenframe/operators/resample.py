@@ -47,6 +47,14 @@ def draw_sets(counters: DataFrame, genes: DataFrame, k: int = SET_SIZE, seed: in
     return sized.select("iter", distinct_draws(seed, F.col("iter"), F.col("_n"), F.col("_k")).alias("drawn"))
 
 
+def _of_top_sets(top: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of ``top`` with each ``gene_idx`` of their sets. Sets drawn as arrays meet ``top`` first and are taken apart then, so only those of top
+    sets become rows. The join sorts: what is known of the size of the sets is that of their counters, ten times too small."""
+    if "drawn" in sets.columns:
+        return top.join(sets.select("iter", "drawn").hint("merge"), "iter").select(*top.columns, F.explode("drawn").alias("gene_idx"))
+    return top.join(sets.select("iter", "gene_idx").hint("merge"), "iter")
+
+
 def set_rows(sets: DataFrame) -> DataFrame:
     """``iter, pos, gene_idx`` of sets drawn as arrays."""
     return sets.select("iter", F.posexplode("drawn").alias("pos", "gene_idx"))
@@ -191,7 +199,7 @@ def empirical_p(log_ratios: DataFrame, percent: float = 99.0) -> DataFrame:
     """
     cut = percentiles(log_ratios, "pheno", percent).select("bin", "threshold")
     null = F.col("log2_null")
-    counted = log_ratios.select("bin", "log2_null").join(cut, "bin", "left").groupBy("bin").agg(
+    counted = log_ratios.select("bin", "log2_null").join(F.broadcast(cut), "bin", "left").groupBy("bin").agg(
         F.count(null).alias("n_null"), F.count_if(null >= F.col("threshold")).alias("n_ge"),
         F.max("threshold").alias("threshold"),
     )
@@ -205,7 +213,7 @@ def empirical_p(log_ratios: DataFrame, percent: float = 99.0) -> DataFrame:
 def top_sets(log_ratios: DataFrame, percent: float = 99.0, min_sets: int = 20) -> DataFrame:
     """Sets strictly above the percentile of their bin; bins with too few valid sets give none."""
     cut = percentiles(log_ratios, "pheno", percent).filter(F.col("n_values") >= min_sets)
-    return log_ratios.join(cut.select("bin", "threshold"), "bin").filter(
+    return log_ratios.join(F.broadcast(cut.select("bin", "threshold")), "bin").filter(
         F.col("log2_pheno") > F.col("threshold")
     )
 
@@ -220,7 +228,7 @@ def contributions(
     """
     pairs = [c for i, b in enumerate(bins) for c in (F.lit(b), F.col(f"case_pheno_{i}"))]
     burdens = genes.select("gene_idx", "gene", F.stack(F.lit(len(bins)), *pairs).alias("bin", "ac"))
-    members = top.select("iter", "bin", "log2_pheno").join(sets.select("iter", "gene_idx"), "iter")
+    members = _of_top_sets(top.select("iter", "bin", "log2_pheno"), sets)
     seen = members.groupBy("bin", "gene_idx").agg(
         F.count(F.lit(1)).alias("appearance_in_top_sets"),
         F.avg("log2_pheno").alias("avg_log2_ratio_of_sets_involved_in"),
@@ -252,8 +260,7 @@ def gene_pairs(top: DataFrame, sets: DataFrame, genes: DataFrame, focus: DataFra
     """
     named = genes.select("gene_idx", "gene").join(focus.select("gene"), "gene", "left_semi")
     members = (
-        top.select("iter").distinct()
-        .join(sets.select("iter", "gene_idx"), "iter")
+        _of_top_sets(top.select("iter").distinct(), sets)
         .join(named, "gene_idx")
         .groupBy("iter")
         .agg(F.array_sort(F.collect_list("gene")).alias("g"))
@@ -312,10 +319,10 @@ def burden_events(
 
 
 def standardise(ratios: DataFrame, value: str = "x") -> DataFrame:
-    """Centre and scale by the population deviation per bin; statistics are joined, not windowed."""
+    """Centre and scale by the population deviation per bin; statistics are joined, not windowed, and sent to the tasks, a row per bin."""
     moments = ratios.groupBy("bin").agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
     scale = F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
-    return ratios.join(moments, "bin").withColumn("z", (F.col(value) - F.col("_mean")) / scale).drop("_mean", "_sd")
+    return ratios.join(F.broadcast(moments), "bin").withColumn("z", (F.col(value) - F.col("_mean")) / scale).drop("_mean", "_sd")
 
 
 def labelled_ratios(ratios: DataFrame) -> DataFrame:

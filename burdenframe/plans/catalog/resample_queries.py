@@ -16,8 +16,14 @@ from burdenframe.plans.workspace import stored
 BIN = "total_burden"
 
 
+SETS_PER_TASK = 10_000
+
+
 def iterations(spark, d):
-    return star.table(spark, d, "customer").select(F.col("c_custkey").alias("iter"))
+    """A counter per customer. Their file is a few MB that one task would read, so they are dealt out before any set is drawn and summed."""
+    customers = star.table(spark, d, "customer").select(F.col("c_custkey").alias("iter"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-customers.count() // SETS_PER_TASK))
+    return customers.repartition(tasks)
 
 
 class Run:
@@ -28,7 +34,7 @@ class Run:
         if listed:
             wide = genetable.keep_genes(wide, star.listed_genes(spark, d))
         self.genes = stored(resample.index_genes(wide), "indexed")
-        self.drawn = resample.draw_sets(iterations(spark, d), self.genes, shrink=listed)
+        self.drawn = stored(resample.draw_sets(iterations(spark, d), self.genes, shrink=listed), "drawn")
         self.sets = resample.set_rows(self.drawn)
         self.ratios = resample.simulate(self.drawn, self.genes)
         self.sizes = gene_tests.sizes_of(labelled)
@@ -118,7 +124,7 @@ CONTRIB_OUT = f"""SELECT gene, bin, appearance_in_top_sets, {sr('burden')} AS su
 
 
 def contributors(run: Run):
-    return resample.contributions(resample.top_sets(run.in_bin()), run.sets, run.genes)
+    return resample.contributions(resample.top_sets(run.in_bin()), run.drawn, run.genes)
 
 
 @query("A14_contributors", extended("listed_top", CONTRIB, CONTRIB_OUT))
@@ -149,9 +155,9 @@ PAIRS = f"""{CONTRIB}, focus AS ({TOP_GENES.format(25)}),
 
 def pairs_of(spark, d):
     run = Run(spark, d, listed=True)
-    top = resample.top_sets(run.in_bin())
-    focus = resample.rank_contributors(resample.contributions(top, run.sets, run.genes), 25)
-    return resample.gene_pairs(top, run.sets, run.genes, focus)
+    top = stored(resample.top_sets(run.in_bin()).select("iter", "bin", "log2_pheno"), "top")
+    focus = resample.rank_contributors(resample.contributions(top, run.drawn, run.genes), 25)
+    return resample.gene_pairs(top, run.drawn, run.genes, focus)
 
 
 @query("J13_A15_gene_pairs", extended("listed_top", PAIRS, "SELECT * FROM pairs"))

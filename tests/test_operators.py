@@ -503,3 +503,35 @@ def test_pairs(spark):
         ("a", 2, 1500, True), ("b", 2, 1500, False), ("c", 2, 1500, False),
     }
     assert resample.rank_pairs(pairs, 1).first()["gene_1"] == "a"
+
+
+def test_top_sets_meet_drawn_sets_by_sorting(spark):
+    """The counters' size stands for that of the sets, so Spark alone would send all sets to every task."""
+    genes = spark.createDataFrame([(i, f"g{i}", i) for i in range(30)], "gene_idx int, gene string, case_pheno_0 long")
+    drawn = resample.draw_sets(spark.range(50).select(F.when(F.col("id") < 40, F.col("id")).alias("iter")).union(spark.range(5)), genes, 4)
+    top = spark.createDataFrame([(i, "x", float(i)) for i in (0, 1, 7, 7, 45)] + [(None, "x", 1.0)], "iter long, bin string, log2_pheno double")
+    rows, got = (sorted(tuple(r) for r in resample.contributions(top, s, genes, ["x"]).collect()) for s in (resample.set_rows(drawn), drawn))
+    assert got == rows and sum(r[2] for r in got) == 4 * (2 + 2 + 1 + 1)
+    assert sorted(resample.gene_pairs(top, drawn, genes, genes).collect()) == sorted(resample.gene_pairs(top, resample.set_rows(drawn), genes, genes).collect())
+    plan = resample._of_top_sets(top, drawn)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_statistics_of_bins_are_what_is_sent(spark, tmp_path):
+    spark.range(2000).selectExpr("concat('b', id % 3) bin", "id * 1.0 x").write.parquet(str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r"))
+    plan = resample.standardise(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "SortMergeJoin" not in plan
+    ahead = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "BuildRight" in resample.standardise(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", ahead)
+
+
+def test_sets_are_drawn_by_many_tasks(spark):
+    from burdenframe.plans.catalog import resample_queries
+
+    drawn = resample_queries.iterations(spark, "/root/testdata/sf0.001")
+    assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
