@@ -291,6 +291,33 @@ def entries_from(spark, calls):
     return spark.createDataFrame(rows, "contig string, pos int, alleles array<string>, s string, AC int")
 
 
+@pytest.mark.parametrize("listed", [1, 6, 100])
+def test_kinship_counts_by_lists_and_tiles(spark, listed):
+    rnd = random.Random(7)
+    names = ["a", "a\x1fb", "a\x1b", "\x1bm", "\x1be", "b,c", "", "10", "9", "é", "aa", "2"]
+    calls = [("1" if v % 3 else None, v, s, rnd.randint(0, 2)) for v in range(40) for s in names if rnd.random() < (0.2 if v % 2 else 0.8)]
+    df = spark.createDataFrame(calls, "contig string, pos int, s string, g byte")
+    want = {}
+    for c, v, s, g in calls:
+        for c2, v2, s2, g2 in calls:
+            if (c, v) == (c2, v2) and s.encode() < s2.encode():
+                own = want.setdefault((s, s2), [0] * 5)
+                for k, x in enumerate((True, g == g2 == 1, abs(g - g2) == 2, g == 1, g2 == 1)):
+                    own[k] += x
+    got = kinship.pair_counts(df, listed=listed)
+    assert got.dtypes == kinship.pair_counts(df).dtypes
+    rows = got.collect()
+    assert {(r.s_i, r.s_j): list(r)[2:] for r in rows} == want and len(rows) == len(want)
+
+
+def test_listed_kinship_copies_no_call_to_every_block(spark, monkeypatch):
+    monkeypatch.setattr(kinship, "SAMPLES_PER_BLOCK", 10)
+    monkeypatch.setattr(kinship, "_tiles", lambda keyed: pytest.fail("tiles of sites with few calls"))
+    calls = [("1", v, f"s{(v * 5 + k) % 300}", k % 3) for v in range(300) for k in range(4)]
+    got = kinship.pair_counts(spark.createDataFrame(calls, "contig string, pos int, s string, g byte")).collect()
+    assert sum(r.n_shared for r in got) == 300 * 6
+
+
 def test_kinship_of_duplicates_and_absent_calls(spark):
     rnd = random.Random(9)
     base = [rnd.randint(0, 2) for _ in range(200)]
