@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from burdenframe.functions.text import variant_id
 
+ROW_GROUP_BYTES = 8 << 20  # small, so that a block is found without reading many others
+
 
 def genotype_long(entries: DataFrame, on_duplicate: str = "error") -> DataFrame:
     """``variant_id, s, AC``, one row per variant and sample.
@@ -50,14 +52,16 @@ def genotype_blocks(long: DataFrame, index: DataFrame) -> DataFrame:
     ``positions`` ascend and have the allele counts beside them; samples in between have no call. A row holds a block of samples at most,
     so neither a common variant nor a large cohort makes it longer. Samples that the index lacks are left out.
     """
-    placed = long.join(index, "s").groupBy("variant_id", "block").agg(
+    placed = long.join(index.hint("merge"), "s").groupBy("variant_id", "block").agg(  # an index has a row per sample: too much for every task
         F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("position", "AC"))).alias("_calls"))
     return placed.select("variant_id", "block", "size", F.col("_calls.position").alias("positions"), F.col("_calls.AC").alias("counts"))
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """One column group per block of samples, a folder of its own, sorted by variant: a reader of some samples reads their folders only."""
-    blocks.repartition("block", F.pmod(F.xxhash64("variant_id"), F.lit(64))).sortWithinPartitions("block", "variant_id").write.partitionBy("block").parquet(path)
+    """Column groups in the order of their blocks, each sorted by variant. A file holds the blocks of a range, and its statistics say which, so a
+    reader of some samples reads their row groups only, and the files grow in number with the calls, not with blocks times tasks."""
+    blocks.repartitionByRange("block", "variant_id").sortWithinPartitions("block", "variant_id").write.option(
+        "parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
 def export_block(spark: SparkSession, path: str, index: DataFrame, block: int, fill: int | None = 0) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -226,6 +227,15 @@ def test_genotype_blocks_hold_the_matrix(spark, tmp_path):
         assert {r.variant_id for r in wide} == {v for v, s in got if 16 <= s < 32}
 
 
+def test_genotype_blocks_make_no_folder_per_block(spark, tmp_path):
+    long = spark.range(4000).selectExpr("concat('v', id % 7) variant_id", "id s", "1 AC")
+    index = genotypes.sample_index(long.select("s"), F.floor(F.col("s") / 4))
+    path = str(tmp_path / "many")
+    genotypes.write_blocks(genotypes.genotype_blocks(long, index), path)
+    assert sum(len(files) for _, _, files in os.walk(path)) < 200
+    assert {r.variant_id for r in genotypes.export_block(spark, path, index, 999).collect()} == {f"v{s % 7}" for s in range(3996, 4000)}
+
+
 # --- kinship ---------------------------------------------------------------------------------------------------
 
 
