@@ -27,6 +27,8 @@ BLOCK, QUERY_BLOCK = 8192, 512
 #: First step of the reading; each further step goes four times as deep.
 FIRST_DEPTH = 16
 EXACT = 2.0**53
+#: A vector that is picked out costs as much as so many in a product with all; an entry that is read, as so many vectors.
+COPY_COST, READ_COST = 4, 4
 
 
 def usable(vector: Column) -> Column:
@@ -48,7 +50,7 @@ class Lists:
     def scores(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Exact products: in doubles where all sums are whole numbers below 2**53, else in Python's integers."""
         if self.largest * float(np.abs(query).max()) * len(query) < EXACT:
-            return self.vectors[at] @ query
+            return (self.vectors @ query)[at] if COPY_COST * len(at) > len(self.ids) else self.vectors[at] @ query
         q = [int(x) for x in query]
         return np.array([sum(a * int(b) for a, b in zip(q, v)) for v in self.vectors[at]], object)
 
@@ -68,7 +70,7 @@ class Lists:
             if exact and promise.sum() < limit or len(seen) and seen.all():
                 break
             met = np.zeros(n, bool)
-            if not exact or not len(used) or depth.max() >= n or 16 * (n - seen.sum()) <= n:  # few are left: score them
+            if not exact or not len(used) or depth.max() >= n or READ_COST * step * len(used) >= n - seen.sum():  # the next reading costs more than to score what is left
                 met[:] = True
                 depth[:] = n
             else:
@@ -82,6 +84,9 @@ class Lists:
             scored += len(new)
             best = np.concatenate([best, new])
             score = np.concatenate([score, self.scores(new, query)])
+            if score.dtype != object and len(score) > 4 * k:  # only what reaches the k-th score is sorted
+                reach = score >= np.partition(score, -k)[-k]
+                best, score = best[reach], score[reach]
             keep = np.lexsort((best, -score))[:k] if score.dtype != object else sorted(range(len(best)), key=lambda i: (-score[i], best[i]))[:k]
             best, score = best[keep], score[keep]
             step *= 2
