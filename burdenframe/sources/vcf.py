@@ -7,8 +7,12 @@ source, in one scan: sample names come with the rows, from the headers or, with
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,43 @@ def paths_from_list(spark: SparkSession, list_file: str) -> list[str]:
     return [r["p"] for r in rows]
 
 
+def write_files(lines: DataFrame, path: str) -> int:
+    """Write ``value`` as text lines to files ``name``, and count the files. Each partition makes a folder; the lines of a name stand together in one of them.
+
+    A file is moved to its name when it is whole, so a repeated task only puts the same file there again. Spark's own writer takes a folder, a checksum file
+    and several calls of the driver or of a shell for each.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        fs, top, _ = vcf_format.located(path, {})
+        folder = f"{top}/part-{task.partitionId():05d}"
+        fs.create_dir(folder)
+        part, name, out, files = f"{folder}/.part-{task.taskAttemptId()}", None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column("line").cast(pa.large_string())  # neighbours in memory: the lines of a file are one stretch
+            offsets, data = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :], memoryview(texts.buffers()[2])
+            runs = pc.run_end_encode(batch.column("name"))
+            low = 0
+            for own, high in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if own != name:
+                    if out is not None:
+                        out.close()
+                        fs.move(part, f"{folder}/{name}")
+                    name, out, files = own, fs.open_output_stream(part), files + 1
+                out.write(data[offsets[low] : offsets[high]])
+                low = high
+        if out is not None:
+            out.close()
+            fs.move(part, f"{folder}/{name}")
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    whole = lines.select("name", F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).alias("line"))
+    return whole.mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def read_sites(
     spark: SparkSession, paths: str | Sequence[str], recursive: bool = True, glob: str = VCF_GZ_GLOB, intervals: str | Sequence[str] | None = None
 ) -> DataFrame:

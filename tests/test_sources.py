@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import json
 import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from burdenframe.functions import genotype as G
 from burdenframe.operators import burden, filters
 from burdenframe.plans import commands, workspace
+from burdenframe.plans.catalog import source_queries
 from burdenframe.sources import inventory, metadata, tables, vcf, vcf_format
 from burdenframe.streaming import ingest
 
@@ -120,6 +122,85 @@ def test_vcf_source_takes_filters(spark, tmp_path):
     assert sorted(set(read)) == [v for v in range(50) if v % 3 == 1]
 
 
+def by_line(name, data, per_row, low=-1 << 31):
+    """Rows of a file, a line at a time."""
+    samples, out = [], []
+    for raw in data.split(b"\n"):
+        text = raw.rstrip(b"\r").decode("utf-8", "replace")
+        cells = text.split("\t")
+        if raw.startswith(b"#"):
+            samples = cells[9:] if raw.startswith(b"#CHROM") else samples
+        elif raw.count(b"\t"):
+            pos = int(cells[1]) if cells[1].strip().lstrip("-").isdigit() else None
+            fixed, own = (cells[2:9] + [None] * 7)[:7], cells[9:]
+            for block, at in enumerate(range(0, max(len(own), 1), per_row)):
+                if pos is None or pos >= low:
+                    out.append((name, vcf_format.plain_contig(cells[0]), pos, *fixed, block, samples[at : at + per_row], own[at : at + per_row]))
+    return out
+
+
+ODD = [
+    b"", b"\n\n", b"#CHROM\n", b"##x\n#CHROM\tP\tI\tR\tA\tQ\tF\tN\tFO\ta\tb\tc\r\nchr1\t5\t.\tA\tT\t1\tPASS\tx\tGT\t0/1\t1/1\t0/0\r\nchrM\t 7 \t.\tA",
+    b"chr2\t1\tr\tA\tT\t1\tP\tx\tGT\tearly\n#CHROM\tP\tI\tR\tA\tQ\tF\tN\tFO\ta\n1\t0x1F\t\xff\tA\tT\t\t\t\t\tz\tbeyond\tmore\n\nshort\nchr3\tno\n"
+    b"#CHROM\tP\tI\tR\tA\tQ\tF\tN\tFO\tn\xc3\xa9\n4\t-9\t\n5\t12\t\t",
+]
+
+
+@pytest.mark.parametrize("read_bytes", [1, 7, 1000])
+def test_vcf_lines_taken_apart_together(tmp_path, monkeypatch, read_bytes):
+    monkeypatch.setattr(vcf_format, "READ_BYTES", read_bytes)
+    monkeypatch.setattr(vcf_format, "BATCH_CELLS", 9)
+    for k, data in enumerate(ODD):
+        (tmp_path / f"{k}.vcf").write_bytes(data)
+    expected = [r for k, data in enumerate(ODD) for r in by_line(f"{k}.vcf", data, 2)]
+    reader = vcf_format.VcfReader({"path": str(tmp_path), "samplesPerRow": "2"})
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [tuple(r.values())[1:] for r in rows] == expected
+    size = len(ODD[3])
+    for step in (1, 5, size):  # a line is read by the stretch in which it begins
+        whole = vcf_format.Stretches([vcf_format.Stretch(str(tmp_path / "3.vcf"), b, min(b + step, size)) for b in range(0, size, step)])
+        assert [tuple(r.values())[1:] for b in reader.read(whole) for r in b.to_pylist()] == by_line("3.vcf", ODD[3], 2)
+    reader.low = 6
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [tuple(r.values())[1:] for r in rows] == [r for k, data in enumerate(ODD) for r in by_line(f"{k}.vcf", data, 2, 6)]
+
+
+def test_sample_files_in_a_folder_per_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "FILES_PER_TASK", 20)
+    tables_dir = str(tmp_path / "tables")
+    make = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tables_dir}/{name}.parquet")
+    make("customer", [(k,) for k in range(300)], "c_custkey long")
+    make("orders", [(k, k % 250 if k else None) for k in range(400)], "o_orderkey long, o_custkey long")
+    make("lineitem", [(k, 1 + k % 7, 1 + k % 5, 4.0) for k in range(400)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double")
+    make("part", [(k, "b", "t", 1) for k in range(1, 8)], "p_partkey long, p_brand string, p_type string, p_size int")
+    root = source_queries.write_sample_vcfs(spark, tables_dir)
+    files = [(folder, name) for folder, _, names in os.walk(root) for name in names]
+    names = sorted(name for _, name in files)
+    assert names == sorted([f"sample={k}_x.vcf.txt" for k in range(300)] + [f"sample={source_queries.NO_NAME}.txt"])
+    assert len({folder for folder, _ in files}) <= 15
+    text = open(next(f"{folder}/{name}" for folder, name in files if name == "sample=5_x.vcf.txt")).read()
+    assert text.startswith("##fileformat=VCFv4.2\n#CHROM\t") and text.endswith("\n") and text.count("\n") == 4
+    calls = source_queries.vcf_scan_files(spark, tables_dir)
+    assert calls.count() == 400 and calls.filter("s = '5'").count() == 2 and calls.filter("s = ''").count() == 1
+
+
+def test_tasks_do_not_get_the_list_of_paths(tmp_path):
+    paths = [str(tmp_path / f"{k}.vcf") for k in range(500)]
+    for p in paths:
+        open(p, "w").write("chr1\t1\n")
+    source = vcf_format.VcfSource({"paths": json.dumps(paths), "pathGlobFilter": "*.vcf"})
+    reader = source.reader(None)
+    assert len(pickle.dumps((reader, source))) < 2000
+    assert [f for f, _ in reader.files()] == sorted(paths)
+
+
+def test_listing_of_many_files_has_few_tasks(spark, tmp_path):
+    for k in range(1200):
+        (tmp_path / f"{k}.txt").write_text("x")
+    files = inventory.list_files(spark, str(tmp_path))
+    assert files.count() == 1200 and files.rdd.getNumPartitions() <= inventory.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
 def test_vcf_source_lists_files(spark, tmp_path):
     write_multi(tmp_path / "m")
     paths = [str(tmp_path / "m" / n) for n in ("one.vcf", "two.vcf.gz")]
