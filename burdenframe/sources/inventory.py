@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from burdenframe.functions import text as X
 
+TASKS_PER_CORE = 4
+
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``name, path, length, modified`` of every file below ``root``; contents are never read."""
@@ -22,6 +24,8 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
             "length",
             F.col("modificationTime").alias("modified"),
         )
+        # Spark deals few files to a task, as if it opened them
+        .coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     )
 
 
