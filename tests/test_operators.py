@@ -8,6 +8,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +321,38 @@ def test_kinship_counts_by_lists_and_tiles(spark, listed):
     assert {(r.s_i, r.s_j): list(r)[2:] for r in rows} == want and len(rows) == len(want)
 
 
+@pytest.mark.parametrize("pair_slice", [1, 5, 1000])
+def test_lists_counted_in_slices(monkeypatch, pair_slice):
+    monkeypatch.setattr(kinship, "PAIR_SLICE", pair_slice)
+    monkeypatch.setattr(kinship, "OUTPUT_ROWS", 3)
+    rnd = random.Random(3)
+    rows = [(s, rnd.randint(0, 2), [(rnd.randint(0, 2), rnd.choice(["x", "y", "", "\x1bm", "\x1be"])) for _ in range(rnd.randint(1, 6))])
+            for s in ["a"] * 7 + ["b"] + ["c"] * 4 + ["d"]]
+    want = {}
+    for s, g, later in rows:
+        for g2, name in later:
+            own = want.setdefault((s, name.replace("\x1bm", "\x1f").replace("\x1be", "\x1b")), [0] * 5)
+            for k, x in enumerate((True, g == g2 == 1, abs(g - g2) == 2, g == 1, g2 == 1)):
+                own[k] += x
+    batches = [
+        pa.RecordBatch.from_pydict({"s_i": pa.array([r[0] for r in some], pa.string()), "g_i": pa.array([r[1] for r in some], pa.int8()),
+                                    "later": pa.array([kinship.MARK.join(f"{g}{n}" for g, n in r[2]) for r in some], pa.string())})
+        for some in (rows[:2], [], rows[2:6], rows[6:9], rows[9:])
+    ]
+    got = [tuple(r.values()) for b in kinship._count_lists(iter(batches)) for r in b.to_pylist()]
+    assert {r[:2]: list(r[2:]) for r in got} == want and len(got) == len(want)
+
+
+def test_listed_pairs_are_counted_as_numbers(spark, monkeypatch, capsys):
+    monkeypatch.setattr(kinship, "NAMES_PER_ROW", 2)
+    calls = [("1", v, f"s{(v + 3 * k) % 11}", k % 3) for v in range(20) for k in range(9)]
+    got = kinship.pair_counts(spark.createDataFrame(calls, "contig string, pos int, s string, g byte"), listed=100)
+    assert sum(r.n_shared for r in got.collect()) == 20 * 36
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "split(later" not in plan  # no row per pair of calls
+
+
 def test_listed_kinship_copies_no_call_to_every_block(spark, monkeypatch):
     monkeypatch.setattr(kinship, "SAMPLES_PER_BLOCK", 10)
     monkeypatch.setattr(kinship, "_tiles", lambda keyed: pytest.fail("tiles of sites with few calls"))
